@@ -2,18 +2,63 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import minhash
+from larder.llm import embedding_dedup, licenses, merkle, minhash, mixing, packing, quality_cnn, secrets, toxicity, url_filter
 from larder.llm.common import read
 
+#: Target weights of the mixing query: other paths weigh 1.
+MIX_WEIGHTS = {"domain0": 3.0, "domain1": 2.0, "domain0/en": 2.0, "domain1/de/src5": 4.0}
+MIX_TOTAL, MIX_EPOCHS, MIX_SEED = 0.8, 4, 17
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(read(spark, sf_dir, "documents")))
+
+
+def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_edits(read(spark, sf_dir, "documents"))
+
+
+def op4_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_cnn.score_documents(docs, quality_cnn.learn(docs, read(spark, sf_dir, "labels")))
+
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
 
-QUERIES = {
-    "op5_minhash_dedup": op5_minhash_dedup,
-}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(read(spark, sf_dir, "documents"), MIX_TOTAL, MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED)
+
 
-ORACLES: dict[str, str] = {}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.drop("ids")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents")).drop("notices")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secrets, op3_merkle, op4_quality_cnn, op5_minhash_dedup, op6_mixing, op7_packing, op8_licenses, op9_url_filter, op10_toxicity)}
+
+ORACLES = {
+    "op1_embedding_dedup": embedding_dedup.ORACLE,
+    "op9_url_filter": url_filter.ORACLE,
+}
