@@ -209,8 +209,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, label: str = "labe
 ORACLE = """
 WITH RECURSIVE usable AS (
   SELECT DISTINCT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND list_sum(list_transform(embedding::DOUBLE[], x -> x * x)) > 0),
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0),
 pairs AS (
   SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
   WHERE list_cosine_similarity(a.v, b.v) >= 0.98),

@@ -38,7 +38,7 @@ _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a",
 
 def _folding() -> dict[int, str]:
     table = {i: " " for i in range(128) if not chr(i).isalnum()}
-    table |= {ord(a): b for a, b in zip(_GREEK_CYRILLIC, _LATIN, strict=False)}
+    table |= {ord(a): b for a, b in zip(_GREEK_CYRILLIC, _LATIN, strict=True)}
     table |= {ord(a): b for a, b in _SIGNS.items()}
     table |= {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)}
     table |= {0x1D400 + i: chr(97 + i % 26) for i in range(52)}
