@@ -181,10 +181,12 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "item"))
     rare = items.join(often, "item").withColumn("rank", rank + alone).where(F.col("rank") <= n_rare)
     mixed = rare.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("item")
-    rare = checkpoint(rare.join(mixed, "item", "left_semi").select("item", "doc_id", "n", "component"))
-    u = rare.select("item", F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-    v = rare.select("item", F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-    return u.join(v, "item").where("u < v and cu <> cv").where(_may_link(percent)).select("u", "v").distinct()
+    rare = checkpoint(rare.join(mixed, "item", "left_semi").select("item", "doc_id", "n", "component", "rank"))
+    u = rare.select("item", F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), (F.col("n") - F.col("rank")).alias("ru"))
+    v = rare.select("item", F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), (F.col("n") - F.col("rank")).alias("rv"))
+    # at the first item that two sets share, in the common order, only what follows in both can still be shared
+    enough = (100 + percent) * (1 + F.least("ru", "rv")) >= percent * (F.col("nu") + F.col("nv"))
+    return u.join(v, "item").where("u < v and cu <> cv").where(_may_link(percent)).where(enough).select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
