@@ -1 +1 @@
-"""larder.operators"""
+"""Operators on DataFrames that the queries share."""
