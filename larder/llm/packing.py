@@ -12,6 +12,7 @@ than a pool is held. A task's last sequence is the only one with much padding.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,10 +30,12 @@ ship(__name__)
 
 LENGTH, SEGMENTS = 2048, 128
 #: Waiting examples of a pool.
-POOL = 2048
+POOL = 1024
 #: Room of this many tokens or more is filled by cutting a waiting remainder.
 LEAST_CUT = 16
 END_ID = 1
+# Fixed value: the pieces of byte-level tokenizers.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose ids a task remembers before it starts anew.
 REMEMBERED = 400_000
 
@@ -42,7 +45,9 @@ class Encoder:
 
     The byte-level pattern always starts a new piece at a space that a visible character follows. So
     a text's ids are those of its words, each with the space before it, and only words not seen
-    before are encoded. Texts with other runs of white space, or with the file's special tokens, are encoded whole.
+    before are encoded. Texts with other runs of white space, or with the file's special tokens, are
+    encoded whole. For a byte-level file whose merges are in the order of their ids, new words go
+    through tiktoken, fed with the file's own vocabulary: the same ids in a tenth of the time.
     """
 
     def __init__(self, path: str):
@@ -53,6 +58,30 @@ class Encoder:
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes | None] = {}
+        self.quick = self._quick(path)
+
+    def _quick(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        vocabulary, first = model["model"]["vocab"], (model.get("pre_tokenizer") or {})
+        if first.get("type") != "ByteLevel" or first.get("add_prefix_space") or model.get("normalizer") or not first.get("use_regex", True):
+            return None
+        # bytes that aren't printable stand as characters from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if all(c in byte for c in token) and token not in self.special}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"]]
+        made = [vocabulary["".join(m)] for m in merges]
+        if made != sorted(made) or min(made, default=256) < 256:
+            return None
+        return tiktoken.Encoding(path, pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def words(self, words: list[str]) -> list[list[int]]:
+        if self.quick:
+            return [self.quick(f" {w}") for w in words]
+        return [e.ids for e in self.tokenizer.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -61,12 +90,12 @@ class Encoder:
         split = [t.split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
-        new = list(set().union(*(s[1:] for s in split)) - self.known.keys())
+        new = [w for w in set().union(*(s[1:] for s in split)) if w not in self.known]
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([f" {w}" for w in part], add_special_tokens=False), strict=True):
+            for word, ids in zip(part, self.words(part), strict=True):
                 odd = not word or word[0].isspace() or any(s in word for s in self.special)
-                self.known[word] = None if odd else np.array(found.ids, self.kind).tobytes()
+                self.known[word] = None if odd else np.array(ids, self.kind).tobytes()
         out = []
         for text, (first, *rest) in zip(texts, split, strict=True):
             try:
@@ -77,8 +106,8 @@ class Encoder:
         return out
 
 
-def fill(sizes: np.ndarray, limits: np.ndarray, cut: bool, last: bool) -> tuple[list[list[tuple[int, int]]], dict[int, int]]:
-    """Bins of (example, tokens taken) by the dot-product heuristic, and what is left of each waiting example.
+def fill(sizes: np.ndarray, limits: np.ndarray, cut: bool, last: bool) -> tuple[list[list[tuple[int, int]]], list[int]]:
+    """Bins of (example, tokens taken) by the dot-product heuristic, and the examples that still wait.
 
     ``sizes`` is n x 3: tokens, segments, loss-bearing tokens, each within ``limits``. With ``cut``, room of
     LEAST_CUT tokens takes the head of the longest waiting example. Unless ``last``, a bin that ends
@@ -112,19 +141,20 @@ def fill(sizes: np.ndarray, limits: np.ndarray, cut: bool, last: bool) -> tuple[
             else:
                 break
         if not last and cut and room[0] >= LEAST_CUT and not waiting.any():
-            return bins, {i: sum(t for j, t in own if j == i) + (int(sizes[i, 0]) if waiting[i] else 0) for i, _ in own}
+            return bins, [i for i, _ in own]
         bins.append(own)
-    return bins, {}
+    return bins, []
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, segments: int = SEGMENTS, end_id: int = END_ID, pool: int = POOL) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, segments: int = SEGMENTS, end_id: int = END_ID, pool: int = POOL, with_ids: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ``ids`` if wanted.
 
     A document is its text's ids and ``end_id``; every token bears loss. Null texts are empty and have
     the end id alone. Repeated rows are packed as often as they are there; a null doc_id is kept. An
     empty table gives an empty result; other columns are not read.
     """
     limits = np.array([length, segments, length])
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
@@ -134,7 +164,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, segmen
         rows: list[tuple] = []
 
         def put(doc_id, doc_tokens, start, ids, at):
-            rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), doc_tokens, sequence, at, ids))
+            rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), doc_tokens, sequence, at, *[ids] * with_ids))
 
         def empty(last: bool):
             nonlocal sequence, waiting
@@ -152,11 +182,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, segmen
 
         def told() -> pa.RecordBatch:
             c = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            lengths = np.concatenate([[0], np.cumsum(c[2], dtype=np.int64)]).astype(np.int32)
-            flat = pa.array(np.concatenate(c[7]).astype(np.int32) if rows else [], pa.int32())
             columns = [pa.array(list(x), pa.int64()) for x in c[:7]]
+            if with_ids:
+                lengths = np.concatenate([[0], np.cumsum(c[2], dtype=np.int64)]).astype(np.int32)
+                flat = pa.array(np.concatenate(c[7]).astype(np.int32) if rows else [], pa.int32())
+                columns.append(pa.ListArray.from_arrays(pa.array(lengths), flat))
             rows.clear()
-            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(lengths), flat)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             ids_of = encoder.encode(batch.column(1).to_pylist())
@@ -175,7 +207,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, segmen
         yield told()
 
     text_batches(docs.sparkSession)
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
+    schema = ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
 
 

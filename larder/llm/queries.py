@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from larder.llm import embedding_dedup, licenses, merkle, minhash, mixing, packing, quality_cnn, secrets, toxicity, url_filter
@@ -11,6 +10,14 @@ from larder.llm.common import read
 #: Target weights of the mixing query: other paths weigh 1.
 MIX_WEIGHTS = {"domain0": 3.0, "domain1": 2.0, "domain0/en": 2.0, "domain1/de/src5": 4.0}
 MIX_TOTAL, MIX_EPOCHS, MIX_SEED = 0.8, 4, 17
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where the box keeps a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +46,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return packed.drop("ids")
+    return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
