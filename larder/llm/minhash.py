@@ -236,3 +236,22 @@ def keep_one(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
     """
     gone = near_duplicates(docs.where("doc_id is not null"), percent, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+
+
+def oracle(percent: int) -> str:
+    """The same in DuckDB SQL, over all pairs that share a shingle."""
+    return rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) END AS s FROM worded),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+pairs AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM items a JOIN items b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+both_ways AS (SELECT u, v FROM pairs UNION ALL SELECT v, u FROM pairs),
+reach(u, v) AS (SELECT u, v FROM both_ways UNION SELECT reach.u, both_ways.v FROM reach JOIN both_ways ON reach.v = both_ways.u),
+least AS (SELECT u, least(u, min(v)) AS c FROM reach GROUP BY u)
+SELECT doc_id, len(s) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM sets LEFT JOIN least ON least.u = doc_id
+"""

@@ -138,3 +138,34 @@ def report(docs: DataFrame, total: float, weights: dict[str, float] | None = Non
     return choose(docs, total, weights, max_epochs, seed).select(
         "doc_id", *(F.col(f"_{k}").alias(k) for k in LEVELS), F.col("_tokens").alias("tokens"), F.col("leaf_available").alias("leaf_tokens"), F.col("leaf_budget"), F.col("_copies").alias("copies")
     )
+
+
+def oracle(total: float, weights: dict[str, float], max_epochs: int, seed: int) -> str:
+    """:func:`report` in DuckDB SQL; weights are positive."""
+    steps, above, parents = [], "SELECT 1 AS root, least(floor(sum(available) * {t}), sum(available) * {e})::DOUBLE AS share FROM leaves".format(t=total, e=max_epochs), ["root"]
+    for i, name in enumerate(LEVELS):
+        keys = list(LEVELS[: i + 1])
+        path = "concat_ws('/', " + ", ".join(keys) + ")"
+        weight = "CASE " + path + " " + " ".join(f"WHEN '{k}' THEN {float(w)}" for k, w in weights.items()) + " ELSE 1.0 END" if weights else "1.0"
+        on, by = " AND ".join(f"n.{p} = a.{p}" for p in parents), ", ".join(parents)
+        steps.append(f"""above{i} AS ({above}),
+nodes{i} AS (SELECT 1 AS root, {", ".join(keys)}, (sum(available) * {max_epochs})::DOUBLE AS capacity, ({weight})::DOUBLE AS weight FROM leaves GROUP BY ALL),
+leveled{i} AS (SELECT n.*, a.share AS whole, capacity / weight AS ratio,
+  (a.share - coalesce(sum(capacity) OVER (PARTITION BY {", ".join("n." + p for p in parents)} ORDER BY capacity / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (PARTITION BY {", ".join("n." + p for p in parents)} ORDER BY capacity / weight, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM nodes{i} n JOIN above{i} a ON {on})""")
+        above = f"SELECT root, {', '.join(keys)}, CASE WHEN level >= ratio THEN capacity ELSE max(CASE WHEN level < ratio THEN level END) OVER (PARTITION BY {by}) * weight END AS share FROM leveled{i}"
+        parents = ["root", *keys]
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, coalesce('domain' || (nullif(regexp_extract(coalesce(source, ''), '([0-9]{{1,9}})$', 1), '')::INT % {DOMAINS}), 'other') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    ceil(strlen(coalesce(text, '')) / {TOKEN_BYTES}.0)::BIGINT AS tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS available FROM docs GROUP BY ALL),
+{("," + chr(10)).join(steps)},
+budgets AS ({above}),
+planned AS (SELECT l.*, floor(b.share + 1e-6)::BIGINT AS budget, CASE WHEN available > 0 THEN floor(b.share + 1e-6)::BIGINT // available ELSE 1 END AS whole FROM leaves l JOIN budgets b USING (domain, lang, source)),
+placed AS (
+  SELECT d.*, p.available, p.budget, p.whole, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{seed}:' || (p.whole + 1) || ':' || coalesce(doc_id::VARCHAR, '')) RANGE UNBOUNDED PRECEDING) AS within
+  FROM docs d JOIN planned p USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, tokens, available AS leaf_tokens, budget AS leaf_budget, whole + (within <= budget - whole * available AND whole < {max_epochs})::INT AS copies FROM placed
+"""

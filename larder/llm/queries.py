@@ -66,5 +66,7 @@ QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secrets, op3_merkle,
 
 ORACLES = {
     "op1_embedding_dedup": embedding_dedup.ORACLE,
+    "op5_minhash_dedup": minhash.oracle(85),
+    "op6_mixing": mixing.oracle(MIX_TOTAL, MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED),
     "op9_url_filter": url_filter.ORACLE,
 }
