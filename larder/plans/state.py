@@ -257,3 +257,20 @@ def u_set_operations(spark: SparkSession, d: str) -> DataFrame:
     b = r.where("id < 50").select("id").exceptAll(r.where("id < 40").select("id")).agg(F.count("*").alias("difference"))
     c = r.select("owner").union(r.where("id < 10").select("id")).distinct().agg(F.count("*").alias("together"))
     return a.crossJoin(b).crossJoin(c)
+
+
+@query(
+    with_views("photos")
+    + """, sent AS (SELECT recipe_id, list(id ORDER BY id DESC) AS l, count(*) AS n FROM photos GROUP BY recipe_id),
+given AS (SELECT recipe_id, CASE WHEN recipe_id % 5 = 0 THEN l[2:] ELSE l END AS l FROM sent), split AS (SELECT recipe_id, unnest(l) AS id, generate_subscripts(l, 1) - 1 AS place FROM given WHERE recipe_id % 5 <> 0)
+SELECT p.id, p.recipe_id, coalesce(s.place, p.position)::BIGINT AS position FROM photos p LEFT JOIN split s ON s.id = p.id"""
+)
+def o9_reorder_album(spark: SparkSession, d: str) -> DataFrame:
+    """A given order becomes the positions if it is exactly a permutation of the album; else nothing changes."""
+    from larder.functions.names import is_permutation
+
+    photos = view(spark, d, "photos").select("id", "recipe_id", "position")
+    own = photos.groupBy("recipe_id").agg(F.sort_array(F.collect_list("id"), asc=False).alias("ids"))
+    given = own.withColumn("order", F.when(F.col("recipe_id") % 5 == 0, F.slice("ids", 2, F.size("ids"))).otherwise(F.col("ids")))
+    places = given.where(is_permutation(F.col("order"), F.col("ids"))).select(F.posexplode("order").alias("place", "id"))
+    return photos.join(places, "id", "left").select("id", "recipe_id", F.coalesce("place", "position").cast("bigint").alias("position"))

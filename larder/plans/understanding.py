@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.functions import amounts, lines, pages, steps, text, times, urls, weights
+from larder.functions import amounts, lines, names, pages, steps, text, times, urls, weights
 from larder.operators import slugs, tracking
 from larder.plans.registry import query
 from larder.plans.reports import steps as steps_of
@@ -159,3 +159,25 @@ def c9_heading_sync(spark: SparkSession, d: str) -> DataFrame:
     bad = tracking.content_violations(rows, synced).withColumn("unsafe", F.lit(True))
     sizes = synced.groupBy("recipe_id").agg(F.count("*").alias("n"), F.sum("is_heading").alias("headings"))
     return sizes.join(bad, "recipe_id", "left").withColumn("unsafe", F.coalesce("unsafe", F.lit(False)))
+
+
+@query(
+    with_views("lines")
+    + """, spelled AS (SELECT CASE position % 4 WHEN 0 THEN 'large cloves of ' WHEN 1 THEN 'Medium ' WHEN 2 THEN 'medium-grain ' ELSE '' END || raw_text AS name, amount FROM lines)
+SELECT CASE WHEN name LIKE 'large%' OR name LIKE 'Medium%' THEN 'auto' ELSE 'skip' END AS action, CASE WHEN name LIKE 'medium-%' THEN 'hyphen-compound' WHEN name LIKE 'large%' OR name LIKE 'Medium%' THEN NULL ELSE 'no-leading-descriptor' END AS reason,
+  CASE WHEN name LIKE 'large%' THEN 'large cloves' WHEN name LIKE 'Medium%' THEN 'medium' END AS unit, count(*) AS n FROM spelled GROUP BY 1, 2, 3"""
+)
+def d20_descriptor_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """Leading size and count words move from names to units; rows by action and reason."""
+    lead = F.when(F.col("position") % 4 == 0, "large cloves of ").when(F.col("position") % 4 == 1, "Medium ").when(F.col("position") % 4 == 2, "medium-grain ").otherwise("")
+    spelled = view(spark, d, "lines").select(F.concat(lead, "raw_text").alias("name"), F.col("amount").cast("string").alias("quantity"))
+    planned = spelled.groupBy("name", "quantity").agg(F.count("*").alias("n")).select("n", names.plan_descriptor(F.col("name"), F.col("quantity")).alias("p"))
+    return planned.groupBy("p.action", "p.reason", "p.unit").agg(F.sum("n").alias("n"))
+
+
+@query("WITH lines AS (SELECT doc_id AS recipe_id, trim(x) AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)) SELECT recipe_id, count(*) FILTER (t <> '') AS lines, count(*) FILTER (t = '') AS blank FROM lines GROUP BY recipe_id")
+def f46_direction_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A text's lines, stripped, with the number of blank ones."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("recipe_id"), "text")
+    counted = docs.select("recipe_id", F.size(text.filled_lines(F.col("text"))).cast("bigint").alias("lines"), F.size(F.split("text", "\\n", -1)).alias("every"))
+    return counted.select("recipe_id", "lines", (F.col("every") - F.col("lines")).cast("bigint").alias("blank"))

@@ -163,3 +163,31 @@ def test_page_read(spark):
     assert r[0].name == "Pie & Co" and r[0].source == "Nagi" and r[0].servings_raw == "4" and r[0].categories == ["Dessert", "Pie", "French"]
     assert r[0].directions == ["Mix.", "Crust:", "Roll."] and r[0].ingredient_lines == ["1 cup flour", "salt"] and (r[0].prep_time, r[0].cook_time) == ("1 hr", "1 hr 30 min")
     assert r[0].refusal is None and r[1].refusal == "NO_STRUCTURED_DATA"
+
+
+def test_descriptors(spark):
+    from larder.functions import names
+
+    want = {
+        "large cloves of garlic": ("large cloves", "garlic"), "small bunch of parsley (chopped)": ("small bunch", "parsley (chopped)"), "medium onion (cut)": ("medium", "onion (cut)"), "cloves garlic, crushed": ("cloves", "garlic, crushed"),
+        "medium-grain rice": None, "medium grain rice": None, "garlic": None, "large": None, "cloves (2)": None, None: None,
+    }
+    got = one(spark, list(want), names.split_descriptor(X))
+    assert [r and (r.unit, r.name) for r in got] == list(want.values())
+    plans = ["large cloves of garlic", "garlic", "medium-grain rice", "medium grain rice", "large or 4 small onions", "large 2 cups onion", "small pot (about", "large (x)"]
+    got = one(spark, plans, names.plan_descriptor(X, F.lit("2")))
+    assert [r.reason for r in got] == [None, "no-leading-descriptor", "hyphen-compound", "intrinsic", "alternative", "pre-mangled", "pre-mangled", "empty/paren"]
+    assert got[0].qty == "2 large cloves"
+
+
+def test_orders_of_lists(spark):
+    from larder.functions import names
+
+    rows = [([1, 2, 3], 3, 1), ([1, 2, 3], 1, None), ([1, 2, 3], 2, 2), ([1, 2, 3], 1, 9)]
+    got = run(spark, rows, names.moved_before(X, F.col("i"), F.col("b")), schema="x array<int>, i int, b int")
+    assert [r.c0 for r in got] == [[3, 1, 2], [2, 3, 1], [1, 2, 3], [2, 3, 1]]
+    got = run(spark, [([2, 1], [1, 2]), ([1, 1], [1, 2]), ([1], [1, 2]), (None, [1])], names.is_permutation(X, F.col("y")), schema="x array<int>, y array<int>")
+    assert [r.c0 for r in got] == [True, False, False, False]
+    lines_ = [(False, "a"), (True, "S"), (False, "b"), (True, "T"), (False, "c")]
+    got = run(spark, [(lines_, s) for s in (None, "", "S", "T", "gone")] + [([(False, "a")], None)], names.removed_place(X, F.col("s")), schema="x array<struct<is_heading:boolean,text:string>>, s string")
+    assert [r.c0 for r in got] == [1, 1, 3, 5, 5, 1]
