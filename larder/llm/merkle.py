@@ -87,6 +87,18 @@ def _buckets(docs: DataFrame, rows: int) -> list[int]:
     return sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 10 * wanted)).first()[0]))
 
 
+def _heads(docs: DataFrame) -> DataFrame:
+    """(bucket, head): for each bucket the text of the first row after it; as many rows as there are buckets.
+
+    There are at most MOST_BUCKETS of them, few enough to broadcast, so only the first texts are shuffled.
+    """
+    firsts = docs.groupBy("bucket").agg(F.min("doc_id").alias("doc_id"))
+    firsts = docs.join(F.broadcast(firsts), ["bucket", "doc_id"]).groupBy("bucket").agg(F.min("text").alias("head"))
+    ring = Window.orderBy("bucket")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return firsts.select("bucket", F.coalesce(F.lead("head").over(ring), F.first("head").over(whole)).alias("head"))
+
+
 def with_next(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds ``next_text``: the text of the document with the next greater doc_id, after the last that of the first.
 
@@ -104,29 +116,19 @@ def with_next(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
     else:
         docs = docs.withColumn("bucket", F.lit(0))
     order = Window.partitionBy("bucket").orderBy("doc_id", "text")
+    heads = _heads(docs)
     docs = docs.withColumns({"next_text": F.lead("text").over(order), "last": F.lead("doc_id").over(order).isNull()})
-    return docs
-
-
-def _heads(docs: DataFrame, source: DataFrame) -> DataFrame:
-    """(bucket, head): for each bucket the text of the first row after it; as many rows as there are buckets."""
-    firsts = docs.groupBy("bucket").agg(F.min("doc_id").alias("doc_id"))
-    texts = source.select("doc_id", text_or_empty().alias("head")).join(firsts, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("head").alias("head"))
-    firsts = firsts.join(texts, "doc_id").select("bucket", "head")
-    ring = Window.orderBy("bucket")
-    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return firsts.select("bucket", F.coalesce(F.lead("head").over(ring), F.first("head").over(whole)).alias("head"))
+    joined = docs.join(heads, (docs["bucket"] == heads["bucket"]) & docs["last"], "left")
+    return joined.select("doc_id", "text", F.coalesce("next_text", "head").alias("next_text"))
 
 
 def edited_pairs(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, text, next_text, edited): each text with its second half replaced by the start of the next document."""
     placed = with_next(docs, rows)
-    heads = _heads(placed.select("bucket", "doc_id"), docs)
-    joined = placed.join(heads, (placed["bucket"] == heads["bucket"]) & placed["last"], "left").withColumn("next_text", F.coalesce("next_text", "head"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    return joined.select("doc_id", "text", "next_text", edited.alias("edited"))
+    return placed.select("doc_id", "text", "next_text", edited.alias("edited"))
 
 
 def compare_with_edits(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
