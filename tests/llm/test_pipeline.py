@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline
 from larder.llm import toxicity
 from larder.llm.queries import tokenizer_path
-from tests.llm.data import SMALL, docs, table
+from tests.llm.data import SF, SMALL, docs, table
 from tests.llm.test_minhash import brute as near_brute
 from tests.llm.test_mixing import brute as mix_brute
 from tests.llm.test_packing import check as check_packing
@@ -31,14 +31,14 @@ def redacted(text):
 def test_stages(spark, tmp_path):
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["toxicity", "near_dedup", "secrets", "mixing", "packing"]
-    now = table(spark, "documents", SMALL)
+    now = table(spark, "documents")
     columns, kept = now.columns, {"documents": now}
     for name, stage in list(stages.items())[:-1]:
-        stage(spark, now, SMALL).write.parquet(str(tmp_path / name))
+        stage(spark, now, SF).write.parquet(str(tmp_path / name))
         now = kept[name] = spark.read.parquet(str(tmp_path / name))
         assert now.columns == columns
 
-    lexicon = toxicity.learn(kept["documents"], table(spark, "labels", SMALL))
+    lexicon = toxicity.learn(kept["documents"], table(spark, "labels"))
     want = Counter({k: n for k, n in rows_of(kept["documents"]).items() if lexicon.score(k[1] or "") < 0.5})
     assert rows_of(kept["toxicity"]) == want and sum(want.values()) < kept["documents"].count()
 
@@ -55,7 +55,7 @@ def test_stages(spark, tmp_path):
     assert rows_of(kept["mixing"]) == Counter(tuple(r) for r in rows if copies[r.doc_id])
 
     check_packing(kept["mixing"])
-    pieces = stages["packing"](spark, now, SMALL)
+    pieces = stages["packing"](spark, now, SF)
     assert {r.doc_id for r in pieces.select("doc_id").collect()} == {r.doc_id for r in now.collect()}
 
 
