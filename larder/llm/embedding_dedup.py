@@ -9,6 +9,9 @@ of its own: nothing is capped. Verified pairs of all passes are united to compon
 
 All links of a vector lie within its component, so they are then counted exactly, again in windows
 for components that fit one and by pairs of blocks for larger ones.
+
+Equal vectors of a label are one vector with a number of copies throughout, so that a vector which
+holds a large share of the rows is compared once.
 """
 
 from __future__ import annotations
@@ -48,6 +51,21 @@ def usable(vectors: DataFrame, label: str = "label") -> DataFrame:
     return v.dropDuplicates(["vec_id", "label", "v"])
 
 
+def collapse(v: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Equal vectors of a label as one: (members, distinct vectors, ids that stand with several vectors or None).
+
+    Distinct vectors have the least vec_id of their copies and ``m``, the number of copies. Ids with
+    several vectors are in no group of copies; each of their vectors stands for itself.
+    """
+    several = checkpoint(v.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"))
+    some = several.first() is not None
+    members = v.join(several, "vec_id", "left_anti") if some else v
+    one = members.groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("m")).select("vec_id", "label", "v", "m")
+    if some:
+        one = one.unionByName(v.join(several, "vec_id", "left_semi").select("vec_id", "label", "v", F.lit(1).cast("long").alias("m")))
+    return members, checkpoint(one), several if some else None
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     v = np.stack([np.asarray(x, np.float64) for x in column])
     return v / np.sqrt((v * v).sum(1))[:, None]
@@ -153,8 +171,8 @@ def links(v: DataFrame, cosine: float, window: int = WINDOW, block: int = BLOCK)
 
 
 def count_links(v: DataFrame, component: DataFrame, cosine: float, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """(vec_id, n_links): for each vector of a component the other vectors at the wanted cosine and of its label."""
-    rows = v.select("vec_id", F.col("label").cast("long").alias("label"), F.size("v").alias("dim"), "v").join(component, F.col("vec_id") == F.col("id")).drop("id")
+    """(vec_id, n_links): for each vector of a component the copies (``m``) of other vectors at the wanted cosine and of its label."""
+    rows = v.select("vec_id", F.col("label").cast("long").alias("label"), F.size("v").alias("dim"), "v", "m").join(component, F.col("vec_id") == F.col("id")).drop("id")
     group = ["component", "label", "dim"]
     sizes = checkpoint(rows.groupBy(*group).agg(F.count("*").alias("size")).where(F.col("size") > window))
 
@@ -167,7 +185,7 @@ def count_links(v: DataFrame, component: DataFrame, cosine: float, window: int =
                 close = _close(_matrix(part["v"].iloc[at]), ids[at], cosine, codes[at])
                 # a pair counts when its later row is new, so once
                 close &= fresh[at][:, None] | fresh[at][None, :]
-                out.append(pd.DataFrame({"vec_id": ids[at], "n": close.sum(1)}))
+                out.append(pd.DataFrame({"vec_id": ids[at], "n": close @ part["m"].to_numpy()[at]}))
             yield pd.concat(out)
 
     def count_blocks(frame: pd.DataFrame) -> pd.DataFrame:
@@ -175,7 +193,7 @@ def count_links(v: DataFrame, component: DataFrame, cosine: float, window: int =
         close = _close(_matrix(frame["v"]), ids, cosine)
         if frame["i"].iloc[0] != frame["j"].iloc[0]:
             close &= b[:, None] != b[None, :]
-        return pd.DataFrame({"vec_id": ids, "n": close.sum(1)})
+        return pd.DataFrame({"vec_id": ids, "n": close @ frame["m"].to_numpy()})
 
     n = parallelism(v.sparkSession)
     small = rows.join(sizes, group, "left_anti").repartition(n, *group).sortWithinPartitions(*group, "vec_id")
@@ -192,12 +210,22 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, label: str = "labe
     Vectors are linked when their labels are equal and not null and their cosine, in double precision,
     is at least ``cosine``. Vectors that are null, zero, or hold null or non-finite components link
     with nothing; nor do those of different lengths. Repeated rows are one vector and come back as
-    often as they are there; a null vec_id links with nothing. An empty table gives an empty result.
+    often as they are there; each of several vectors with one vec_id links with other ids, and the
+    id has all these links; a null vec_id links with nothing. An empty table gives an empty result.
     """
     v = checkpoint(usable(vectors, label))
-    part = checkpoint(connected_components(links(v, cosine)))
-    n = count_links(v, part, cosine)
-    known = part.join(n, F.col("id") == F.col("vec_id"), "left").select("id", "component", "n_links")
+    members, one, several = collapse(v)
+    part = checkpoint(connected_components(links(one, cosine)))
+    n = count_links(one, part, cosine)
+    found = part.join(n, F.col("id") == F.col("vec_id"), "left").select("id", "component", F.coalesce("n_links", F.lit(0)).alias("n"))
+    known = one.join(found, F.col("vec_id") == F.col("id"), "left").where("m > 1 or component is not null")
+    known = known.select("label", "v", F.coalesce("component", "vec_id").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.col("vec_id").alias("of"))
+    if several is not None:
+        known = known.join(several, F.col("of") == several["vec_id"], "left_anti")
+    # one row for each vector on the right: a vector with very many copies is split on the left by adaptive execution
+    known = members.join(known, ["label", "v"]).select(F.col("vec_id").alias("id"), "component", "n_links")
+    if several is not None:
+        known = known.unionByName(found.join(several, F.col("id") == several["vec_id"], "left_semi").select("id", "component", F.col("n").alias("n_links")))
     return vectors.select("vec_id").join(known, F.col("vec_id") == F.col("id"), "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -58,6 +58,26 @@ def test_dense_groups_take_the_exact_way(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_copies_count_as_links(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup.links, "__defaults__", (8, 6))
+    monkeypatch.setattr(embedding_dedup.count_links, "__defaults__", (8, 6))
+    random = np.random.default_rng(5)
+    hot, other = random.normal(size=12), random.normal(size=12)
+    rows = [(100 + i, hot.tolist(), 1) for i in range(70)] + [(i, (hot + random.normal(size=12) * 0.15).tolist(), 1) for i in range(12)]
+    rows += [(300 + i, other.tolist(), 1 + i % 2) for i in range(9)] + [(400, hot.tolist(), 2), (401, hot.tolist(), None)]
+    check(spark, rows)
+    df = spark.createDataFrame(rows, SCHEMA.replace(", component long, id string", ""))
+    _, one, several = embedding_dedup.collapse(embedding_dedup.usable(df))
+    assert several is None and one.count() == 1 + 12 + 2 + 1
+
+
+def test_an_id_with_several_vectors(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, a, 1), (5, b, 1), (7, a, 1), (8, a, 1), (9, b, 1), (3, [0.0, 0.0, 1.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {5: (3, 5, True), 7: (2, 5, False), 8: (2, 5, False), 9: (1, 5, False), 3: (0, 3, True)}
+
+
 def test_odd_cases(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v, 1), (2, [2.0, 4.0, 6.0], 1), (3, v, 2), (4, v, None), (5, None, 1), (6, [0.0] * 3, 1), (7, [1.0, None, 3.0], 1), (8, [1.0, float("nan"), 3.0], 1), (9, [1.0, float("inf"), 3.0], 1), (10, [1.0, 2.0], 1), (11, [], 1), (2, [2.0, 4.0, 6.0], 1)]
