@@ -120,14 +120,16 @@ def link_parts(scanned: DataFrame, reach: int = REACH) -> DataFrame:
     """
     key = ["doc_id", "text_hash"]
     has = lambda c, *nos: F.exists(c, lambda s: reduce(lambda a, b: a | b, (s["no"] == n for n in nos)))
-    able = scanned.where((has("weak", 3) & (has("weak", 4) | has("base", 0, 2))) | (has("weak", 4) & has("base", 1))).select(*key, F.concat("base", "weak").alias("part")).distinct()
+    paired = (has("weak", 3) & (has("weak", 4) | has("base", 0, 2))) | (has("weak", 4) & has("base", 1)) | (has("weak", 5) & has("base", 1) & has("base", 0, 2))
+    able = scanned.where(paired).select(*key, F.concat("base", "weak").alias("part")).distinct()
     parts = able.select(*key, F.explode("part").alias("part")).select(*key, "part.*")
     scope = F.sum((F.col("no") < 0).cast("long")).over(Window.partitionBy(*key).orderBy("start", "no", "stop"))
     role = F.when(F.col("no").isin(1, 3), "id").when(F.col("no").isin(0, 2, 4), "secret").otherwise("endpoint")
     parts = parts.withColumn("scope", scope).where("no >= 0").withColumns({"role": role, "bucket": F.floor(F.col("start") / reach)})
     ends = parts.where("role <> 'endpoint'").groupBy(*key, "scope", F.col("role").alias("partner"), F.col("bucket").alias("near")).agg(F.min("start").alias("low"), F.max("start").alias("high"))
     weak = parts.where("no >= 3").withColumn("near", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    met = weak.join(ends, [*key, "scope", "near"]).where("role <> partner").where(f"near = bucket or (near < bucket and start - high <= {reach}) or (near > bucket and low - start <= {reach})")
+    same = reduce(lambda x, y: x & y, (F.col(f"w.{c}").eqNullSafe(F.col(f"e.{c}")) for c in (*key, "scope", "near")))
+    met = weak.alias("w").join(ends.alias("e"), same).select("w.*", "partner", "low", "high").where("role <> partner").where(f"near = bucket or (near < bucket and start - high <= {reach}) or (near > bucket and low - start <= {reach})")
     partners = met.groupBy(*key, "scope", "start", "no", "stop", "role").agg(F.count_distinct("partner").alias("partners"))
     kept = partners.where("partners = 2 or role <> 'endpoint'")
     return kept.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "no", "stop"))).cast(_SPAN).alias("linked"))

@@ -77,6 +77,16 @@ def test_linking(spark):
     assert [got[i] for i in range(4)] == [3, 0, 0, 0] and got[5] == 800 and got[6] == 0
 
 
+def test_linking_of_strong_parts_and_null_ids(spark):
+    strong = "AKIA" + "Z" * 16 + " secret=abcdefgh https://db.example.org/x"
+    hexed = "AKIA" + "Z" * 16 + " " + "0123456789abcdef" * 2 + " https://db.example.org/x"
+    texts = [(0, strong), (1, hexed), (2, strong.replace(" https", "\n\nhttps")), (3, "secret=abcdefgh https://db.example.org/x"), (None, "user: alice pwd=hunter22"), (None, strong)]
+    df = docs(spark, [(i, t, "en", "s", 1, 1, "k", 1) for i, t in texts])
+    got = sorted((-1 if g.doc_id is None else g.doc_id, g.n_linked) for g in check(df))
+    assert got == [(-1, 1), (-1, 2), (0, 1), (1, 1), (2, 0), (3, 0)]
+    assert all("https" not in r.text for r in secrets.redact(df).where("doc_id in (0, 1)").collect())
+
+
 def test_redaction(spark):
     df = docs(spark)
     out = {r.doc_id: r.text for r in secrets.redact(df).collect() if r.doc_id is not None}
