@@ -130,7 +130,7 @@ def q14_step_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def _snapshots(spark: SparkSession, d: str) -> DataFrame:
     """(recipe_id, old, new): each document's lines, and those with one left out, one reworded and two swapped."""
-    rows = steps_of(spark, d).where("recipe_id % 4 <> 3 AND position < 40").groupBy("recipe_id").agg(F.array_sort(F.collect_list(F.struct("position", "is_heading", "text"))).alias("steps"))
+    rows = steps_of(spark, d).groupBy("recipe_id").agg(F.array_sort(F.collect_list(F.struct("position", "is_heading", "text"))).alias("steps"))
     named = rows.withColumn("recipe", F.struct(*(F.when(F.lit(f) == "servings", F.col("recipe_id").cast("string")).alias(f) for f in tracking.FIELDS)))
     fresh = F.struct(*(F.when(F.lit(f) == "servings", F.when(F.col("recipe_id") % 2 == 0, "4").otherwise(F.col("recipe_id").cast("string"))).alias(f) for f in tracking.FIELDS))
     edited = F.filter(F.transform("steps", lambda s: F.struct(s["position"].alias("position"), s["is_heading"].alias("is_heading"), F.when(s["position"] == 2, F.concat(s["text"], F.lit(" more"))).otherwise(s["text"]).alias("text"))), lambda s: s["position"] != F.col("recipe_id") % 5)
@@ -153,7 +153,7 @@ def c7_changes(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def c9_heading_sync(spark: SparkSession, d: str) -> DataFrame:
     """Baseline content under the current headings; unsafe recipes would be listed instead of a size."""
-    rows = steps_of(spark, d).where("position < 40").select("recipe_id", "position", "is_heading", "text")
+    rows = steps_of(spark, d).select("recipe_id", "position", "is_heading", "text")
     moved = rows.withColumn("position", F.when(F.col("is_heading") == 1, F.col("position") - 2).otherwise(F.col("position")))
     synced = tracking.with_current_headings(rows, moved)
     bad = tracking.content_violations(rows, synced).withColumn("unsafe", F.lit(True))

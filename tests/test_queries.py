@@ -54,3 +54,16 @@ def test_filters_reach_the_scan(spark):
 
 def test_headings_are_safe(spark):
     assert QUERIES["c9_heading_sync"](spark, SF).where("unsafe").count() == 0
+
+
+def test_change_queries_read_every_document_to_its_end(spark, tmp_path):
+    from larder.plans.understanding import _snapshots
+
+    texts = [(i, "\n".join(f"line {n} of {i}" for n in range(60))) for i in (3, 4, 7)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    d = str(tmp_path)
+    old = {r.recipe_id: r.old for r in _snapshots(spark, d).collect()}
+    assert sorted(old) == [3, 4, 7] and all(f"line 59 of {i}" in s for i, s in old.items())
+    assert {r.recipe_id for r in QUERIES["c7_changes"](spark, d).where("kind <> 'field'").collect()} == {3, 4, 7}
+    assert QUERIES["c1_field_changes"](spark, d).count() == 0
+    assert [r.n for r in QUERIES["c9_heading_sync"](spark, d).collect()] == [60, 60, 60]
