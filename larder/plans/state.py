@@ -14,6 +14,14 @@ from larder.plans.reads import queue, ratings
 from larder.plans.registry import query
 from larder.plans.views import ME, view, with_views
 
+
+def unreferenced(photos: DataFrame, recipes: DataFrame, heroes: DataFrame) -> DataFrame:
+    """(path) of files of test recipes that no other recipe has in its album, nor one of ``heroes`` as its image."""
+    held = photos.select("recipe_id", "path").join(recipes.select(F.col("id").alias("recipe_id"), "source"), "recipe_id")
+    survivors = held.where("source <> 'test'").select("path").unionByName(heroes.where("source <> 'test' AND image IS NOT NULL").select(F.col("image").alias("path")))
+    return held.where("source = 'test'").select("path").distinct().join(survivors, "path", "left_anti")
+
+
 _GONE = "recipes_gone AS (SELECT id FROM recipes WHERE source = 'test')"
 
 
@@ -42,11 +50,21 @@ def j17_delete_cascade(spark: SparkSession, d: str) -> DataFrame:
   AND path NOT IN (SELECT image FROM recipes WHERE source <> 'test' AND image IS NOT NULL AND id > 14900)"""
 )
 def u5_unreferenced_files(spark: SparkSession, d: str) -> DataFrame:
-    """Files of deleted recipes that no survivor names, from two places."""
-    recipes = view(spark, d, "recipes").select(F.col("id").alias("recipe_id"), "source", "image")
-    held = view(spark, d, "photos").select("recipe_id", "path").join(recipes, "recipe_id")
-    survivors = held.where("source <> 'test'").select("path").unionByName(recipes.where("source <> 'test' AND image IS NOT NULL AND recipe_id > 14900").select(F.col("image").alias("path")))
-    return held.where("source = 'test'").select("path").distinct().join(survivors, "path", "left_anti")
+    """Files of deleted recipes that no survivor names, from two places; heroes of ids above 14,900 only, as its SQL asks."""
+    recipes = view(spark, d, "recipes")
+    return unreferenced(view(spark, d, "photos"), recipes, recipes.where("id > 14900"))
+
+
+@query(
+    with_views("recipes", "photos")
+    + """SELECT DISTINCT path FROM photos p JOIN recipes r ON r.id = p.recipe_id WHERE r.source = 'test'
+  AND path NOT IN (SELECT path FROM photos p2 JOIN recipes r2 ON r2.id = p2.recipe_id WHERE r2.source <> 'test')
+  AND path NOT IN (SELECT image FROM recipes WHERE source <> 'test' AND image IS NOT NULL)"""
+)
+def u5_all_unreferenced_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files of deleted recipes that no survivor names, in its album or as its hero."""
+    recipes = view(spark, d, "recipes")
+    return unreferenced(view(spark, d, "photos"), recipes, recipes)
 
 
 @query(

@@ -67,3 +67,12 @@ def test_change_queries_read_every_document_to_its_end(spark, tmp_path):
     assert {r.recipe_id for r in QUERIES["c7_changes"](spark, d).where("kind <> 'field'").collect()} == {3, 4, 7}
     assert QUERIES["c1_field_changes"](spark, d).count() == 0
     assert [r.n for r in QUERIES["c9_heading_sync"](spark, d).collect()] == [60, 60, 60]
+
+
+def test_every_survivors_hero_keeps_its_file(spark):
+    from larder.plans.state import unreferenced
+
+    recipes = spark.createDataFrame([(1, "test", None), (2, "app", "img/a"), (20000, "seed", "img/b"), (4, "test", "img/c")], "id long, source string, image string")
+    photos = spark.createDataFrame([(1, "img/a"), (1, "img/b"), (1, "img/c"), (1, "img/d"), (2, "img/d")], "recipe_id long, path string")
+    assert [r.path for r in unreferenced(photos, recipes, recipes).collect()] == ["img/c"]
+    assert "u5_all_unreferenced_files" in QUERIES
