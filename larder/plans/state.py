@@ -14,6 +14,9 @@ from larder.plans.reads import queue, ratings
 from larder.plans.registry import query
 from larder.plans.views import ME, view, with_views
 
+#: The longest caption of a post.
+CAPTION_MAX = 280
+
 
 def unreferenced(photos: DataFrame, recipes: DataFrame, heroes: DataFrame) -> DataFrame:
     """(path) of files of test recipes that no other recipe has in its album, nor one of ``heroes`` as its image."""
@@ -221,9 +224,24 @@ def d3_seed_upsert(spark: SparkSession, d: str) -> DataFrame:
   AND NOT EXISTS (SELECT 1 FROM cook_log c WHERE c.recipe_id = r.id AND c.source = 'app')"""
 )
 def d22_guarded_insert(spark: SparkSession, d: str) -> DataFrame:
-    """Recipes that may get a seeded row: they exist, and none of that source is there."""
-    log = view(spark, d, "cook_log").select(F.col("recipe_id").alias("id"), "source")
-    free = view(spark, d, "recipes").where("id < 500").select("id", "source").join(log.where("source = 'app'").select("id"), "id", "left_anti")
+    """Recipes that may get a seeded row: they exist, and none of that source is there; ids below 500 only, as its SQL asks."""
+    return insertable(view(spark, d, "recipes").where("id < 500"), view(spark, d, "cook_log"))
+
+
+@query(
+    with_views("recipes", "cook_log")
+    + """SELECT id, source, EXISTS (SELECT 1 FROM cook_log c WHERE c.recipe_id = r.id AND c.source = 'import') AS seeded FROM recipes r
+WHERE NOT EXISTS (SELECT 1 FROM cook_log c WHERE c.recipe_id = r.id AND c.source = 'app')"""
+)
+def d22_all_guarded_insert(spark: SparkSession, d: str) -> DataFrame:
+    """All recipes that may get a seeded row: they exist, and none of that source is there."""
+    return insertable(view(spark, d, "recipes"), view(spark, d, "cook_log"))
+
+
+def insertable(recipes: DataFrame, cook_log: DataFrame) -> DataFrame:
+    """(id, source, seeded) of recipes without a cook from the app; seeded if an import is there."""
+    log = cook_log.select(F.col("recipe_id").alias("id"), "source")
+    free = recipes.select("id", "source").join(log.where("source = 'app'").select("id"), "id", "left_anti")
     return free.join(log.where("source = 'import'").select("id", F.lit(True).alias("s")).distinct(), "id", "left").select("id", "source", F.col("s").isNotNull().alias("seeded"))
 
 
@@ -261,15 +279,29 @@ def w8_batch_dedup(spark: SparkSession, d: str) -> DataFrame:
     + """SELECT p.id, CASE WHEN length(trim(p.caption)) = 0 THEN NULL ELSE trim(p.caption) END AS caption, p.user_id = 7 OR (SELECT is_admin FROM users u WHERE u.id = p.user_id) AS may_delete FROM posts p WHERE length(trim(p.caption)) <= 10"""
 )
 def d13_share_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Trimmed captions within the cap, and who may delete."""
-    users = view(spark, d, "users").select(F.col("id").alias("user_id"), "is_admin")
+    """Trimmed captions within a cap of 10, as its SQL asks, and who may delete."""
+    return shared(view(spark, d, "posts"), view(spark, d, "users"), 10)
+
+
+@query(
+    with_views("posts", "users")
+    + f"""SELECT p.id, CASE WHEN length(trim(p.caption)) = 0 THEN NULL ELSE trim(p.caption) END AS caption, p.user_id = 7 OR (SELECT is_admin FROM users u WHERE u.id = p.user_id) AS may_delete FROM posts p WHERE p.caption IS NULL OR length(trim(p.caption)) <= {CAPTION_MAX}"""
+)
+def d13_all_share_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Trimmed captions within the reference's cap, and who may delete."""
+    return shared(view(spark, d, "posts"), view(spark, d, "users"), CAPTION_MAX)
+
+
+def shared(posts: DataFrame, users: DataFrame, cap: int) -> DataFrame:
+    """(id, caption, may_delete) of posts without a caption or with one of at most ``cap`` code points once trimmed."""
+    users = users.select(F.col("id").alias("user_id"), "is_admin")
     caption = F.trim("caption")
-    return view(spark, d, "posts").where(F.length(caption) <= 10).join(users, "user_id", "left").select("id", F.nullif(caption, F.lit("")).alias("caption"), ((F.col("user_id") == 7) | F.col("is_admin")).alias("may_delete"))
+    return posts.where(F.col("caption").isNull() | (F.length(caption) <= cap)).join(users, "user_id", "left").select("id", F.nullif(caption, F.lit("")).alias("caption"), ((F.col("user_id") == 7) | F.col("is_admin")).alias("may_delete"))
 
 
 @query(with_views("recipes") + "SELECT (SELECT count(DISTINCT owner) FROM recipes WHERE id < 3) > 1 AS ambiguous, (SELECT count(*) FROM (SELECT id FROM recipes WHERE id < 50 EXCEPT SELECT id FROM recipes WHERE id < 40)) AS difference, (SELECT count(*) FROM (SELECT owner FROM recipes UNION SELECT id FROM recipes WHERE id < 10)) AS together")
 def u_set_operations(spark: SparkSession, d: str) -> DataFrame:
-    """Unions, differences, equality of sets and a guard on a single owner."""
+    """Unions, differences, equality of sets and a guard on a single owner, over the few ids that its SQL names."""
     r = view(spark, d, "recipes").select("id", "owner")
     a = r.where("id < 3").agg((F.count_distinct("owner") > 1).alias("ambiguous"))
     b = r.where("id < 50").select("id").exceptAll(r.where("id < 40").select("id")).agg(F.count("*").alias("difference"))
@@ -277,6 +309,24 @@ def u_set_operations(spark: SparkSession, d: str) -> DataFrame:
     return a.crossJoin(b).crossJoin(c)
 
 
+@query(
+    with_views("recipes", "users")
+    + """SELECT (SELECT count(DISTINCT owner) FROM recipes) > 1 AS ambiguous, (SELECT count(*) FROM (SELECT name FROM recipes WHERE source = 'app' EXCEPT SELECT name FROM recipes WHERE source = 'test')) AS difference,
+  (SELECT count(*) FROM (SELECT owner FROM recipes UNION SELECT id FROM users)) AS together,
+  NOT EXISTS (SELECT id FROM users EXCEPT SELECT owner FROM recipes) AND NOT EXISTS (SELECT owner FROM recipes EXCEPT SELECT id FROM users) AS equal"""
+)
+def u_all_set_operations(spark: SparkSession, d: str) -> DataFrame:
+    """The same on whole sides: names of the app tier beside the test tier's, owners beside users."""
+    r = view(spark, d, "recipes").select("name", "owner", "source")
+    users, owners = view(spark, d, "users").select("id"), r.select(F.col("owner").alias("id"))
+    tier = lambda t: r.where(F.col("source") == t).select("name")
+    a = r.agg((F.count_distinct("owner") > 1).alias("ambiguous"))
+    b = tier("app").subtract(tier("test")).agg(F.count("*").alias("difference"))
+    c = owners.union(users).distinct().agg(F.count("*").alias("together"))
+    e = users.subtract(owners).unionByName(owners.subtract(users)).agg((F.count("*") == 0).alias("equal"))
+    return a.crossJoin(b).crossJoin(c).crossJoin(e)
+
+
 @query(
     with_views("photos")
     + """, sent AS (SELECT recipe_id, list(id ORDER BY id DESC) AS l, count(*) AS n FROM photos GROUP BY recipe_id),

@@ -76,3 +76,16 @@ def test_every_survivors_hero_keeps_its_file(spark):
     photos = spark.createDataFrame([(1, "img/a"), (1, "img/b"), (1, "img/c"), (1, "img/d"), (2, "img/d")], "recipe_id long, path string")
     assert [r.path for r in unreferenced(photos, recipes, recipes).collect()] == ["img/c"]
     assert "u5_all_unreferenced_files" in QUERIES
+
+
+def test_inserts_captions_and_sets_are_whole(spark):
+    from larder.plans.state import CAPTION_MAX, insertable, shared
+
+    recipes = spark.createDataFrame([(1, "app"), (499, "app"), (120000, "seed"), (120001, "seed")], "id long, source string")
+    log = spark.createDataFrame([(1, "app"), (120000, "import")], "recipe_id long, source string")
+    assert sorted(tuple(r) for r in insertable(recipes, log).collect()) == [(499, "app", False), (120000, "seed", True), (120001, "seed", False)]
+    posts = spark.createDataFrame([(1, 7, " post 123456 "), (2, 8, "x" * 280), (3, 8, "x" * 281), (4, 9, None)], "id long, user_id long, caption string")
+    users = spark.createDataFrame([(7, False), (8, True), (9, False)], "id long, is_admin boolean")
+    assert sorted(tuple(r) for r in shared(posts, users, CAPTION_MAX).collect()) == [(1, "post 123456", True), (2, "x" * 280, True), (4, None, False)]
+    whole = QUERIES["d22_all_guarded_insert"](spark, SF)
+    assert whole.where("id >= 500").count() == spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey >= 500").count()
