@@ -62,6 +62,7 @@ VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
         "event_type = 'error'",
     ),
     "comments": ("conversations", {"conv_id": "conv_id", "turn": "turn", "author_id": "conv_id * 13 % 150", "body": "substring(text, 1, 40)"}, "true"),
+    "turns": ("conversations", {"conv_id": "conv_id", "turn": "turn", "author_id": "conv_id * 13 % 150", "body": "text"}, "true"),
     "photos": (
         "events",
         {"id": "event_id", "recipe_id": _RECIPE, "user_id": "user_id", "cook_log_id": "CASE WHEN event_id % 3 > 0 THEN event_id - event_id % 5 END", "path": "concat('img/', cast(event_id % 40 AS string))", "added_at": _TEXT_TS, "position": "CASE WHEN event_id % 4 < 2 THEN event_id % 7 END"},

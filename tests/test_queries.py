@@ -89,3 +89,14 @@ def test_inserts_captions_and_sets_are_whole(spark):
     assert sorted(tuple(r) for r in shared(posts, users, CAPTION_MAX).collect()) == [(1, "post 123456", True), (2, "x" * 280, True), (4, None, False)]
     whole = QUERIES["d22_all_guarded_insert"](spark, SF)
     assert whole.where("id >= 500").count() == spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey >= 500").count()
+
+
+def test_threads_hold_whole_comments_and_ordinals_span_ranges(spark):
+    from larder.plans.reads import numbered
+
+    ids = [-7, 0, 3, 9, 10, 11, 35, 36, 90]
+    got = numbered(spark.createDataFrame([(i,) for i in reversed(ids)], "id long"), 10)
+    assert sorted((r.ordinal, r.id) for r in got.collect()) == list(enumerate(ids))
+    said = {f"{r.turn}:{r.text}" for r in spark.read.parquet(f"{SF}/conversations.parquet").where("length(text) > 40").collect()}
+    threads = [r.thread for r in QUERIES["a16_all_threads"](spark, SF).collect()]
+    assert said and any(s in t for t in threads for s in said)
