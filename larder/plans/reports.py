@@ -71,7 +71,7 @@ def a11_flag_histogram(spark: SparkSession, d: str) -> DataFrame:
     + "SELECT lower(trim(author)) AS author, count(*) AS n, arg_min(id, (md5(id::VARCHAR || ':5'), id)) AS sampled FROM recipes WHERE author <> '' GROUP BY 1"
 )
 def a17_author_sample(spark: SparkSession, d: str) -> DataFrame:
-    """One seeded random recipe of each author, as a minimum of a hash."""
+    """One seeded random recipe of each author, as a minimum of a hash."""
     draw = F.struct(F.md5(F.concat(F.col("id").cast("string"), F.lit(":5"))).alias("h"), "id")
     return view(spark, d, "recipes").where("author <> ''").groupBy(F.lower(F.trim("author")).alias("author")).agg(F.count("*").alias("n"), F.min(draw)["id"].alias("sampled"))
 
