@@ -29,12 +29,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """Edges (u long, v long) to rows (id, component): every vertex of an edge with the smallest vertex it reaches.
+    """Edges (u, v) to rows (id, component): every vertex of an edge with the smallest vertex it reaches.
 
-    Self loops, nulls and repeated edges change nothing; vertices of self loops alone are left out.
+    Vertices are of any one type that has an order. Self loops, nulls and repeated edges change nothing; vertices of self loops alone are left out.
     An empty table gives an empty result.
     """
-    now = checkpoint(edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v").distinct())
+    now = checkpoint(edges.select("u", "v").where("u <> v").distinct())
     before = None
     for _ in range(max_rounds):
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64(F.greatest("u", "v"), F.least("u", "v")) % F.lit(1 << 40)).alias("s")).first()
