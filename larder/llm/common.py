@@ -5,15 +5,17 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text in an Arrow batch; bounds what a Python worker holds at once.
-TEXT_ROWS = 512
+#: Rows and bytes of text that a kernel works on at once.
+TEXT_ROWS, TEXT_BYTES = 512, 4 << 20
 
 
 def ship(module_name: str) -> None:
@@ -27,13 +29,15 @@ ship(__name__)
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
 
-    A temporary folder is used only where the session names none (tests, local runs).
+    Local sessions that name none (tests) get a temporary folder; on a cluster that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "larder-checkpoints"))
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="larder-checkpoints-"))
     return df.checkpoint()
 
 
@@ -41,11 +45,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Keep Arrow batches of texts small; very long texts would else fill a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(batches: Iterator[pa.RecordBatch], text: int, rows: int = TEXT_ROWS, size: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches with at most ``rows`` rows and ``size`` bytes in column ``text``; a longer text is one slice.
+
+    Spark bounds a batch by bytes of its own; kernels that hold many numbers for each byte need less.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(batch):
+            under = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            stop = min(max(under, at + 1), at + rows)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of ``df`` has, however it is written."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def text_or_empty(name: str = "text") -> Column:

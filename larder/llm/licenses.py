@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import ship, text_batches, text_bytes, text_or_empty
+from larder.llm.common import ship, small_batches, text_bytes, text_or_empty
 
 ship(__name__)
 
@@ -128,7 +128,7 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = Search(phrases, notices)
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             raw, offsets = text_bytes(batch.column(1))
             data = raw.tobytes()
             rows = []
@@ -146,6 +146,5 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
             columns = list(zip(*rows, strict=True)) if rows else [[]] * (len(names) - 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds[1:], strict=True))], names)
 
-    text_batches(docs.sparkSession)
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, notices array<struct<label:string,start:long,stop:long,edits:int>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)

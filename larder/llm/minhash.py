@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from larder.llm.common import checkpoint, mix64, ship, text_batches, text_bytes, text_or_empty
+from larder.llm.common import checkpoint, free_names, mix64, ship, small_batches, text_bytes, text_or_empty
 from larder.llm.components import connected_components
 
 ship(__name__)
@@ -130,7 +130,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int
     """(doc_id, n, fp1, fp2, bands): set size, a 128-bit identity of the set, and its band keys (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             sets = shingle_hashes(*text_bytes(batch.column(1)), words)
             size = [len(s) for s in sets]
             one = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
@@ -141,7 +141,6 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int
             lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists], ["doc_id", "n", "fp1", "fp2", "bands"])
 
-    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, bands array<long>")
 
 
@@ -149,7 +148,7 @@ def shingle_sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """(doc_id, items): each document's sorted distinct shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             sets = shingle_hashes(*text_bytes(batch.column(1)), words)
             lengths = np.concatenate([[0], np.cumsum([len(k) for k in sets])]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
@@ -234,8 +233,9 @@ def keep_one(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
     Rows that share a doc_id stay or go together. Rows with a null doc_id can't be linked and stay.
     Columns are those of ``docs``.
     """
-    gone = near_duplicates(docs.where("doc_id is not null"), percent, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    (gone,) = free_names(docs, "_gone")
+    copies = near_duplicates(docs.where("doc_id is not null"), percent, **options).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(copies, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def oracle(percent: int) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from larder.llm.common import checkpoint, text_or_empty
+from larder.llm.common import checkpoint, columns_of, free_names, text_or_empty
 
 LEVELS = ("domain", "lang", "source")
 #: Bytes taken for one token.
@@ -29,17 +29,15 @@ BROADCAST_LEAVES = 50_000
 DOMAINS = 4
 
 
-def with_leaf(docs: DataFrame) -> DataFrame:
-    """Adds ``_domain``, ``_lang``, ``_source``, ``_tokens``. The domain follows from the number that ends a source's name."""
+def leaf_columns() -> dict[str, Column]:
+    """A document's leaf and its tokens. The domain follows from the number that ends a source's name."""
     number = F.regexp_extract(F.coalesce("source", F.lit("")), r"([0-9]{1,9})$", 1).try_cast("int")
-    return docs.withColumns(
-        {
-            "_domain": F.coalesce(F.concat(F.lit("domain"), (number % DOMAINS).cast("string")), F.lit("other")),
-            "_lang": F.coalesce("lang", F.lit("")),
-            "_source": F.coalesce("source", F.lit("")),
-            "_tokens": F.ceil(F.octet_length(text_or_empty()) / TOKEN_BYTES).cast("long"),
-        }
-    )
+    return {
+        "domain": F.coalesce(F.concat(F.lit("domain"), (number % DOMAINS).cast("string")), F.lit("other")),
+        "lang": F.coalesce("lang", F.lit("")),
+        "source": F.coalesce("source", F.lit("")),
+        "tokens": F.ceil(F.octet_length(text_or_empty()) / TOKEN_BYTES).cast("long"),
+    }
 
 
 def _weight(path: Column, weights: dict[str, float]) -> Column:
@@ -88,56 +86,63 @@ def order_key(seed: int, epoch: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
-def _with_leaves(docs: DataFrame, leaves: DataFrame, small: bool) -> DataFrame:
-    on = [F.col(f"_{k}") == F.col(f"leaf_{k}") for k in LEVELS]
-    renamed = leaves.select(*(F.col(k).alias(f"leaf_{k}") for k in LEVELS), *(F.col(c).alias(f"leaf_{c}") for c in leaves.columns if c not in LEVELS))
-    return docs.join(F.broadcast(renamed) if small else renamed, on).drop(*(f"leaf_{k}" for k in LEVELS))
+#: What a chosen document gets from its leaf.
+FROM_LEAF = ("available", "budget", "whole", "rest", "cut")
 
 
-def choose(docs: DataFrame, total: float, weights: dict[str, float] | None = None, max_epochs: int = 4, seed: int = 0) -> DataFrame:
-    """``docs`` (doc_id, text, lang, source, ...) with ``_copies``, the epochs that take the row, and the leaf's columns.
+def choose(docs: DataFrame, total: float, weights: dict[str, float] | None = None, max_epochs: int = 4, seed: int = 0) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` (doc_id, text, lang, source, ...) with its leaf and the epochs that take it, and the names of these columns.
 
-    Null lang and source are leaves of their own, null and empty texts weigh no tokens. Rows that
-    share a doc_id have one place in the order and are taken or left together within a leaf. An
-    empty table gives an empty result.
+    The names are by ``domain``, ``lang``, ``source``, ``tokens``, ``available``, ``budget`` and ``copies``, and clash
+    with no column of ``docs``. Null lang and source are leaves of their own, null and empty texts weigh
+    no tokens. Rows that share a doc_id have one place in the order and are taken or left together
+    within a leaf. An empty table gives an empty result.
     """
-    named = with_leaf(docs)
-    narrow = named.select("doc_id", *(f"_{k}" for k in LEVELS), "_tokens")
-    leaves = narrow.groupBy(*(F.col(f"_{k}").alias(k) for k in LEVELS)).agg(F.sum("_tokens").alias("available"))
+    leaf = [f"leaf_{k}" for k in LEVELS]
+    narrow = docs.select("doc_id", *(c.alias(f"leaf_{k}") for k, c in leaf_columns().items()))
+    leaves = narrow.groupBy(*(F.col(f"leaf_{k}").alias(k) for k in LEVELS)).agg(F.sum("leaf_tokens").alias("available"))
     leaves = budgets(leaves, total, weights or {}, max_epochs)
     whole = F.when(F.col("available") > 0, F.floor(F.col("budget") / F.col("available"))).otherwise(F.lit(1)).cast("long")
-    leaves = checkpoint(leaves.withColumn("whole", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("available")))
+    leaves = leaves.withColumn("whole", whole).withColumn("rest", F.col("budget") - F.col("whole") * F.col("available"))
+    leaves = checkpoint(leaves.select(*(F.col(k).alias(f"leaf_{k}") for k in LEVELS), "available", "budget", "whole", "rest"))
     small = leaves.count() <= BROADCAST_LEAVES
-    keyed = _with_leaves(narrow, leaves, small).withColumn("key", order_key(seed, F.col("leaf_whole") + 1)).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
-    leaf = [f"_{k}" for k in LEVELS]
-    sums = keyed.groupBy(*leaf, "bucket").agg(F.sum("_tokens").alias("tokens"), F.max("leaf_rest").alias("rest"), F.max("key").alias("last"))
+    hint = F.broadcast if small else (lambda df: df)
+    keyed = narrow.join(hint(leaves), leaf).withColumn("key", order_key(seed, F.col("whole") + 1)).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+    sums = keyed.groupBy(*leaf, "bucket").agg(F.sum("leaf_tokens").alias("tokens"), F.max("rest").alias("rest"), F.max("key").alias("last"))
     reached = F.sum("tokens").over(Window.partitionBy(*leaf).orderBy("bucket"))
     sums = checkpoint(sums.withColumn("reached", reached))
     under = sums.where("reached <= rest").groupBy(*leaf).agg(F.max("last").alias("cut"))
     ends = sums.where("reached > rest and reached - tokens <= rest").select(*leaf, "bucket", (F.col("reached") - F.col("tokens")).alias("before"))
-    inside = keyed.join(F.broadcast(ends) if small else ends, [*leaf, "bucket"])
-    within = F.sum("_tokens").over(Window.partitionBy(*leaf, "bucket").orderBy("key")) + F.col("before")
-    last = inside.withColumn("within", within).where("within <= leaf_rest").groupBy(*leaf).agg(F.max("key").alias("cut"))
-    cuts = under.unionByName(last).groupBy(*(F.col(f"_{k}").alias(k) for k in LEVELS)).agg(F.max("cut").alias("cut"))
-    leaves = checkpoint(leaves.join(cuts, list(LEVELS), "left"))
-    placed = _with_leaves(named, leaves, small)
-    taken = F.coalesce(order_key(seed, F.col("leaf_whole") + 1) <= F.col("leaf_cut"), F.lit(False)) & (F.col("leaf_whole") < max_epochs)
-    return placed.withColumn("_copies", F.col("leaf_whole") + taken.cast("long"))
+    inside = keyed.join(hint(ends), [*leaf, "bucket"])
+    within = F.sum("leaf_tokens").over(Window.partitionBy(*leaf, "bucket").orderBy("key")) + F.col("before")
+    last = inside.withColumn("within", within).where("within <= rest").groupBy(*leaf).agg(F.max("key").alias("cut"))
+    cuts = under.unionByName(last).groupBy(*leaf).agg(F.max("cut").alias("cut"))
+    leaves = checkpoint(leaves.join(cuts, leaf, "left"))
+
+    wanted = [*LEVELS, "tokens", "copies", *FROM_LEAF]
+    name = dict(zip(wanted, free_names(docs, *(f"leaf_{k}" for k in wanted)), strict=True))
+    of = dict(zip(LEVELS, free_names(docs, *(f"of_{k}" for k in LEVELS)), strict=True))
+    table = leaves.select(*(F.col(f"leaf_{k}").alias(of[k]) for k in LEVELS), *(F.col(k).alias(name[k]) for k in FROM_LEAF))
+    placed = docs.withColumns({name[k]: c for k, c in leaf_columns().items()}).join(hint(table), [F.col(name[k]) == F.col(of[k]) for k in LEVELS])
+    taken = F.coalesce(order_key(seed, F.col(name["whole"]) + 1) <= F.col(name["cut"]), F.lit(False)) & (F.col(name["whole"]) < max_epochs)
+    return placed.withColumn(name["copies"], F.col(name["whole"]) + taken.cast("long")), name
 
 
 def mix(docs: DataFrame, total: float, weights: dict[str, float] | None = None, max_epochs: int = 4, seed: int = 0) -> DataFrame:
     """The chosen rows of ``docs``, each as often as the epochs that take it; columns are those of ``docs``."""
-    chosen = choose(docs, total, weights, max_epochs, seed).where("_copies > 0")
-    if max_epochs > 1:
-        chosen = chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return chosen.select(*docs.columns)
+    placed, name = choose(docs, total, weights, max_epochs, seed)
+    copies = F.col(name["copies"])
+    chosen = placed.where(copies > 0)
+    if max_epochs == 1:
+        return chosen.select(*columns_of(docs))
+    (copy,) = free_names(placed, "copy")
+    return chosen.select(*columns_of(docs), F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias(copy)).drop(copy)
 
 
 def report(docs: DataFrame, total: float, weights: dict[str, float] | None = None, max_epochs: int = 4, seed: int = 0) -> DataFrame:
     """One row per document: its leaf, tokens, the leaf's tokens and budget, and the epochs that take it."""
-    return choose(docs, total, weights, max_epochs, seed).select(
-        "doc_id", *(F.col(f"_{k}").alias(k) for k in LEVELS), F.col("_tokens").alias("tokens"), F.col("leaf_available").alias("leaf_tokens"), F.col("leaf_budget"), F.col("_copies").alias("copies")
-    )
+    placed, name = choose(docs.select("doc_id", "text", "lang", "source"), total, weights, max_epochs, seed)
+    return placed.select("doc_id", *(F.col(name[k]).alias(k) for k in (*LEVELS, "tokens")), F.col(name["available"]).alias("leaf_tokens"), F.col(name["budget"]).alias("leaf_budget"), F.col(name["copies"]).alias("copies"))
 
 
 def oracle(total: float, weights: dict[str, float], max_epochs: int, seed: int) -> str:

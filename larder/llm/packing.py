@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import ship, text_batches, text_or_empty
+from larder.llm.common import ship, small_batches, text_or_empty
 
 ship(__name__)
 
@@ -190,7 +190,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, segmen
             rows.clear()
             return pa.RecordBatch.from_arrays(columns, names)
 
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             ids_of = encoder.encode(batch.column(1).to_pylist())
             for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of, strict=True):
                 ids = np.append(ids, encoder.kind(end_id))
@@ -206,7 +206,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, segmen
         empty(True)
         yield told()
 
-    text_batches(docs.sparkSession)
     schema = ", ".join(f"{n} {'array<int>' if n == 'ids' else 'long'}" for n in names)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
 

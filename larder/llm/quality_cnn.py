@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import ship, text_batches, text_bytes, text_or_empty
+from larder.llm.common import ship, small_batches, text_bytes, text_or_empty
 from larder.llm.labelled import fold, training_rows
 
 ship(__name__)
@@ -81,7 +81,7 @@ def _sample(rows: DataFrame) -> pd.DataFrame:
     size = CELL * CHUNK + WIDTH - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 0):
             raw, offsets = text_bytes(batch.column(0))
             out = {"row": [], "label": [], "chunk": []}
             for i, label in enumerate(batch.column(1).to_pylist()):
@@ -165,7 +165,6 @@ def constant(probability: float) -> Network:
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Network:
     """A network from at most ``most`` labelled rows that aren't held out; a constant if there are none of either label."""
-    text_batches(docs.sparkSession)
     sample = _sample(training_rows(docs, labels, "quality", most))
     if sample["label"].nunique() < 2:
         return constant(float(sample["label"].mean()) if len(sample) else 0.5)
@@ -180,11 +179,10 @@ def score_documents(docs: DataFrame, network: Network) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             raw, offsets = text_bytes(batch.column(1))
             score = [network.score(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
 
-    text_batches(docs.sparkSession)
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

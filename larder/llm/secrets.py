@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from larder.llm.common import checkpoint, text_or_empty
+from larder.llm.common import checkpoint, columns_of, free_names, text_or_empty
 
 # The strong kinds, in the order in which ties are listed, with the least length of what counts.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -171,8 +171,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", reach: int = REACH) -> DataF
 
     Every row stays, texts without secrets (and nulls) unchanged; ``n_chars``, if there, follows the text.
     """
-    found = find_secrets(docs, reach).where("size(base) + size(linked) > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.array_sort(F.concat("base", "linked")).alias("_spans")).distinct()
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_hash")), "left")
+    own, mine, spans = free_names(docs, "_id", "_hash", "_spans")
+    found = find_secrets(docs, reach).where("size(base) + size(linked) > 0").select(F.col("doc_id").alias(own), F.col("text_hash").alias(mine), F.array_sort(F.concat("base", "linked")).alias(spans)).distinct()
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64(text_or_empty()) == F.col(mine)), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -180,8 +181,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", reach: int = REACH) -> DataF
         out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
         return F.struct(out.alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
 
-    cleaned = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
-    joined = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), cleaned).otherwise(F.col("text")))
+    cleaned = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))))
+    joined = joined.withColumn("text", F.when(F.col(spans).isNotNull(), cleaned).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return joined.select(*docs.columns)
+        joined = joined.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return joined.select(*columns_of(docs))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import ship, text_batches, text_or_empty
+from larder.llm.common import ship, text_or_empty
 from larder.llm.labelled import fold, training_rows
 
 ship(__name__)
@@ -166,7 +166,6 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Lexicon:
     """A lexicon from at most ``most`` labelled rows that aren't held out; without toxic and clean rows an empty one."""
-    text_batches(docs.sparkSession)
     rows = training_rows(docs, labels, "toxic", most)
     toxic_rows, clean_rows = rows.where("label = 1"), rows.where("label = 0")
     n_toxic = toxic_rows.count()
@@ -199,7 +198,6 @@ def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     Null texts are empty; texts without words get the score of no weight found. Repeated rows stay,
     an empty table gives an empty result, other columns are not read.
     """
-    text_batches(docs.sparkSession)
     found = _found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), lexicon, ["doc_id"])
     a, b = (float(s) for s in lexicon.slopes)
     logit = F.lit(lexicon.bias) + a * F.log1p("total") + b * F.log1p(100 * F.col("total") / F.greatest(F.lit(20), "words"))
@@ -209,7 +207,6 @@ def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """The rows of ``docs`` whose text isn't toxic, with all their columns."""
-    text_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def clean(text: pd.Series) -> pd.Series:

@@ -2,8 +2,10 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from larder.llm import toxicity
+from larder.llm import mixing, toxicity
 from larder.llm.queries import tokenizer_path
 from tests.llm.data import SF, SMALL, docs, table
 from tests.llm.test_minhash import brute as near_brute
@@ -73,3 +75,23 @@ def test_odd_cases(spark):
             assert now.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         ids = [r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, now, SMALL).collect()]
         assert bool(ids) == (rows.count() > 0)
+
+
+CLASHES = ("_id", "_hash", "_spans", "_gone", "id", "gone", "leaf_domain", "leaf_lang", "leaf_cut", "leaf_tokens", "_leaf_lang", "of_lang", "_tokens", "_lang", "_copies", "_copy", "copy", "key", "bucket", "component", "base", "linked", "LEAF_COPIES", "a.b", "n", "items")
+
+
+def test_clashing_columns_go_through_unchanged(spark):
+    """Every stage gives the rows it gives without them, and their values stay."""
+    plain = docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    wide = plain.select("*", *(F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHES))
+    for name, stage in corpus_pipeline.STAGES:
+        less, more = stage(spark, plain, SMALL), stage(spark, wide, SMALL)
+        if name == "packing":
+            assert rows_of(less.select("doc_id", "start", "length", "ids_crc32")) == rows_of(more.select("doc_id", "start", "length", "ids_crc32"))
+            continue
+        assert more.columns == [*less.columns, *CLASHES]
+        got = more.collect()
+        assert Counter(tuple(r)[:5] for r in got) == rows_of(less), name
+        assert all(tuple(r)[5:] == tuple(f"{c}:{'-' if r.doc_id is None else r.doc_id}" for c in CLASHES) for r in got), name
+    twice = mixing.mix(wide, 2.0, {}, 3, 1)
+    assert twice.columns == wide.columns and twice.count() == mixing.mix(plain, 2.0, {}, 3, 1).count()
