@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from larder.llm import embedding_dedup
@@ -47,27 +48,24 @@ def test_given_embeddings(spark):
     assert any(r.n_links for r in check(spark, rows))
 
 
-def test_dense_groups_take_the_exact_way(spark, monkeypatch):
+def test_dense_groups_take_the_exact_way(spark):
     """Cells and components larger than the window: all links count, and a chain through one centre holds."""
-    monkeypatch.setattr(embedding_dedup.links, "__defaults__", (8, 6))
-    monkeypatch.setattr(embedding_dedup.count_links, "__defaults__", (8, 6))
     random = np.random.default_rng(3)
     centre = random.normal(size=16)
     rows = [(500, centre.tolist(), 1)]
     rows += [(i, (centre + random.normal(size=16) * 0.17 * (1 + i % 2)).tolist(), 1 + i % 7 // 6) for i in range(60)]
-    check(spark, rows)
+    check(spark, rows, window=8, block=6)
 
 
-def test_copies_count_as_links(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup.links, "__defaults__", (8, 6))
-    monkeypatch.setattr(embedding_dedup.count_links, "__defaults__", (8, 6))
+def test_copies_count_as_links(spark):
     random = np.random.default_rng(5)
     hot, other = random.normal(size=12), random.normal(size=12)
     rows = [(100 + i, hot.tolist(), 1) for i in range(70)] + [(i, (hot + random.normal(size=12) * 0.15).tolist(), 1) for i in range(12)]
     rows += [(300 + i, other.tolist(), 1 + i % 2) for i in range(9)] + [(400, hot.tolist(), 2), (401, hot.tolist(), None)]
-    check(spark, rows)
+    check(spark, rows, window=8, block=6)
     df = spark.createDataFrame(rows, SCHEMA.replace(", component long, id string", ""))
-    _, one, several = embedding_dedup.collapse(embedding_dedup.usable(df))
+    v = embedding_dedup.usable(df)
+    _, one, several = embedding_dedup.collapse(v, embedding_dedup._signed(v, 1))
     assert several is None and one.count() == 1 + 12 + 2 + 1
 
 
@@ -91,3 +89,43 @@ def test_odd_cases(spark):
 def test_passes_keep_the_promised_recall(most):
     bits, passes = embedding_dedup.plan_passes(most, 0.98)
     assert (1 - (1 - np.arccos(0.98) / np.pi) ** bits) ** passes <= embedding_dedup.MISS
+
+
+@pytest.mark.parametrize("dim", [24, 300])
+def test_recall_on_a_large_table(spark, dim):
+    """Links of 12,000 vectors of one label, many at the very threshold, against all pairs; for 300 axes the sketch is a projection."""
+    random = np.random.default_rng(dim)
+    base = random.normal(size=(6000, dim))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = random.normal(size=base.shape)
+    side -= (side * base).sum(1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cos = random.uniform(0.97, 0.985, len(base))[:, None]
+    all_ = np.concatenate([base, cos * base + np.sqrt(1 - cos**2) * side]).astype(np.float32)
+    unit = all_.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = np.zeros(len(unit), int)
+    for a in range(0, len(unit), 2000):
+        want[a : a + 2000] = (unit[a : a + 2000] @ unit.T >= 0.98).sum(1) - 1
+    assert embedding_dedup.plan_passes(len(unit), 0.98)[0] >= 6 and want.sum() > 2000
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(unit)), "embedding": all_.tolist(), "label": 1}), "vec_id long, embedding array<float>, label int")
+    got = np.zeros(len(unit), int)
+    for r in embedding_dedup.near_duplicates(df).collect():
+        got[r.vec_id] = r.n_links
+    assert (got <= want).all() and got.sum() / want.sum() >= 0.9999
+
+
+def test_sketches_keep_every_link():
+    """Distances of rounded sketches never hide a pair at the threshold."""
+    random = np.random.default_rng(2)
+    for dim in (3, 64, 400):
+        x = random.normal(size=(400, dim))
+        y = np.repeat(x[:20], 20, 0) + random.normal(size=x.shape) * np.linalg.norm(x[0]) * 0.2 / np.sqrt(dim)
+        frame = pd.DataFrame({"vec_id": range(800), "dim": dim, "label": 1, "v": list(np.concatenate([x, y]))})
+        out = next(iter(embedding_dedup.signed_frames(iter([frame]), 1)))
+        out = frame.drop(columns="v").merge(out[["vec_id", "sketch"]], on="vec_id")
+        unit = embedding_dedup._matrix(frame["v"])
+        linked = unit @ unit.T >= 0.98
+        np.fill_diagonal(linked, False)
+        near = embedding_dedup._near(out, 0.98)
+        assert linked.sum() > 100 and not (linked & ~near).any()
