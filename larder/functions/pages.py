@@ -16,6 +16,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from larder.functions.shipping import ship
+
+ship(__name__)
+
 BLOCK = re.compile(r"<script[^>]*\btype=[\"']application/ld\+json[\"'][^>]*>(.*?)</script>", re.S | re.I)
 ISO = re.compile(r"P(?:(\d+)W)?(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:[\d.]+S)?)?\Z", re.I)
 FIELDS = ("name", "servings_raw", "source", "description", "prep_time", "cook_time", "total_time")

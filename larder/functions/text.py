@@ -10,6 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from larder.functions.shipping import ship
+
+ship(__name__)
+
 LINK = r"\[\[([^\]|]+)\|([^\]]+)\]\]"
 
 

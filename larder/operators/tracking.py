@@ -2,11 +2,13 @@
 
 Snapshots are compared with rows, not documents: fields by an unpivot, linked lines by a join on
 their occurrence, moves by windows. Only the alignment of two sequences of texts has no expression; it
-runs for each recipe and kind on the keys alone, after equal snapshots are gone.
+runs for each recipe and kind on the keys alone, after equal snapshots are gone, many of them in one
+sorted stream.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -14,8 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from larder.functions.shipping import ship
 from larder.functions.amounts import canonical_units
 
+ship(__name__)
+
 # What a snapshot holds, and the likeness from which two lines are one that changed.
 FIELDS = ("name", "author", "source_url", "category", "servings", "prep_time", "cook_time", "total_time", "descr", "notes", "image")
 LINE_FIELDS = ("position", "is_heading", "qty", "ingredient_id", "label", "note", "raw_text", "grams", "secondary_measure", "quantity", "unit")
@@ -53,12 +58,8 @@ def _rows(pairs: DataFrame, side: str) -> DataFrame:
     return rows.withColumns({"part": F.when(heading, F.concat("kind", F.lit(" heading"))).otherwise(F.col("kind")), "key": F.when(heading, F.col("raw")).otherwise(F.col("key")), "name": F.when(heading, F.col("raw")).otherwise(F.col("name"))}).drop("raw", "at", "h", "kind")
 
 
-def _align(frame: pd.DataFrame) -> pd.DataFrame:
-    """(old_pos, new_pos) of what isn't equal: changed pairs, and rows of one side alone."""
-    old, new = (frame[frame["side"] == s].sort_values("pos") for s in ("old", "new"))
-    a, b = list(old["key"]), list(new["key"])
-    at, to = list(old["pos"]), list(new["pos"])
-    out: list[tuple] = []
+def _align(a: list[str], b: list[str]) -> Iterator[tuple[int | None, int | None]]:
+    """Places (in a, in b) of what isn't equal: changed pairs, and entries of one side alone."""
     for tag, i, i_end, j, j_end in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
         if tag == "equal":
             continue
@@ -68,12 +69,34 @@ def _align(frame: pd.DataFrame) -> pd.DataFrame:
             best = max(like, default=(0.0, 0))
             if best[0] >= LIKE:
                 free.remove(-best[1])
-                out.append((at[k], to[-best[1]]))
+                yield k, -best[1]
             else:
-                out.append((at[k], None))
-        out += [(None, to[m]) for m in free]
-    found = pd.DataFrame(out, columns=["old_pos", "new_pos"]).astype("Int64")
-    return found.assign(recipe_id=frame["recipe_id"].iloc[0], part=frame["part"].iloc[0])[["recipe_id", "part", "old_pos", "new_pos"]]
+                yield k, None
+        yield from ((None, m) for m in free)
+
+
+def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(recipe_id, part, old_pos, new_pos) of rows sorted by recipe, part, side and place; many groups come in one frame."""
+    columns = ["recipe_id", "part", "old_pos", "new_pos"]
+
+    def differences(key: tuple, group: dict[str, list[tuple]]) -> Iterator[tuple]:
+        old, new = group.get("old", []), group.get("new", [])
+        for i, j in _align([k for _, k in old], [k for _, k in new]):
+            yield (*key, None if i is None else old[i][0], None if j is None else new[j][0])
+
+    at: tuple | None = None
+    group: dict[str, list[tuple]] = {}
+    for frame in frames:
+        out: list[tuple] = []
+        for recipe, part, side, pos, key in zip(*(frame[c] for c in ("recipe_id", "part", "side", "pos", "key")), strict=True):
+            if (recipe, part) != at:
+                if at is not None:
+                    out += differences(at, group)
+                at, group = (recipe, part), {}
+            group.setdefault(side, []).append((pos, key))
+        yield pd.DataFrame(out, columns=columns).astype({"old_pos": "Int64", "new_pos": "Int64"})
+    if at is not None:
+        yield pd.DataFrame(list(differences(at, group)), columns=columns).astype({"old_pos": "Int64", "new_pos": "Int64"})
 
 
 def field_changes(pairs: DataFrame) -> DataFrame:
@@ -99,7 +122,8 @@ def changes(pairs: DataFrame) -> DataFrame:
     rest = lambda df, side, pos: df.join(linked.select("recipe_id", "part", F.col(pos).alias("pos")), ["recipe_id", "part", "pos"], "left_anti").select("recipe_id", "part", F.lit(side).alias("side"), "pos", "key")
     loose = rest(old, "old", "old_pos").unionByName(rest(new, "new", "new_pos"))
     kind = pairs.schema["recipe_id"].dataType.simpleString()
-    aligned = loose.groupBy("recipe_id", "part").applyInPandas(_align, f"recipe_id {kind}, part string, old_pos long, new_pos long")
+    dealt = loose.repartition("recipe_id", "part").sortWithinPartitions("recipe_id", "part", "side", "pos")
+    aligned = dealt.mapInPandas(_aligned, f"recipe_id {kind}, part string, old_pos long, new_pos long")
     both = linked.unionByName(aligned.select("recipe_id", "part", F.col("old_pos").cast("int").alias("old_pos"), F.col("new_pos").cast("int").alias("new_pos")))
     side = lambda df, s: df.select("recipe_id", "part", *(F.col(c).alias(f"{s}_{c}") for c in ("pos", "name", "qty", "note", "section")))
     full = both.join(side(old, "old"), ["recipe_id", "part", "old_pos"], "left").join(side(new, "new"), ["recipe_id", "part", "new_pos"], "left")

@@ -86,7 +86,7 @@ def a13_agreement(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "ingredients").groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), (F.max(value) - F.min(value) <= 1).alias("agrees"))
 
 
-_STEPS = "steps AS (SELECT doc_id AS recipe_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS position FROM documents)"
+STEPS_SQL = "steps AS (SELECT doc_id AS recipe_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS position FROM documents)"
 
 
 def steps(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +98,7 @@ def steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_STEPS}, marked AS (SELECT recipe_id, position, text, (text LIKE '%:' OR (regexp_matches(text, '[A-Z]') AND NOT regexp_matches(text, '[^ -Z\\[-`{{-~]')))::INT AS is_heading FROM steps)
+    f"""WITH {STEPS_SQL}, marked AS (SELECT recipe_id, position, text, (text LIKE '%:' OR (regexp_matches(text, '[A-Z]') AND NOT regexp_matches(text, '[^ -Z\\[-`{{-~]')))::INT AS is_heading FROM steps)
 SELECT recipe_id, position::BIGINT AS position, is_heading,
   CASE WHEN is_heading = 0 THEN sum(1 - is_heading) OVER w - 1 END::BIGINT AS ordinal,
   last_value(CASE WHEN is_heading = 1 THEN md5(text) END IGNORE NULLS) OVER (PARTITION BY recipe_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS section,

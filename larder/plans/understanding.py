@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from larder.functions import amounts, lines, names, pages, steps, text, times, urls, weights
 from larder.operators import slugs, tracking
 from larder.plans.registry import query
+from larder.plans.reports import STEPS_SQL
 from larder.plans.reports import steps as steps_of
+from larder.plans.shapes import LINE_FIELDS, METHOD, QUANTITIES, QUANTITY_FIELDS, WRITTEN, answers, chosen
 from larder.plans.views import NOW, view, with_views
 from larder.sources.catalog import table
 
@@ -40,7 +42,7 @@ def f30_scaled_quantities(spark: SparkSession, d: str) -> DataFrame:
     return q.select("qty", amounts.scale(c, F.lit(2.0)).alias("doubled"), F.when(amounts.is_count(c), amounts.scale_count(c, F.lit(0.25))).alias("quarter"), amounts.to_metric(c, F.lit(0.51)).alias("metric"), amounts.has_volume_unit(c).alias("is_volume"), amounts.summed(c)["value"].alias("total"))
 
 
-def _chart(spark: SparkSession, d: str) -> DataFrame:
+def chart(spark: SparkSession, d: str) -> DataFrame:
     kinds = view(spark, d, "ingredients").groupBy(F.col("name").alias("display_name")).agg(F.min("id").alias("ordinal"))
     return kinds.select("ordinal", weights.name_key(F.col("display_name")).alias("lookup_key"), "display_name", (F.length("display_name") / 10.0).alias("grams_per_ml"), (F.col("ordinal") % 2 == 0).alias("convert"))
 
@@ -54,14 +56,18 @@ def j16_weight_match(spark: SparkSession, d: str) -> DataFrame:
     """Densities by exact name, base name or alias; other names decline."""
     spelled = F.when(F.col("id") % 3 == 0, F.concat(F.upper("name"), F.lit(", chopped"))).when(F.col("id") % 3 == 1, F.concat("name", F.lit(" (fresh)"))).otherwise(F.concat(F.lit("odd "), "name"))
     named = view(spark, d, "ingredients").select("id", spelled.alias("line"))
-    return weights.match_weights(named, "line", _chart(spark, d)).select("id", F.col("weight.grams_per_ml"), F.col("weight.convert"))
+    return weights.match_weights(named, "line", chart(spark, d)).select("id", F.col("weight.grams_per_ml"), F.col("weight.convert"))
 
 
-@query()
+@query(
+    with_views("lines", "ingredients")
+    + """SELECT kind, count(*) AS n, count(DISTINCT name) AS names, count(*) FILTER (qty LIKE '% cups' OR qty LIKE '% tsp') AS converts, count(*) FILTER (qty LIKE '% cups' OR qty LIKE '% tsp') AS volumes
+FROM lines JOIN ingredients ON id = ingredient_id GROUP BY kind"""
+)
 def q13_conversion_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Of each kind of ingredient, names found in the chart and lines that would convert."""
     named = view(spark, d, "lines").where("ingredient_id IS NOT NULL").select("ingredient_id", "qty").join(view(spark, d, "ingredients").select(F.col("id").alias("ingredient_id"), "name", "kind"), "ingredient_id")
-    names = weights.match_weights(named.select("name").distinct(), "name", _chart(spark, d)).select("name", F.col("weight").isNotNull().alias("matched"))
+    names = weights.match_weights(named.select("name").distinct(), "name", chart(spark, d)).select("name", F.col("weight").isNotNull().alias("matched"))
     volume = amounts.has_volume_unit(F.col("qty"))
     return named.join(names, "name").groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"), F.count_if(F.col("matched") & volume).alias("converts"), F.count_if(volume).alias("volumes"))
 
@@ -112,6 +118,21 @@ def w7_slugs(spark: SparkSession, d: str) -> DataFrame:
     return slugs.mint(named, taken)
 
 
+@query(with_views("written") + f"SELECT DISTINCT * FROM ({answers('written', 'text', WRITTEN, LINE_FIELDS, {'value': 'DOUBLE', 'lo': 'DOUBLE', 'hi': 'DOUBLE', 'grams': 'DOUBLE'})})")
+def f21_written_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Ingredient lines of known shapes, each distinct line read once; the oracle knows each shape's answer."""
+    read = view(spark, d, "written").select("text").distinct().select("text", lines.classify_line(F.col("text")).alias("l"))
+    return read.select("text", *(F.col(f"l.{f}") for f in LINE_FIELDS[:-1]), F.array_join("l.flags", ",").alias("flags"))
+
+
+@query(with_views("quantities") + f"SELECT DISTINCT * FROM ({answers('quantities', 'text', QUANTITIES, QUANTITY_FIELDS, {'is_volume': 'BOOLEAN', 'total': 'DOUBLE'})})")
+def f30_written_quantities(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities of known shapes doubled, in metric units and summed."""
+    c = F.col("text")
+    q = view(spark, d, "quantities").select("text").distinct()
+    return q.select("text", amounts.scale(c, F.lit(2.0)).alias("doubled"), amounts.to_metric(c, F.lit(0.51)).alias("metric"), amounts.has_volume_unit(c).alias("is_volume"), amounts.summed(c)["value"].alias("total"))
+
+
 @query()
 def f21_classify_lines(spark: SparkSession, d: str) -> DataFrame:
     """The method's lines read as ingredient lines, by kind and flag; each distinct line is read once."""
@@ -120,12 +141,41 @@ def f21_classify_lines(spark: SparkSession, d: str) -> DataFrame:
     return read.groupBy("l.kind", F.array_join("l.flags", ",").alias("flags")).agg(F.sum("n").alias("n"), F.count_if(F.col("l.amount") != "").alias("with_amount"), F.count_if(F.col("l.grams").isNotNull()).alias("with_grams"))
 
 
-@query()
+def step_coverage(rows: DataFrame) -> DataFrame:
+    """Of each recipe (recipe_id, position, text): its headings, and the other steps' tokens by category, with the texts of unitless ones in order."""
+    read = rows.select("recipe_id", "position", lines.classify_step(F.col("text"))["is_heading"].alias("h"), "text")
+    read = read.select("recipe_id", "position", "h", F.when(~F.col("h"), steps.tokens(F.col("text"))).otherwise(F.array().cast("array<struct<category:string,text:string>>")).alias("t"))
+    of = lambda k: F.filter("t", lambda x: x["category"] == k)
+    counted = read.select("recipe_id", "position", F.col("h").cast("int").alias("h"), *(F.size(of(k)).alias(k) for k in steps.CATEGORIES), F.transform(of("unitless"), lambda x: x["text"]).alias("texts"))
+    told = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("texts") > 0, F.struct("position", "texts")))), lambda x: x["texts"]))
+    return counted.groupBy("recipe_id").agg(F.sum("h").alias("headings"), *(F.sum(k).alias(k) for k in steps.CATEGORIES), F.array_join(told, "|").alias("unitless_texts"))
+
+
+# the scan in RE2, which has no Unicode word ends: letters beyond ASCII become plain ones first
+_TOKEN_SQL = rf"(?i)\{{\{{!?[^}}]*\}}\}}|{steps.GUARDED}|{steps.MEASURED}|{amounts.NUMBER}"
+_COVERAGE = rf""", stripped AS (SELECT recipe_id, position, regexp_replace(regexp_replace(text, '^[\s\p{{Z}}]+', ''), '[\s\p{{Z}}]+$', '') AS t FROM step_rows),
+headed AS (SELECT *, regexp_matches(t, '[-–—]$') OR ends_with(t, ':') OR (regexp_matches(t, '\pL') AND t = upper(t)) AS h FROM stripped),
+found AS (SELECT recipe_id, position, h, CASE WHEN h THEN []::VARCHAR[] ELSE regexp_extract_all(regexp_replace(t, '[À-ÖØ-öø-ɏͰ-῿぀-퟿]', 'q', 'g'), '{_TOKEN_SQL}') END AS tokens FROM headed),
+named AS (SELECT recipe_id, position, h, list_transform(tokens, lambda x: {{'text': x, 'category': CASE WHEN starts_with(x, '{{{{!') THEN 'marked_lock' WHEN starts_with(x, '{{{{') THEN 'marked_scale'
+  WHEN regexp_full_match(x, '(?i)(?:{steps.GUARDED})') THEN 'guarded' WHEN regexp_full_match(x, '(?i)(?:{steps.MEASURED})') THEN 'heuristic_scale' ELSE 'unitless' END}}) AS t FROM found)
+SELECT recipe_id, sum(h::INT)::BIGINT AS headings, {", ".join(f"sum(len(list_filter(t, lambda x: x.category = '{k}')))::BIGINT AS {k}" for k in steps.CATEGORIES)},
+  coalesce(string_agg(nullif(array_to_string(list_transform(list_filter(t, lambda x: x.category = 'unitless'), lambda x: x.text), '|'), ''), '|' ORDER BY position), '') AS unitless_texts
+FROM named GROUP BY recipe_id"""
+
+
+@query(f"WITH {STEPS_SQL}, step_rows AS (SELECT recipe_id, position, text FROM steps)" + _COVERAGE)
 def q14_step_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Spans of each recipe's method by category, and its headings."""
-    read = steps_of(spark, d).select("recipe_id", lines.classify_step(F.col("text"))["is_heading"].cast("int").alias("h"), steps.spans(F.col("text")).alias("s"))
-    count = lambda k: F.sum(F.size(F.filter("s", lambda x: x["category"] == k))).alias(k)
-    return read.groupBy("recipe_id").agg(F.sum("h").alias("headings"), count("heuristic_scale"), count("guarded"), count("unitless"))
+    """Tokens of each document's lines by category, and its headings."""
+    return step_coverage(steps_of(spark, d))
+
+
+_SUMS = ", ".join(f"sum({chosen('shape', METHOD, k)})::BIGINT AS {k}" for k in ("headings", *steps.CATEGORIES))
+
+
+@query(with_views("method") + f"SELECT recipe_id, {_SUMS}, coalesce(string_agg({chosen('shape', METHOD, 'unitless_texts', 'NULL').replace('string)', 'varchar)')}, '|' ORDER BY position, n::VARCHAR), '') AS unitless_texts FROM method GROUP BY recipe_id")
+def q14_method_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """The same of recipe steps with times, temperatures, sizes and markers; the oracle knows each shape's answer."""
+    return step_coverage(view(spark, d, "method"))
 
 
 def _snapshots(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from larder.plans.shapes import METHOD, PAGES, QUANTITIES, WRITTEN, chosen
 from larder.sources.catalog import table
 
 #: Recipes that events point at, and the moment for which windows of time are asked.
@@ -73,9 +74,22 @@ VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
 }
 
 
+_QUANTITY = "cast(l_quantity AS bigint)"
+_KEYS = {"recipe_id": "l_orderkey", "position": "l_linenumber", "n": _QUANTITY}
+VIEWS |= {
+    "method": ("lineitem", {**_KEYS, "shape": f"(l_linenumber + l_orderkey) % {len(METHOD)}"}, "true"),
+    "written": ("lineitem", {**_KEYS, "shape": f"(l_linenumber + l_partkey) % {len(WRITTEN)}"}, "true"),
+    "quantities": ("lineitem", {**_KEYS, "shape": f"(l_linenumber + l_suppkey) % {len(QUANTITIES)}"}, "true"),
+    "recipe_pages": ("orders", {"id": "o_orderkey", "n": "1 + o_custkey % 9", "shape": f"o_orderkey % {len(PAGES)}", "url": "concat('https://www.site', o_custkey % 50, '.example/r/', o_orderkey % 5000, '?utm_source=x')"}, "true"),
+}
+#: What these views write from their columns, as ``text``.
+WRITES = {"method": METHOD, "written": WRITTEN, "quantities": QUANTITIES, "recipe_pages": PAGES}
+
+
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     source, columns, where = VIEWS[name]
-    return table(spark, folder, source).where(where).selectExpr(*(f"{e} AS {c}" for c, e in columns.items()))
+    rows = table(spark, folder, source).where(where).selectExpr(*(f"{e} AS {c}" for c, e in columns.items()))
+    return rows.selectExpr("*", f"{chosen('shape', WRITES[name])} AS text") if name in WRITES else rows
 
 
 def with_views(*names: str) -> str:
@@ -83,6 +97,7 @@ def with_views(*names: str) -> str:
 
     def one(name: str) -> str:
         source, columns, where = VIEWS[name]
-        return f"{name} AS (SELECT {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM {source} WHERE {where})"
+        rows = f"SELECT {', '.join(f'{e} AS {c}' for c, e in columns.items())} FROM {source} WHERE {where}"
+        return f"{name} AS (SELECT *, {chosen('shape', WRITES[name])} AS text FROM ({rows}))" if name in WRITES else f"{name} AS ({rows})"
 
     return "WITH " + ",\n".join(map(one, names)) + "\n"

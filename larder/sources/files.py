@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from larder.functions.shipping import ship
+
+ship(__name__)
+
 CHART = "category string, ingredient string, grams double, reference_volume string"
 
 
