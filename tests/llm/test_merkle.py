@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from larder.llm import merkle
 from tests.llm.data import docs, table
 
@@ -47,8 +49,32 @@ def test_odd_cases(spark):
     assert merkle.fingerprints(docs(spark)).count() == docs(spark).count()
 
 
+def edits(spark, old, new):
+    df = spark.createDataFrame([(old, new)], "a string, b string")
+    df = merkle.with_tree(merkle.with_tree(df, "a", "a"), "b", "b").withColumn("edits", merkle.differences("a", "b"))
+    row = df.select("edits", F.transform("edits", lambda e: merkle.place_of("a", e)).alias("places")).first()
+    return [tuple(e) for e in row.edits], row.places
+
+
+def test_branches_name_the_edits(spark):
+    """Edits are found in their leaf, paragraph or section, however much comes after them."""
+    paragraphs = [[f"Sentence {i}.{j} says one thing. It says another. And a third.\n" for j in range(4)] for i in range(5)]
+    whole = "\n".join("".join(p) for p in paragraphs)
+    assert edits(spark, whole, whole) == ([], [])
+    at = whole.index("Sentence 2.1")
+    inserted = whole[:at] + "A new one stands here." + whole[at:]
+    assert edits(spark, whole, inserted) == ([(2, 1, 0, 0, 1)], [at])
+    changed = whole.replace("Sentence 1.3", "Sentence x.3").replace("Sentence 3.0", "Sentence y.0")
+    assert edits(spark, whole, changed) == ([(1, 3, 0, 1, 1), (3, 0, 0, 1, 1)], [whole.index("Sentence 1.3"), whole.index("Sentence 3.0")])
+    line = "Sentence 4.2 says one thing. It says another. And a third.\n"
+    assert edits(spark, whole, whole.replace(line, "")) == ([(4, 2, None, 1, 0)], [whole.index(line)])
+    assert edits(spark, whole, "First section.\n\n" + whole) == ([(0, None, None, 0, 1)], [0])
+    assert edits(spark, "", "some text") == ([(0, 0, 0, 0, 1)], [0])
+
+
 def test_leaves_lose_nothing(spark):
     texts = ["a\n\n\nb\n\nc. d! e?\n", "x" * 1000, "", ".\n.\n\n", "  lead. trail  \n\n\n\n"]
     rows = [(i, t, "en", "s", 1, 1, "k", 1) for i, t in enumerate(texts)]
     got = {r.doc_id: r for r in merkle.fingerprints(docs(spark, rows)).collect()}
-    assert [sum(x.n for x in got[i].leaves) for i in range(5)] == [len(t) for t in texts]
+    assert [sum(s.n for s in got[i].tree) for i in range(5)] == [len(t) for t in texts]
+    assert [sum(x.n for s in got[i].tree for p in s.paragraphs for x in p.leaves) for i in range(5)] == [len(t) for t in texts]
