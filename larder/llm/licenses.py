@@ -2,7 +2,8 @@
 
 A notice with at most k edits leaves one of its k + 1 pieces untouched (pigeonhole). Exact search for
 the pieces finds candidate windows; the regex library's bounded-error matching then decides about
-each window and says where the notice stands and how many edits it has.
+each window and says where the notice stands and how many edits it has. Matches are taken from left to
+right, each improved where it stands, so that neighbouring notices are all found.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ class Search:
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases]
         self.notices = []
         for notice, label, edits in notices:
-            pattern = regex.compile(rf"(?b)(?:^|(?<= ))(?:{regex.escape(notice, special_only=True)}){{e<={edits}}}(?= |$)")
+            pattern = regex.compile(rf"(?e)(?:^|(?<= ))(?:{regex.escape(notice, special_only=True)}){{e<={edits}}}(?= |$)")
             cut = pieces(notice, edits)
             self.notices.append((label, edits, len(notice), cut, [p.encode() for _, p in cut], pattern))
 
@@ -148,3 +149,9 @@ def scan(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
 
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, notices array<struct<label:string,start:long,stop:long,edits:int>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)
+
+
+def digest(found: DataFrame) -> DataFrame:
+    """:func:`scan` with its notices as text: label:start:stop:edits, in order, comma-joined."""
+    told = F.transform("notices", lambda n: F.concat_ws(":", n["label"], n["start"].cast("string"), n["stop"].cast("string"), n["edits"].cast("string")))
+    return found.withColumn("notices", F.array_join(told, ","))

@@ -7,7 +7,8 @@ straight into sequences of their own, only remainders are packed, and what would
 filled with the head of a waiting remainder.
 
 Each task packs its own rows in bounded pools as they stream by, so nothing is shuffled and no more
-than a pool is held. A task's last sequence is the only one with much padding.
+than a pool is held. A sequence that ends with much room, a task's last one or one full of segments, is
+cut into sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -140,12 +141,30 @@ def fill(sizes: np.ndarray, limits: np.ndarray, cut: bool, last: bool) -> tuple[
                 break
             else:
                 break
-        if not last and cut and room[0] >= LEAST_CUT and not waiting.any():
+        if not last and room[0] >= LEAST_CUT and not waiting.any():
             return bins, [i for i, _ in own]
         bins.append(own)
     return bins, []
 
 
+def halves(own: list[tuple[int, int]], length: int) -> list[list[tuple[int, int]]]:
+    """A bin of (example, tokens) as it is, or in order as bins of falling powers of two if it would be padded by LEAST_CUT tokens or more."""
+    total = sum(n for _, n in own)
+    if length - total < LEAST_CUT:
+        return [own]
+    out: list[list[tuple[int, int]]] = []
+    room = 0
+    for i, n in own:
+        while n:
+            if not room:
+                room = 1 << (total.bit_length() - 1)
+                out.append([])
+            take = min(room, n)
+            out[-1].append((i, take))
+            room, n, total = room - take, n - take, total - take
+    return out
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, segments: int = SEGMENTS, end_id: int = END_ID, pool: int = POOL, with_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ``ids`` if wanted.
 
@@ -170,7 +189,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, segmen
             nonlocal sequence, waiting
             sizes = np.array([[len(w[3]), 1, len(w[3])] for w in waiting]).reshape(-1, 3)
             bins, left = fill(sizes, limits, True, last)
-            for own in bins:
+            for own in (part for whole in bins for part in halves(whole, length)):
                 at = 0
                 for i, n in own:
                     doc_id, doc_tokens, start, ids = waiting[i]
@@ -220,17 +239,30 @@ def pack_examples(examples: DataFrame, limits: tuple[int, int, int], pool: int =
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 40
+        waiting = pd.DataFrame()
+
+        def packed(rows: pd.DataFrame, last: bool) -> pd.DataFrame:
+            nonlocal sequence, waiting
+            sizes = rows[["tokens", "segments", "loss_tokens"]].to_numpy()
+            over = (sizes > most).any(1)
+            bins = [[(i, 0)] for i in np.flatnonzero(over)]
+            inside = np.flatnonzero(~over)
+            full, left = fill(sizes[inside], most, False, last)
+            bins += [[(int(inside[i]), 0) for i, _ in own] for own in full]
+            waiting = rows.iloc[inside[left]]
+            ids, first = rows["example_id"].to_numpy(), sequence
+            sequence += len(bins)
+            return pd.DataFrame([(ids[i], first + k, place) for k, own in enumerate(bins) for place, (i, _) in enumerate(own)], columns=["example_id", "sequence_id", "place"])
+
         for frame in frames:
-            for a in range(0, len(frame), pool):
-                part = frame.iloc[a : a + pool]
-                sizes = part[["tokens", "segments", "loss_tokens"]].to_numpy()
-                over = (sizes > most).any(1)
-                bins = [[(i, 0)] for i in np.flatnonzero(over)]
-                inside = np.flatnonzero(~over)
-                bins += [[(int(inside[i]), 0) for i, _ in own] for own in fill(sizes[inside], most, False, True)[0]]
-                ids = part["example_id"].to_numpy()
-                yield pd.DataFrame([(ids[i], sequence + k, place) for k, own in enumerate(bins) for place, (i, _) in enumerate(own)], columns=["example_id", "sequence_id", "place"])
-                sequence += len(bins)
+            waiting = pd.concat([waiting, frame], ignore_index=True)
+            while len(waiting) >= pool:
+                rest = waiting.iloc[pool:]
+                out = packed(waiting.iloc[:pool], False)
+                waiting = pd.concat([waiting, rest], ignore_index=True)
+                yield out
+        if len(waiting):
+            yield packed(waiting, True)
 
     columns = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("tokens", "segments", "loss_tokens")]
     return examples.select(F.col("example_id").cast("long").alias("example_id"), *columns).mapInPandas(run, "example_id long, sequence_id long, place long")

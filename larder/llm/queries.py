@@ -11,6 +11,8 @@ from larder.llm.common import read
 MIX_WEIGHTS = {"domain0": 3.0, "domain1": 2.0, "domain0/en": 2.0, "domain1/de/src5": 4.0}
 MIX_TOTAL, MIX_EPOCHS, MIX_SEED = 0.8, 4, 17
 TOKENIZER = "byte_bpe_50k.json"
+#: Tokens, turns and loss-bearing tokens of a sequence of conversations.
+CONVERSATION_LIMITS = (4096, 20, 3200)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -49,8 +51,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
+def packing_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing of instruction data: whole conversations under limits on tokens, turns and tokens that bear loss."""
+    sizes = packing.conversation_sizes(read(spark, sf_dir, "conversations"), tokenizer_path())
+    return packing.pack_examples(sizes, CONVERSATION_LIMITS)
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(read(spark, sf_dir, "documents")).drop("notices")
+    return licenses.digest(licenses.scan(read(spark, sf_dir, "documents")))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secrets, op3_merkle, op4_quality_cnn, op5_minhash_dedup, op6_mixing, op7_packing, op8_licenses, op9_url_filter, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secrets, op3_merkle, op4_quality_cnn, op5_minhash_dedup, op6_mixing, op7_packing, packing_conversations, op8_licenses, op9_url_filter, op10_toxicity)}
 
 ORACLES = {
     "op1_embedding_dedup": embedding_dedup.ORACLE,

@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
-from larder.llm import packing
+from larder.llm import packing, queries
 from larder.llm.queries import tokenizer_path
 from tests.llm.data import docs, table
 
@@ -39,15 +39,27 @@ def check(df, **options):
     return sequences
 
 
+def padding(sequences):
+    """Padded tokens: up to the whole length, none at a power of two."""
+    totals = [sum(p.length for p in own) for own in sequences.values()]
+    return sum(0 if n & (n - 1) == 0 else packing.LENGTH - n for n in totals) / sum(totals)
+
+
 def test_given_documents(spark):
-    sequences = check(table(spark, "documents").coalesce(1))
-    used = sum(p.length for own in sequences.values() for p in own)
-    assert used > 0.99 * packing.LENGTH * len(sequences)
+    df = table(spark, "documents")
+    for parts in (1, 64):
+        assert padding(check(df.repartition(parts))) < 0.002
 
 
 def test_segments_limit_holds(spark):
     rows = [(i, "word", "en", "s", 1, 1, "k", 1) for i in range(900)]
-    check(docs(spark, rows), segments=7, length=64, pool=100)
+    assert padding(check(docs(spark, rows).coalesce(2), segments=100, length=2048, pool=100)) < 0.03
+
+
+def test_part_filled_bins_become_powers_of_two():
+    assert packing.halves([(0, 2040)], 2048) == [[(0, 2040)]]
+    assert packing.halves([(4, 300), (2, 5)], 2048) == [[(4, 256)], [(4, 32)], [(4, 12), (2, 4)], [(2, 1)]]
+    assert packing.halves([(1, 64)], 2048) == [[(1, 64)]]
 
 
 def test_odd_cases(spark):
@@ -83,5 +95,17 @@ def test_conversations(spark):
     for group in own.values():
         total = [sum(r[c] for r in group) for c in ("tokens", "segments", "loss_tokens")]
         assert len(group) == 1 or all(a <= b for a, b in zip(total, limits, strict=True))
+    # all three limits bind somewhere, and few sequences are needed beyond the least that any way needs
+    query = queries.packing_conversations(spark, "/root/testdata/sf0.01").collect()
+    own = defaultdict(list)
+    for r in query:
+        own[r.sequence_id].append(known[r.example_id])
+    totals = np.array([[sum(r[c] for r in group) for c in ("tokens", "segments", "loss_tokens")] for group in own.values()])
+    several = np.array([len(group) > 1 for group in own.values()])
+    assert sorted(r.example_id for r in query) == sorted(known) and (totals[several] <= queries.CONVERSATION_LIMITS).all()
+    assert set((totals / queries.CONVERSATION_LIMITS).argmax(1)) == {0, 1, 2} and ((totals / queries.CONVERSATION_LIMITS).max(0) > 0.95).all()
+    each = np.array([[r.tokens, r.segments, r.loss_tokens] for r in known.values()])
+    least = (each.sum(0) / queries.CONVERSATION_LIMITS).max()
+    assert least <= len(own) <= 1.2 * least + 4
     odd = spark.createDataFrame([(1, None, None, None), (2, 5000, 1, 1), (None, 1, 1, 1)], "example_id long, tokens long, segments long, loss_tokens long")
     assert packing.pack_examples(odd, limits).count() == 3
