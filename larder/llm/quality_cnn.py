@@ -8,6 +8,7 @@ neighbouring bytes' weights are tabulated, so that a scan costs three lookups a
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -77,7 +78,10 @@ def padded(data: np.ndarray) -> np.ndarray:
 
 
 def _sample(rows: DataFrame) -> pd.DataFrame:
-    """(row, label, chunk): seeded chunks from all over each training text; what the driver gets is bounded."""
+    """(row, label, chunk): seeded chunks from all over each training text; what the driver gets is bounded.
+
+    Equal texts of one label are one training row.
+    """
     size = CELL * CHUNK + WIDTH - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,8 +92,9 @@ def _sample(rows: DataFrame) -> pd.DataFrame:
                 data = padded(raw[offsets[i] : offsets[i + 1]])
                 starts = np.arange(0, max(1, len(data) - size + CELL * STRIDE), CELL * STRIDE)
                 random = np.random.default_rng(len(data) + int(data[: 4096].sum()))
+                row = f"{hashlib.blake2b(data.tobytes(), digest_size=16).hexdigest()}:{label}"
                 for s in random.permutation(starts)[:TRAIN_CHUNKS]:
-                    for k, v in (("row", f"{len(data)}:{int(data.sum())}:{i}"), ("label", label), ("chunk", data[s : s + size].tobytes())):
+                    for k, v in (("row", row), ("label", label), ("chunk", data[s : s + size].tobytes())):
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.string()), pa.array(out["label"], pa.int32()), pa.array(out["chunk"], pa.binary())], ["row", "label", "chunk"])
 
@@ -99,7 +104,7 @@ def _sample(rows: DataFrame) -> pd.DataFrame:
 def fit(sample: pd.DataFrame, rounds: int = 14, seed: int = 7) -> Network:
     """Adam on the cross entropy of documents; only the places that win a pooling carry a gradient."""
     random = np.random.default_rng(seed)
-    sample = sample.sort_values(["row", "chunk"], kind="stable").reset_index(drop=True)
+    sample = sample.drop_duplicates(["row", "chunk"]).sort_values(["row", "chunk"], kind="stable").reset_index(drop=True)
     width = CELL * CHUNK + WIDTH - 1
     data = np.zeros((len(sample), width), np.uint8)
     valid = np.zeros(len(sample), int)

@@ -82,7 +82,7 @@ def _weak_no(hit: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, text_hash, base, weak, the located spans.
 
-    ``base`` holds the strong spans sorted by start and kind; ``weak`` the parts that overlap none of them, with the scope breaks.
+    ``base`` holds the strong spans sorted by start and kind; ``weak`` the weak parts, with the scope breaks.
     """
     found = docs.select("doc_id", text_or_empty().alias("text")).withColumns(
         {
@@ -108,22 +108,27 @@ def scan(docs: DataFrame) -> DataFrame:
         ).alias("base"),
         F.transform("weak", lambda s: F.struct(s["start"].alias("start"), _weak_no(s["hit"]).alias("no"), s["stop"].alias("stop"))).alias("weak"),
     )
-    free = F.filter("weak", lambda w: (w["no"] < 0) | ~F.exists("base", lambda b: (b["start"] < w["stop"]) & (w["start"] < b["stop"])))
-    return base.withColumn("weak", F.when(F.size("base") > 0, free).otherwise(F.col("weak")).cast(_SPAN)).withColumn("base", F.col("base").cast(_SPAN))
+    return base.withColumns({"weak": F.col("weak").cast(_SPAN), "base": F.col("base").cast(_SPAN)})
 
 
 def link_parts(scanned: DataFrame, reach: int = REACH) -> DataFrame:
     """(doc_id, text_hash, linked): the weak parts that have their complement in reach within their scope.
 
-    A weak secret needs an identifier, an identifier a secret, an endpoint both. Rows of equal doc_id
-    and text are one document here.
+    A weak secret needs an identifier, an identifier a secret, an endpoint both. Weak parts that overlap
+    a strong one are no parts of their own. Rows of equal doc_id and text are one document here.
     """
     key = ["doc_id", "text_hash"]
     has = lambda c, *nos: F.exists(c, lambda s: reduce(lambda a, b: a | b, (s["no"] == n for n in nos)))
     paired = (has("weak", 3) & (has("weak", 4) | has("base", 0, 2))) | (has("weak", 4) & has("base", 1)) | (has("weak", 5) & has("base", 1) & has("base", 0, 2))
     able = scanned.where(paired).select(*key, F.concat("base", "weak").alias("part")).distinct()
     parts = able.select(*key, F.explode("part").alias("part")).select(*key, "part.*")
-    scope = F.sum((F.col("no") < 0).cast("long")).over(Window.partitionBy(*key).orderBy("start", "no", "stop"))
+    order = Window.partitionBy(*key).orderBy("start", "no", "stop")
+    strong = F.col("no").between(0, 2)
+    ended = F.max(F.when(strong, F.col("stop"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.min(F.when(strong, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    parts = parts.withColumns({"ended": ended, "begins": begins}).where((F.col("no") < 3) | ~(F.coalesce(F.col("ended") > F.col("start"), F.lit(False)) | F.coalesce(F.col("begins") < F.col("stop"), F.lit(False))))
+    parts = parts.drop("ended", "begins")
+    scope = F.sum((F.col("no") < 0).cast("long")).over(order)
     role = F.when(F.col("no").isin(1, 3), "id").when(F.col("no").isin(0, 2, 4), "secret").otherwise("endpoint")
     parts = parts.withColumn("scope", scope).where("no >= 0").withColumns({"role": role, "bucket": F.floor(F.col("start") / reach)})
     ends = parts.where("role <> 'endpoint'").groupBy(*key, "scope", F.col("role").alias("partner"), F.col("bucket").alias("near")).agg(F.min("start").alias("low"), F.max("start").alias("high"))

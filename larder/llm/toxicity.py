@@ -8,9 +8,11 @@ per word of the text. Exception phrases hide the entries inside them.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -101,7 +103,12 @@ class Lexicon:
                 best[start] = max(best.get(start, 0.0), weight)
             else:
                 hidden.append((start, end))
-        total = sum(w for at, w in best.items() if not any(a <= at < b for a, b in hidden))
+        if hidden:
+            hidden.sort()
+            starts = [a for a, _ in hidden]
+            reached = list(accumulate((b for _, b in hidden), max))
+            best = {at: w for at, w in best.items() if not (k := bisect_right(starts, at)) or reached[k - 1] <= at}
+        total = sum(w for _, w in sorted(best.items()))
         return total, max(0, flat.count(" ") - 1)
 
     def score(self, text: str) -> float:
