@@ -57,9 +57,9 @@ def links(text: Column) -> Column:
 
 
 def unquoted(c: Column) -> Column:
-    """Without one pair of quotes around the whole."""
+    """Stripped, and without one pair of quotes around the whole."""
     t = strip(F.coalesce(c, F.lit("")))
-    return F.when(t.rlike(r'(?s)^".+"$|^“.+”$'), strip(F.regexp_extract(t, r'(?s)^["“](.+)["”]$', 1))).otherwise(t)
+    return F.when(t.rlike(r'(?s)^".*"$') & (F.length(t) >= 2), F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t)
 
 
 def filled_lines(c: Column) -> Column:

@@ -186,3 +186,50 @@ def varied_sample(rows: DataFrame, predicates: list[tuple[str, Column]], target:
 def servings_base(servings: Column) -> Column:
     """the first whole number in a text; null without one."""
     return F.nullif(F.regexp_extract(F.coalesce(servings, F.lit("")), r"(\d+)", 1), F.lit("")).try_cast("int")
+
+
+def promote_photos(requests: DataFrame, photos: DataFrame, recipes: DataFrame) -> DataFrame:
+    """``recipes`` with the images that their owners chose: of requests (id, photo_id, user_id) the last of a recipe counts."""
+    asked = requests.join(photos.select(F.col("id").alias("photo_id"), "recipe_id", "path"), "photo_id")
+    asked = asked.join(recipes.select(F.col("id").alias("recipe_id"), "owner"), "recipe_id").where("owner = user_id")
+    last = asked.groupBy(F.col("recipe_id").alias("id")).agg(F.max_by("path", "id").alias("chosen"))
+    return recipes.join(last, "id", "left").withColumn("image", F.coalesce("chosen", "image")).select(*recipes.columns)
+
+
+def change_friends(pairs: DataFrame, accepted: DataFrame, removed: DataFrame) -> DataFrame:
+    """``pairs`` (requester, addressee, status) after acceptances (user_id, friend) of requests made to the user, and removals by either side."""
+    said = accepted.select(F.col("friend").alias("requester"), F.col("user_id").alias("addressee"), F.lit(True).alias("said")).distinct()
+    ends = removed.select(F.least("user_id", "friend").alias("lo"), F.greatest("user_id", "friend").alias("hi")).distinct()
+    now = pairs.join(said, ["requester", "addressee"], "left").withColumn("status", F.when(F.col("said"), "accepted").otherwise(F.col("status"))).drop("said")
+    return now.withColumns({"lo": F.least("requester", "addressee"), "hi": F.greatest("requester", "addressee")}).join(ends, ["lo", "hi"], "left_anti").select(*pairs.columns)
+
+
+def consume_invites(signups: DataFrame, invites: DataFrame) -> DataFrame:
+    """(id, refusal) of signups (id, code, at): the code exists, is unused and not past its end (as text); of several signups the first valid one takes it."""
+    known = signups.join(invites.select("code", "used", "expires_at", F.lit(True).alias("there")), "code", "left")
+    early = F.when(F.col("there").isNull(), "no such invite").when(F.col("used"), "used").when(F.col("expires_at").isNotNull() & (F.col("expires_at") <= F.col("at")), "expired")
+    known = known.withColumn("early", early)
+    first = known.where("early IS NULL").groupBy("code").agg(F.min(F.struct("at", "id"))["id"].alias("first"))
+    return known.join(first, "code", "left").select("id", F.coalesce("early", F.when(F.col("first") != F.col("id"), "used")).alias("refusal"))
+
+
+def null_dead_pointers(recipes: DataFrame, ids: DataFrame, files: DataFrame) -> DataFrame:
+    """``recipes`` whose image is no file lose it, of the given ids alone."""
+    dead = recipes.where("image IS NOT NULL").select("id", "image").join(ids, "id", "left_semi").join(files.select(F.col("path").alias("image")), "image", "left_anti").select("id", F.lit(True).alias("dead"))
+    return recipes.join(dead, "id", "left").withColumn("image", F.when(F.col("dead").isNull(), F.col("image"))).select(*recipes.columns)
+
+
+def resolve_owner(users: DataFrame, email: str | None = None) -> DataFrame:
+    """(id) of the user with an address, or of the only user; anything else is an error when the row is read."""
+    found = users.where(F.lower(F.trim("email")) == email.strip().lower()) if email else users
+    one = found.agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    message = F.concat(F.lit("no single owner: "), F.col("n").cast("string"), F.lit(" users"))
+    return one.select(F.when(F.col("n") == 1, F.col("id")).otherwise(F.raise_error(message).cast("long")).alias("id"))
+
+
+def cook_and_rate(requests: DataFrame, recipes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cooks, ratings) of requests (id, recipe_id, user_id, on, rating, cooks): ratings from 1 to 5 of known recipes, the last one wins; a rating needs no cook."""
+    known = requests.join(recipes.select(F.col("id").alias("recipe_id")), "recipe_id", "left_semi").where(F.col("rating").isNull() | F.col("rating").between(1, 5))
+    cooks = known.where("cooks").select("id", "recipe_id", "user_id", F.col("on").alias("cooked_on"))
+    rated = known.where("rating IS NOT NULL").groupBy("recipe_id", "user_id").agg(F.max_by(F.struct("rating", "on"), "id").alias("r"))
+    return cooks, rated.select("recipe_id", "user_id", "r.rating", F.col("r.on").alias("rated_on"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import amounts, steps, text
 from larder.operators import imports, kitchen, slugs
-from larder.sources import library, staged
+from larder.sources import files, library, staged
 
 
 def test_staged_batches_publish_at_once(spark, tmp_path):
@@ -122,3 +122,22 @@ def test_snapshots_and_samples(spark):
     got = kitchen.varied_sample(rows, [("even", F.col("id") % 2 == 0), ("small", F.col("id") < 3), ("none", F.col("id") > 99)], target=5).collect()
     assert [(r.id, r.reason) for r in got[:1]] == [(0, "even")] and [r.reason for r in got[1:]] == ["random"] * 4 and len({r.id for r in got}) == 5
     assert kitchen.varied_sample(rows.where("false"), [("even", F.col("id") % 2 == 0)]).count() == 0
+
+
+def test_archive_records_have_one_shape(spark):
+    png = "iVBORw0KGgoAAAANSUhEUg=="
+    record = '{"name":" \\"Pie\\" ","ingredients":"1 egg\\n\\n salt \\n","directions":"Mix.\\n\\nBake.","categories":["a"],"rating":4,"photo_data":"' + png + '","photos":[{"filename":"f","data":"AAAA"},{"name":"n","data":"?"}]}'
+    got = files.normalized(spark.createDataFrame([("a", record), ("b", "{}"), ("c", None)], "entry string, record string")).orderBy("entry").collect()
+    a, b = got
+    assert (a.name, a.name_raw, a.ingredient_lines, a.blank_breaks, a.directions, a.categories, a.rating) == ("Pie", ' "Pie" ', ["1 egg", "salt"], 2, ["Mix.", "Bake."], ["a"], 4)
+    assert (a.primary_photo.type, a.primary_photo.bytes, a.primary_photo.b64_len) == ("PNG", 16, len(png)) and [i.type for i in a.images] == ["unknown(000000)", "DECODE-ERROR"]
+    assert (b.name, b.ingredient_lines, b.blank_breaks, b.source, b.images, b.primary_photo, b.rating) == ("", [], 0, "", [], None, None)
+    assert [r[0] for r in spark.createDataFrame([('""',), ('"',), ('"a" b"',)], "x string").select(text.unquoted(F.col("x"))).collect()] == ["", '"', 'a" b']
+
+
+def test_owner_must_be_one(spark):
+    users = spark.createDataFrame([(1, "A@e.org "), (2, "b@e.org")], "id long, email string")
+    assert kitchen.resolve_owner(users, " a@E.org").first().id == 1 and kitchen.resolve_owner(users.where("id = 2")).first().id == 2
+    for few in (kitchen.resolve_owner(users), kitchen.resolve_owner(users, "x@e.org")):
+        with pytest.raises(Exception, match="no single owner"):
+            few.collect()
