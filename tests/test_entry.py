@@ -29,3 +29,18 @@ def test_nothing_else_imports_the_optional_folder():
     for path in (ROOT / "larder").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT / "larder").parts:
             assert "larder.llm" not in path.read_text(), path
+
+
+def test_workers_need_not_import_the_library(tmp_path):
+    """A driver that finds the library by itself alone can still run the queries with Python in their tasks."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__ as e
+for name in ("n6_read_recipe_pages", "w7_slugs", "c12_annotation_index"):
+    assert e.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
