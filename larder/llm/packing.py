@@ -15,8 +15,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
@@ -37,8 +41,8 @@ LEAST_CUT = 16
 END_ID = 1
 # Fixed value: the pieces of byte-level tokenizers.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose ids a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers (some 200 bytes each) before it starts anew.
+REMEMBERED = 800_000
 
 
 class Encoder:
@@ -58,6 +62,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([r"^\s", *map(re.escape, self.special)]))
         self.known: dict[str, bytes | None] = {}
         self.quick = self._quick(path)
 
@@ -91,12 +96,12 @@ class Encoder:
         split = [t.split(" ") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
+        code = "H" if self.kind is np.uint16 else "I"
         new = [w for w in set().union(*(s[1:] for s in split)) if w not in self.known]
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for word, ids in zip(part, self.words(part), strict=True):
-                odd = not word or word[0].isspace() or any(s in word for s in self.special)
-                self.known[word] = None if odd else np.array(ids, self.kind).tobytes()
+                self.known[word] = None if not word or self.odd.search(word) else array(code, ids).tobytes()
         out = []
         for text, (first, *rest) in zip(texts, split, strict=True):
             try:
@@ -107,6 +112,14 @@ class Encoder:
         return out
 
 
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a file, one for each worker process: its tables and its memory serve all tasks that the process runs."""
+    kept = sys.modules.setdefault("_larder_encoders", ModuleType("_larder_encoders")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def fill(sizes: np.ndarray, limits: np.ndarray, cut: bool, last: bool) -> tuple[list[list[tuple[int, int]]], list[int]]:
     """Bins of (example, tokens taken) by the dot-product heuristic, and the examples that still wait.
 
@@ -176,7 +189,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, segmen
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 40
         waiting: list[list] = []  # doc_id, doc_tokens, start, ids
@@ -272,7 +285,7 @@ def conversation_sizes(conversations: DataFrame, tokenizer: str, answers: str =
     """(example_id, tokens, segments, loss_tokens) of each conversation: all turns, and the answering role's tokens bear loss."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for frame in frames:
             yield pd.DataFrame({"conv_id": frame["conv_id"], "n": [len(x) + 1 for x in encoder.encode(list(frame["text"]))], "own": frame["own"]})
 
