@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import embedding_dedup, licenses, merkle, minhash, mixing, packing, quality_cnn, secrets, toxicity, url_filter
+from larder.llm import embedding_dedup, licenses, merkle, minhash, mixing, packing, quality_cnn, resampling, secrets, toxicity, url_filter
 from larder.llm.common import read
 
 #: Target weights of the mixing query: other paths weigh 1.
@@ -13,6 +13,8 @@ MIX_TOTAL, MIX_EPOCHS, MIX_SEED = 0.8, 4, 17
 TOKENIZER = "byte_bpe_50k.json"
 #: Tokens, turns and loss-bearing tokens of a sequence of conversations.
 CONVERSATION_LIMITS = (4096, 20, 3200)
+#: Percent of the documents drawn, words that one needs at least, and seed of the importance resampling.
+DRAW = (25, 20, 7)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -70,11 +72,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secrets, op3_merkle, op4_quality_cnn, op5_minhash_dedup, op6_mixing, op7_packing, packing_conversations, op8_licenses, op9_url_filter, op10_toxicity)}
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), *DRAW)
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secrets, op3_merkle, op4_quality_cnn, op5_minhash_dedup, op6_mixing, op7_packing, packing_conversations, op8_licenses, op9_url_filter, op10_toxicity, op12_resampling)}
 
 ORACLES = {
     "op1_embedding_dedup": embedding_dedup.ORACLE,
     "op5_minhash_dedup": minhash.oracle(85),
     "op6_mixing": mixing.oracle(MIX_TOTAL, MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED),
     "op9_url_filter": url_filter.ORACLE,
+    "op12_resampling": resampling.oracle(*DRAW),
 }
