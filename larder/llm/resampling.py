@@ -28,18 +28,14 @@ ship(__name__)
 BUCKETS = 10_000
 #: A trie with more nodes than this is emptied into the bucket totals and begun anew.
 NODES = 1 << 20
-#: Bytes of a text that are walked at once.
-PIECE = 1 << 20
+#: Bytes of texts that are walked at once, and of a word whose CRC is taken alone.
+PIECE, LONG_WORD = 2 << 20, 64
 #: Scores are numbered in blocks of this width.
 BLOCK = 256
 
 
-def _word_bytes() -> bytes:
-    """Digits, small letters and bytes of other scripts stay, A-Z become small, every other ASCII byte parts words."""
-    return bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-
-
-_WORDS = _word_bytes()
+#: Digits, small letters and bytes of other scripts are parts of words, A-Z become small, every other ASCII byte parts words.
+_WORDS = np.array([b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint8)
 
 
 def _crc_steps() -> np.ndarray:
@@ -53,6 +49,34 @@ def _crc_steps() -> np.ndarray:
     return out
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
+_CRC = _crc_table()
+
+
+def crc_of_words(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The CRC of each word, one byte of all words at a time; long words one by one."""
+    order = np.argsort(-np.minimum(lengths, LONG_WORD + 1).astype(np.int16), kind="stable")
+    at, size = starts[order], lengths[order]
+    state = np.full(len(at), 0xFFFFFFFF, np.uint32)
+    n_long = int((size > LONG_WORD).sum())
+    left = np.searchsorted(-size, -np.arange(LONG_WORD), "left")  # words with more than k bytes
+    for k in range(int(size.max()) if len(size) and not n_long else LONG_WORD if len(size) else 0):
+        own = slice(n_long, left[k])
+        state[own] = _CRC[(state[own] ^ flat[at[own] + k]) & 255] ^ (state[own] >> 8)
+    state ^= np.uint32(0xFFFFFFFF)
+    for i in range(n_long):
+        state[i] = zlib.crc32(flat[at[i] : at[i] + size[i]].tobytes())
+    out = np.empty_like(state)
+    out[order] = state
+    return out
+
+
 class Shifts:
     """CRC states carried over n further bytes, by four tables for each n: crc(a + b) = shift(crc(a), len(b)) ^ crc(b)."""
 
@@ -96,18 +120,10 @@ class Shifts:
         return t[0][s & 255] ^ t[1][(s >> 8) & 255] ^ t[2][(s >> 16) & 255] ^ t[3][s >> 24]
 
 
-class _Roots(dict):
-    """Numbers of words in the order of their first walk."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
-
-
 class Trie:
     """A trie of one or two words. Nodes hold the CRC state of their path, its count, and a gain if gains are given.
 
-    First-level nodes are numbered words. Second-level nodes are sorted keys of two numbers.
+    Words of equal CRC and length are one node: whatever follows them, their paths fall into the same buckets.
     """
 
     def __init__(self, buckets: int, gains: np.ndarray | None = None, nodes: int = NODES):
@@ -117,53 +133,57 @@ class Trie:
         self._clear()
 
     def _clear(self) -> None:
-        self.roots = _Roots()
-        self.state, self.tail, self.length = (np.zeros(0, t) for t in (np.uint32, np.uint32, np.int64))
-        self.count = np.zeros(0, np.int64)
-        self.keys, self.pair_state, self.pair_count = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
-
-    def _grow(self) -> None:
-        new = list(self.roots)[len(self.state) :]
-        if new:
-            self.state = np.append(self.state, np.array([zlib.crc32(w) for w in new], np.uint32))
-            self.tail = np.append(self.tail, np.array([zlib.crc32(b" " + w) for w in new], np.uint32))
-            self.length = np.append(self.length, np.array([len(w) + 1 for w in new], np.int64))
-            self.count = np.append(self.count, np.zeros(len(new), np.int64))
-
-    def number(self, words: list[bytes]) -> np.ndarray:
-        """The first-level nodes of words in order."""
-        roots = self.roots
-        return np.fromiter(map(roots.__getitem__, words), np.int64, len(words))
-
-    def walk(self, nodes: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Walk every run of one and two words; ``breaks`` marks words that begin a text.
-
-        Returns the gain at each word's node and at each pair's (0 at a break), or zeros without gains.
+        self.roots, self.number = np.zeros(0, np.int64), np.zeros(0, np.int64)  # sorted keys and the numbers of their nodes
+        self.state, self.tail, self.length, self.count = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pairs, self.pair_state, self.pair_count = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    @staticmethod
+    def _fresh(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the sorted ``keys`` aren't known, and where each belongs."""
+        at = np.searchsorted(known, keys)
+        new = np.ones(len(keys), bool)
+        inside = at < len(known)
+        new[inside] = known[at[inside]] != keys[inside]
+        return new, at
+
+    def _numbers(self, words: np.ndarray) -> np.ndarray:
+        """First-level nodes of words (length << 32 | CRC)."""
+        key, back = np.unique(words, return_inverse=True)
+        new, at = self._fresh(self.roots, key)
+        fresh = key[new]
+        if len(fresh):
+            crc, length = (fresh & 0xFFFFFFFF).astype(np.uint32), (fresh >> 32) + 1
+            space = np.full(len(fresh), zlib.crc32(b" "), np.uint32)
+            self.roots = np.insert(self.roots, at[new], fresh)
+            self.number = np.insert(self.number, at[new], np.arange(len(self.state), len(self.state) + len(fresh)))
+            self.state, self.length = np.append(self.state, crc), np.append(self.length, length)
+            self.tail = np.append(self.tail, self.shifts.carried(space, length - 1) ^ crc)
+            self.count = np.append(self.count, np.zeros(len(fresh), np.int64))
+        return self.number[np.searchsorted(self.roots, key)][back]
+
+    def walk(self, words: np.ndarray, breaks: np.ndarray, seen: int = 0) -> np.ndarray:
+        """Walk every run of one and two words; the gain of each word and of the pair that it ends (zeros without gains).
+
+        ``breaks`` marks words that begin a text; the first ``seen`` words were walked before.
         """
-        self._grow()
-        self.count += np.bincount(nodes, minlength=len(self.count))
-        pair = (nodes[:-1] << 32) | nodes[1:]
-        joined = ~breaks[1:]
-        key, back, often = np.unique(pair[joined], return_inverse=True, return_counts=True)
-        at = np.searchsorted(self.keys, key)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == key[known]
-        self.pair_count[at[known]] += often[known]
-        fresh = key[~known]
-        first, second = fresh >> 32, fresh & 0xFFFFFFFF
+        nodes = self._numbers(words)
+        self.count += np.bincount(nodes[seen:], minlength=len(self.count))
+        joined = np.flatnonzero(~breaks[1:])
+        key, back, often = np.unique((nodes[joined] << 32) | nodes[joined + 1], return_inverse=True, return_counts=True)
+        new, at = self._fresh(self.pairs, key)
+        self.pair_count[at[~new]] += often[~new]
+        first, second = key[new] >> 32, key[new] & 0xFFFFFFFF
         state = self.shifts.carried(self.state[first], self.length[second]) ^ self.tail[second]
-        all_keys = np.concatenate([self.keys, fresh])
-        order = np.argsort(all_keys, kind="stable")
-        self.keys = all_keys[order]
-        self.pair_state = np.concatenate([self.pair_state, state])[order]
-        self.pair_count = np.concatenate([self.pair_count, often[~known]])[order]
-        one, two = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
+        self.pairs = np.insert(self.pairs, at[new], key[new])
+        self.pair_state = np.insert(self.pair_state, at[new], state)
+        self.pair_count = np.insert(self.pair_count, at[new], often[new])
+        gain = np.zeros(len(nodes), np.int64)
         if self.gains is not None:
-            one = self.gains[self.state % self.buckets][nodes]
-            two[1:][joined] = self.gains[self.pair_state[np.searchsorted(self.keys, key)] % self.buckets][back]
-        if len(self.keys) + len(self.state) > self.nodes:
+            gain[seen:] = self.gains[self.state % self.buckets][nodes[seen:]]
+            gain[joined + 1] += self.gains[self.pair_state[np.searchsorted(self.pairs, key)] % self.buckets][back]
+        if len(self.pairs) + len(self.state) > self.nodes:
             self.drain()
-        return one, two
+        return gain
 
     def drain(self) -> np.ndarray:
         """Add the nodes' counts to the bucket totals and begin a new trie; the totals so far."""
@@ -173,53 +193,44 @@ class Trie:
         return self.totals
 
 
-def pieces(raw: bytes, size: int = PIECE) -> Iterator[list[bytes]]:
-    """The words of a text, in lists of some ``size`` bytes; no word is parted."""
-    flat = raw.translate(_WORDS)
-    at = 0
-    while at < len(flat):
-        stop = flat.find(b" ", at + size)
-        stop = len(flat) if stop < 0 else stop
-        words = flat[at:stop].split()
-        if words:
-            yield words
-        at = stop
+def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words as length << 32 | CRC, how many each row has)."""
+    flat = _WORDS[raw]
+    edge = np.zeros(len(flat) + 1, bool)  # a word never crosses a row
+    edge[offsets] = True
+    inside = np.concatenate([[False], flat != 32, [False]])
+    change = inside[1:-1]
+    starts = np.flatnonzero(change & (~inside[:-2] | edge[:-1]))
+    lengths = np.flatnonzero(change & (~inside[2:] | edge[1:])) + 1 - starts
+    words = (lengths << 32) | crc_of_words(flat, starts, lengths).astype(np.int64)
+    return words, np.diff(np.searchsorted(starts, offsets))
 
 
 def _walked(batches: Iterator[pa.RecordBatch], trie: Trie, text: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(batch, words, gain) with the numbers of each row; texts of a batch are walked together, long ones piece by piece."""
-    for batch in small_batches(batches, text):
+    """(batch, words, gain) with the numbers of each row; texts of a batch are walked together, a long one piece by piece."""
+    for batch in small_batches(batches, text, size=PIECE):
         raw, offsets = text_bytes(batch.column(text))
-        data, ends = raw.tobytes(), offsets.tolist()
-        words, gain = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-        waiting: list[bytes] = []
-        rows: list[tuple[int, int, bool]] = []
-
-        def flush():
-            if waiting:
-                row = np.repeat([r for r, _, _ in rows], [n for _, n, _ in rows])
-                breaks = np.zeros(len(row), bool)
-                breaks[np.cumsum([0, *[n for _, n, _ in rows][:-1]])] = [b for _, _, b in rows]
-                one, two = trie.walk(trie.number(waiting), breaks)
-                np.add.at(gain, row, one + two)
-            waiting.clear()
-            rows.clear()
-
-        for i in range(len(batch)):
-            last: bytes | None = None
-            for own in pieces(data[ends[i] : ends[i + 1]]):
-                words[i] += len(own)
-                if last is None:
-                    waiting += own
-                    rows.append((i, len(own), True))
-                else:  # a further piece of a long text: the pair over the seam counts, its first word has been counted
-                    flush()
-                    one, two = trie.walk(trie.number([last, *own]), np.array([True] + [False] * len(own)))
-                    gain[i] += one[1:].sum() + two.sum()
-                    trie.totals[zlib.crc32(last) % trie.buckets] -= 1
-                last = own[-1]
-        flush()
-        yield batch, words, gain
+        n, gain = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+        if len(batch) == 1 and len(raw) > PIECE:
+            last, at = np.zeros(0, np.int64), 0
+            while at < len(raw):
+                stop = at + PIECE
+                while stop < len(raw) and _WORDS[raw[stop]] != 32:
+                    stop += 1
+                words, _ = words_of(raw[at:stop], np.array([0, len(raw[at:stop])]))
+                n[0] += len(words)
+                breaks = np.zeros(len(words) + len(last), bool)
+                breaks[:1] = True
+                gain[0] += trie.walk(np.concatenate([last, words]), breaks, len(last)).sum()
+                last, at = words[-1:] if len(words) else last, stop
+        else:
+            words, n = words_of(raw, offsets)
+            breaks = np.zeros(len(words), bool)
+            ends = np.cumsum(n)
+            breaks[(ends - n)[n > 0]] = True
+            sums = np.concatenate([[0], np.cumsum(trie.walk(words, breaks))])
+            gain = sums[ends] - sums[ends - n]
+        yield batch, n, gain
 
 
 def bucket_totals(texts: DataFrame, buckets: int = BUCKETS, nodes: int = NODES) -> np.ndarray:
