@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import embedding_dedup, licenses, merkle, minhash, mixing, packing, quality_cnn, resampling, secrets, toxicity, url_filter
+from larder.llm import conversations, embedding_dedup, licenses, merkle, minhash, mixing, packing, quality_cnn, resampling, secrets, suffix_dedup, toxicity, url_filter
 from larder.llm.common import read
 
 #: Target weights of the mixing query: other paths weigh 1.
@@ -72,11 +72,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damage(given), given)
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), *DRAW)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secrets, op3_merkle, op4_quality_cnn, op5_minhash_dedup, op6_mixing, op7_packing, packing_conversations, op8_licenses, op9_url_filter, op10_toxicity, op12_resampling)}
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_secrets, op3_merkle, op4_quality_cnn, op5_minhash_dedup, op6_mixing, op7_packing, packing_conversations, op8_licenses, op9_url_filter, op10_toxicity, op11_conversation_repair, op12_resampling, op13_suffix_dedup)}
 
 ORACLES = {
     "op1_embedding_dedup": embedding_dedup.ORACLE,
