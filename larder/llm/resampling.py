@@ -104,7 +104,7 @@ class Shifts:
         out = np.empty(len(state), np.uint32)
         order = np.argsort(n, kind="stable")
         lengths, starts = np.unique(n[order], return_index=True)
-        for length, at, end in zip(lengths.tolist(), starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+        for length, at, end in zip(lengths.tolist(), starts.tolist(), np.append(starts, len(order))[1:].tolist(), strict=True):
             rows = order[at:end]
             if length > 64:  # rare: by pieces of 64, so that tables stay few
                 moved = state[rows]
@@ -126,8 +126,8 @@ class Trie:
     Words of equal CRC and length are one node: whatever follows them, their paths fall into the same buckets.
     """
 
-    def __init__(self, buckets: int, gains: np.ndarray | None = None, nodes: int = NODES):
-        self.buckets, self.gains, self.nodes = buckets, gains, nodes
+    def __init__(self, buckets: int, gains: np.ndarray | None = None):
+        self.buckets, self.gains = buckets, gains
         self.totals = np.zeros(buckets, np.int64)
         self.shifts = Shifts()
         self._clear()
@@ -181,7 +181,7 @@ class Trie:
         if self.gains is not None:
             gain[seen:] = self.gains[self.state % self.buckets][nodes[seen:]]
             gain[joined + 1] += self.gains[self.pair_state[np.searchsorted(self.pairs, key)] % self.buckets][back]
-        if len(self.pairs) + len(self.state) > self.nodes:
+        if len(self.pairs) + len(self.state) > NODES:
             self.drain()
         return gain
 
@@ -233,11 +233,11 @@ def _walked(batches: Iterator[pa.RecordBatch], trie: Trie, text: int) -> Iterato
         yield batch, n, gain
 
 
-def bucket_totals(texts: DataFrame, buckets: int = BUCKETS, nodes: int = NODES) -> np.ndarray:
+def bucket_totals(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """How many features of all texts fall into each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(buckets, nodes=nodes)
+        trie = Trie(buckets)
         for _ in _walked(batches, trie, 0):
             pass
         totals = trie.drain()
@@ -258,12 +258,12 @@ def gains_of(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.floor(1000 * np.log(ratio)).astype(np.int64)
 
 
-def weigh(docs: DataFrame, gains: np.ndarray, nodes: int = NODES) -> DataFrame:
+def weigh(docs: DataFrame, gains: np.ndarray) -> DataFrame:
     """(doc_id, n_features, n_words, weight): weight is the floored mean gain of a text's features, 0 without any."""
     buckets = len(gains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(buckets, gains, nodes)
+        trie = Trie(buckets, gains)
         for batch, words, gain in _walked(batches, trie, 1):
             features = np.maximum(2 * words - 1, 0)
             weight = np.floor_divide(gain, np.maximum(features, 1))

@@ -69,7 +69,7 @@ def test_small_windows(spark, seed, length, block):
 
 
 def test_odd_cases(spark):
-    df = docs(spark).withColumn("kept", docs(spark)["n"]).withColumn("K1", docs(spark)["n"])
+    df = docs(spark).selectExpr("*", "n AS kept", "n AS K1")
     want = brute([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()], 400)
     same(suffix_dedup.digest(df).collect(), want)
     left = suffix_dedup.remove_repeats(df)
