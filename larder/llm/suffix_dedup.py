@@ -156,13 +156,20 @@ def next_digit(texts: DataFrame, length: int, block: int) -> DataFrame:
 
 
 def _pass(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One pass: (settled spans that are repeated whole, representatives that need the next digit)."""
+    """One pass: (settled spans that are repeated whole, representatives that need the next digit).
+
+    Counts are tables of their own, so that a join of a common key with its count can be split. Groups of
+    one outer hash are settled by the first count; only mixed ones are counted by both hashes.
+    """
     often = rows.groupBy("inner").agg(F.count("*").alias("n"), F.min("outer").alias("lo"), F.max("outer").alias("hi")).where("n > 1")
-    shared = checkpoint(rows.join(often.select("inner", (F.col("lo") != F.col("hi")).alias("mixed")), "inner"))
-    groups = shared.groupBy("inner", "outer").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "span")).alias("one"), F.max("open").alias("open"), F.max("mixed").alias("mixed"))
+    often = checkpoint(often.select("inner", (F.col("lo") != F.col("hi")).alias("mixed")))
+    shared = checkpoint(rows.join(often, "inner").where("open or mixed"))
+    mixed = shared.where("mixed")
+    groups = checkpoint(mixed.groupBy("inner", "outer").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "span")).alias("one"), F.max("open").alias("open")))
     equal = groups.where("n > 1").select("inner", "outer")
-    settled = checkpoint(shared.where("open").join(equal, ["inner", "outer"]).select("k1", "k2", "span").distinct())
-    return settled, groups.where("mixed").select("one.k1", "one.k2", "one.span", (F.col("open") & (F.col("n") == 1)).alias("open"))
+    spans = ["k1", "k2", "span"]
+    settled = shared.where("open and not mixed").select(spans).unionByName(mixed.where("open").join(equal, ["inner", "outer"]).select(spans))
+    return checkpoint(settled.distinct()), groups.select("one.k1", "one.k2", "one.span", (F.col("open") & (F.col("n") == 1)).alias("open"))
 
 
 def _parts(rows: DataFrame) -> DataFrame:
@@ -197,7 +204,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, block: int = BLOCK) -> tuple
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.int64()))], ["k1", "k2", "runs"])
 
     listed = every.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
-    return checkpoint(listed.mapInArrow(merge, "k1 long, k2 long, runs array<long>")), texts.drop("parts")
+    return listed.mapInArrow(merge, "k1 long, k2 long, runs array<long>"), texts.drop("parts")
 
 
 def merged_runs(spans: np.ndarray, length: int) -> np.ndarray:
