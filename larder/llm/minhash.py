@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -126,41 +126,53 @@ def band_keys(least: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _identities(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two 64-bit sums for each set, that together stand for it."""
+    one = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
+    two = [int(mix64(s + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+    return [pa.array(one, pa.int64()), pa.array(two, pa.int64())]
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    lengths = np.concatenate([[0], np.cumsum([len(k) for k in arrays])]).astype(np.int32)
+    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat, pa.int64()))
+
+
+def _text_keys(text: Column) -> list[Column]:
+    """A text's identity in 128 bits."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")]
+
+
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, fp1, fp2, bands): set size, a 128-bit identity of the set, and its band keys (none for an empty set)."""
+    """(doc_id, k1, k2, n, fp1, fp2, bands): the text's identity, size of its set, the set's identity, and its band keys (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 1):
-            sets = shingle_hashes(*text_bytes(batch.column(1)), words)
-            size = [len(s) for s in sets]
-            one = [int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets]
-            two = [int(mix64(s + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+        for batch in small_batches(batches, 3):
+            sets = shingle_hashes(*text_bytes(batch.column(3)), words)
             keys = [band_keys(signature(s, bands * rows), rows) if len(s) else np.zeros(0, np.int64) for s in sets]
-            lengths = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists], ["doc_id", "n", "fp1", "fp2", "bands"])
+            arrays = [*batch.columns[:3], pa.array([len(s) for s in sets], pa.int64()), *_identities(sets), _lists(keys)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "k1", "k2", "n", "fp1", "fp2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, bands array<long>")
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", *_text_keys(F.col("text")), "text")
+    return kept.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, fp1 long, fp2 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """(doc_id, items): each document's sorted distinct shingle hashes."""
+    """(doc_id, fp1, fp2, items): each text's sorted distinct shingle hashes, with the identity of that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1):
             sets = shingle_hashes(*text_bytes(batch.column(1)), words)
-            lengths = np.concatenate([[0], np.cumsum([len(k) for k in sets])]).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat, pa.int64()))], ["doc_id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_identities(sets), _lists(sets)], ["doc_id", "fp1", "fp2", "items"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, items array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp1 long, fp2 long, items array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (u, v) whose sets, counted in full, have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("doc_id").alias("u"), F.col("items").alias("a"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("items").alias("b"))
+    left = sets.select(F.col("rid").alias("u"), F.col("items").alias("a"))
+    right = sets.select(F.col("rid").alias("v"), F.col("items").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     return pairs.join(left, "u").join(right, "v").where(100 * both >= percent * (F.size("a") + F.size("b") - both)).select("u", "v")
 
@@ -171,71 +183,91 @@ def _may_link(percent: int):
 
 
 def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of members (doc_id, n, component) in different components that share one of their rarest shingles."""
-    items = checkpoint(members.join(sets, "doc_id").select("doc_id", "n", "component", F.explode("items").alias("item")))
+    """Pairs (u, v) of members (rid, n, component) in different components that share one of their rarest shingles."""
+    items = checkpoint(members.join(sets, "rid").select("rid", "n", "component", F.explode("items").alias("item")))
     often = items.groupBy("item").agg(F.count("*").alias("often")).where("often > 1")
     n_rare = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     # shingles of one member alone come first in the order but can't be shared
-    alone = F.col("n") - F.count("*").over(Window.partitionBy("doc_id"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("often", "item"))
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("rid"))
+    rank = F.row_number().over(Window.partitionBy("rid").orderBy("often", "item"))
     rare = items.join(often, "item").withColumn("rank", rank + alone).where(F.col("rank") <= n_rare)
     mixed = rare.groupBy("item").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("item")
-    rare = checkpoint(rare.join(mixed, "item", "left_semi").select("item", "doc_id", "n", "component", "rank"))
-    u = rare.select("item", F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), (F.col("n") - F.col("rank")).alias("ru"))
-    v = rare.select("item", F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), (F.col("n") - F.col("rank")).alias("rv"))
+    rare = checkpoint(rare.join(mixed, "item", "left_semi").select("item", "rid", "n", "component", "rank"))
+    u = rare.select("item", F.col("rid").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"), (F.col("n") - F.col("rank")).alias("ru"))
+    v = rare.select("item", F.col("rid").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"), (F.col("n") - F.col("rank")).alias("rv"))
     # at the first item that two sets share, in the common order, only what follows in both can still be shared
     enough = (100 + percent) * (1 + F.least("ru", "rv")) >= percent * (F.col("nu") + F.col("nv"))
     return u.join(v, "item").where("u < v and cu <> cv").where(_may_link(percent)).where(enough).select("u", "v").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, words: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+def _classes(docs: DataFrame, percent: int, words: int, bands: int, rows: int, small_bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, links): rows (doc_id, k1, k2, n, fp1, fp2), a class (n, fp1, fp2, rid, least doc_id) for each different set, and links (u, v) between rids.
 
-    Documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of word shingles.
-    ``component_id`` is the smallest doc_id reachable over links, ``kept`` marks that document.
-    Null, empty and blank texts have the empty set and link with nothing. Repeated rows come back
-    as often as they are there; rows that share a doc_id count as one vertex. An empty table gives an
-    empty result. Other columns of ``docs`` are not read.
+    An id may have several texts, so sets and not ids are compared; a row number ``rid`` stands for a class.
     """
-    signed = checkpoint(signatures(docs, bands, rows, words))
-    classes = signed.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"))
-    with_rep = signed.drop("bands").join(classes, ["n", "fp1", "fp2"], "left")
-    copies = with_rep.where("rep <> doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    reps = signed.join(classes.select("n", "fp1", "fp2", F.col("rep").alias("doc_id")), ["n", "fp1", "fp2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "fp1"])
-    keyed = reps.select("doc_id", "n", F.explode("bands").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("head"), F.count("*").alias("members")).where("members > 1")
-    shared = checkpoint(keyed.join(heads, "key").select("key", "doc_id", "n", F.col("head.doc_id").alias("u"), F.col("head.n").alias("nu"), "members"))
-    sets = checkpoint(shingle_sets(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]))
-
-    first = shared.withColumn("nv", F.col("n")).where("u <> doc_id").where(_may_link(percent)).select("u", F.col("doc_id").alias("v")).distinct()
+    signed = checkpoint(signatures(docs, bands, rows, words).withColumn("rid", F.monotonically_increasing_id()))
+    classes = signed.where("n > 0 and doc_id is not null").groupBy("n", "fp1", "fp2").agg(F.min(F.struct("doc_id", "rid")).alias("rep"))
+    classes = checkpoint(classes.select("n", "fp1", "fp2", "rep.rid", F.col("rep.doc_id").alias("least")))
+    keyed = signed.join(classes.select("rid"), "rid", "left_semi").select("rid", "n", F.explode("bands").alias("key"))
+    heads = keyed.groupBy("key").agg(F.min(F.struct("rid", "n")).alias("head"), F.count("*").alias("members")).where("members > 1")
+    shared = checkpoint(keyed.join(heads, "key").select("key", "rid", "n", F.col("head.rid").alias("u"), F.col("head.n").alias("nu"), "members"))
+    wanted = classes.join(shared.select("rid").distinct(), "rid", "left_semi").select("rid", F.col("least").alias("doc_id"), "fp1", "fp2")
+    own = shingle_sets(docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), words)
+    sets = checkpoint(own.join(wanted, ["doc_id", "fp1", "fp2"]).select("rid", "items").dropDuplicates(["rid"]))
+
+    first = shared.withColumn("nv", F.col("n")).where("u <> rid").where(_may_link(percent)).select("u", F.col("rid").alias("v")).distinct()
     links = checkpoint(_verified(first, sets, percent))
     part = connected_components(links)
-    placed = checkpoint(shared.join(part, shared["doc_id"] == part["id"], "left").select("key", "doc_id", "n", "members", F.coalesce("component", "doc_id").alias("component")))
+    placed = checkpoint(shared.join(part, shared["rid"] == part["id"], "left").select("key", "rid", "n", "members", F.coalesce("component", "rid").alias("component")))
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_ = placed.join(split, "key", "left_semi")
     small = open_.where(F.col("members") <= small_bucket)
-    u = small.select("key", F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
-    v = small.select("key", F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
+    u = small.select("key", F.col("rid").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
+    v = small.select("key", F.col("rid").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
     second = u.join(v, "key").where("u < v and cu <> cv").where(_may_link(percent)).select("u", "v")
-    large = checkpoint(open_.where(F.col("members") > small_bucket).select("doc_id", "n", "component").distinct())
+    large = checkpoint(open_.where(F.col("members") > small_bucket).select("rid", "n", "component").distinct())
     if large.first() is not None:
         second = second.unionByName(_prefix_pairs(large, sets, percent))
     more = _verified(second.distinct(), sets, percent)
-    whole = connected_components(links.unionByName(more).unionByName(copies))
+    return signed.drop("bands", "rid"), classes, links.unionByName(more)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, words: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    Documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of word shingles.
+    ``component_id`` is the smallest doc_id reachable over links, ``kept`` marks that document.
+    Null, empty and blank texts have the empty set and link with nothing. Repeated rows come back
+    as often as they are there; rows that share a doc_id are one vertex with the links of all their texts.
+    Rows without a doc_id link with nothing and are kept. An empty table gives an empty result. Other
+    columns of ``docs`` are not read.
+    """
+    signed, classes, links = _classes(docs, percent, words, bands, rows, small_bucket)
+    id_of = classes.select("rid", "least")
+    between = links.join(id_of.toDF("u", "a"), "u").join(id_of.toDF("v", "b"), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    copies = signed.join(classes, ["n", "fp1", "fp2"]).where("least <> doc_id").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    whole = connected_components(between.unionByName(copies))
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(whole, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
 
-def keep_one(docs: DataFrame, percent: int = 80, **options) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the smallest doc_id stays.
+def keep_one(docs: DataFrame, percent: int = 80, words: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group of linked texts those of the smallest doc_id stay.
 
-    Rows that share a doc_id stay or go together. Rows with a null doc_id can't be linked and stay.
-    Columns are those of ``docs``.
+    Texts are judged and not ids: where an id has several texts, each stays or goes with its own group.
+    Equal rows stay or go together. Rows with a null doc_id can't be linked and stay. Columns are those of ``docs``.
     """
-    (gone,) = free_names(docs, "_gone")
-    copies = near_duplicates(docs.where("doc_id is not null"), percent, **options).where("not kept").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(copies, F.col("doc_id") == F.col(gone), "left_anti")
+    signed, classes, links = _classes(docs.where("doc_id is not null"), percent, words, bands, rows, small_bucket)
+    part = connected_components(links)
+    grouped = classes.join(part, F.col("rid") == F.col("id"), "left").select("n", "fp1", "fp2", "least", F.coalesce("component", "rid").alias("component"))
+    least = grouped.groupBy("component").agg(F.min("least").alias("stays"))
+    grouped = grouped.join(least, "component").select("n", "fp1", "fp2", "stays")
+    gone, k1, k2 = free_names(docs, "_gone", "_k1", "_k2")
+    copies = signed.join(grouped, ["n", "fp1", "fp2"]).where("doc_id <> stays").select(F.col("doc_id").alias(gone), F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct()
+    one, two = _text_keys(text_or_empty())
+    marked = F.col("doc_id").cast("long").eqNullSafe(F.col(gone)) & (one == F.col(k1)) & (two == F.col(k2))
+    return docs.join(copies, marked, "left_anti")
 
 
 def oracle(percent: int) -> str:

@@ -78,6 +78,22 @@ def test_odd_cases(spark):
     assert minhash.near_duplicates(df.where("false"), 85).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    """An id is one vertex with the links of all its texts, in whatever order they come; texts that are nobody's copy stay."""
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join(reversed(words))
+    near_a, near_b = a.replace("w59", "other"), b.replace("w0", "other")
+    given = [(1, near_a), (3, a), (3, b), (4, near_b), (9, "quite another text of a few words only")]
+    for order in (given, given[::-1], [given[i] for i in (2, 0, 4, 1, 3)]):
+        rows = [(i, t, "en", "s", 1, 1, "k", 1) for i, t in order]
+        got = minhash.near_duplicates(docs(spark, rows), 80).collect()
+        assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (3, 1, False), (3, 1, False), (4, 1, False), (9, 9, True)]
+        kept = minhash.keep_one(docs(spark, rows), 80).collect()
+        assert sorted((r.doc_id, r.text) for r in kept) == [(1, near_a), (3, b), (9, given[4][1])]
+    rows = [(i, t, "en", "s", 1, 1, "k", 1) for i, t in [(1, a), (3, a), (3, b), (3, a), (None, a)]]
+    assert sorted(((r.doc_id is not None, r.doc_id or 0), r.text) for r in minhash.keep_one(docs(spark, rows), 80).collect()) == [((False, 0), a), ((True, 1), a), ((True, 3), b)]
+
+
 def test_shingle_hashes_tell_texts_apart():
     import pyarrow as pa
 
