@@ -23,18 +23,24 @@ ship(__name__)
 
 #: Exact phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: Notices, labels and most edits for the fuzzy search.
+#: Notices, labels and most edits for the fuzzy search. Words in braces tell licenses apart: there an edit is no typo.
 NOTICES = (
-    ("under the mit license", "mit", 2),
-    ("apache license version 2", "apache-2", 3),
-    ("cc by nc", "cc-by-nc", 1),
-    ("creative commons attribution noncommercial", "cc-by-nc", 4),
-    ("creative commons attribution sharealike", "cc-by-sa", 4),
-    ("gnu general public license", "gpl", 3),
-    ("gnu lesser general public license", "lgpl", 3),
-    ("bsd 3 clause license", "bsd-3", 2),
+    ("under the {mit} license", "mit", 2),
+    ("apache license version {1}", "apache-1", 3),
+    ("apache license version {2}", "apache-2", 3),
+    ("cc by {nc}", "cc-by-nc", 1),
+    ("creative commons attribution {noncommercial}", "cc-by-nc", 3),
+    ("creative commons attribution {noderivatives}", "cc-by-nd", 3),
+    ("creative commons attribution {noderivs}", "cc-by-nd", 3),
+    ("creative commons attribution {sharealike}", "cc-by-sa", 3),
+    ("{gnu} general public license", "gpl", 3),
+    ("{gnu lesser} general public license", "lgpl", 3),
+    ("{gnu affero} general public license", "agpl", 3),
+    ("{bsd 2} clause license", "bsd-2", 2),
+    ("{bsd 3} clause license", "bsd-3", 2),
+    ("{bsd 4} clause license", "bsd-4", 2),
     ("mozilla public license", "mpl", 2),
-    ("all rights reserved", "proprietary", 2),
+    ("{all} rights reserved", "proprietary", 2),
 )
 _WORDS = np.full(256, 32, np.uint8)
 _WORDS[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
@@ -54,14 +60,35 @@ def pieces(notice: str, edits: int) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def expression(notice: str, edits: int) -> str:
+    """A regular expression for whole words of a notice with at most so many edits, none of them in braces."""
+    parts = re.split(r"( ?\{.*?\} ?)", notice)  # the spaces beside a telling word belong to it
+    parts = [part.replace("{", "").replace("}", "") for part in parts]
+    free = [k for k, part in enumerate(parts) if k % 2 == 0 and part.strip()]
+
+    def shared_out(left: int, n: int) -> Iterator[tuple[int, ...]]:
+        if n == 1:
+            yield (left,)
+            return
+        for own in range(left, -1, -1):
+            yield from ((own, *rest) for rest in shared_out(left - own, n - 1))
+
+    ways = []
+    for shares in shared_out(edits, len(free)):
+        allowed = dict(zip(free, shares, strict=True))
+        said = [regex.escape(part, special_only=True) for part in parts]
+        ways.append("".join(f"(?:{x}){{e<={allowed[k]}}}" if allowed.get(k) else x for k, x in enumerate(said)))
+    return rf"(?e)(?:^|(?<= ))(?:{'|'.join(ways)})(?= |$)"
+
+
 class Search:
     def __init__(self, phrases=PHRASES, notices=NOTICES):
         self.phrases = [(f" {p} ".encode(), label) for p, label in phrases]
         self.notices = []
         for notice, label, edits in notices:
-            pattern = regex.compile(rf"(?e)(?:^|(?<= ))(?:{regex.escape(notice, special_only=True)}){{e<={edits}}}(?= |$)")
-            cut = pieces(notice, edits)
-            self.notices.append((label, edits, len(notice), cut, [p.encode() for _, p in cut], pattern))
+            plain = notice.replace("{", "").replace("}", "")
+            cut = pieces(plain, edits)
+            self.notices.append((label, edits, len(plain), cut, [p.encode() for _, p in cut], regex.compile(expression(notice, edits))))
 
     def exact(self, flat: bytes) -> tuple[list[int], set[str]]:
         """Word numbers at which phrases start, and their labels; ``flat`` has single spaces and one at either end."""
