@@ -6,6 +6,8 @@ classified by expressions and a recipe is put together by aggregates on its id.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,12 +29,34 @@ READ_BY, LAYER = "imported_via", "json-ld"
 PREVIEW_LINE = ("position", "is_heading", "qty", "quantity", "unit", "label", "raw_text", "grams", "secondary_measure")
 
 
-def read(source: DataFrame) -> DataFrame:
-    """(id, url, refusal, context, name, ...) of pages (id, url, text); pages without a block of data never leave the JVM."""
-    has = F.coalesce(F.col("text").rlike(r"(?i)application/ld\+json"), F.lit(False))
-    found = source.where(has).select("id", "url", pages.page_record("text").alias("r")).select("id", "url", "r.*")
-    none = [F.lit("NO_STRUCTURED_DATA").alias("refusal")] + [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in found.columns[3:]]
-    return found.unionByName(source.where(~has).select("id", "url", *none))
+def json_ld(page: Column) -> Column:
+    """The reader of JSON-LD blocks; pages without one never leave the JVM."""
+    return pages.page_record(F.when(page.rlike(r"(?i)application/ld\+json"), page))
+
+
+#: Readers in the order of their authority: a page's text to a record, or to a refusal with its context.
+LAYERS: tuple[tuple[str, Callable[[Column], Column]], ...] = ((LAYER, json_ld),)
+
+
+def read(source: DataFrame, layers: Sequence[tuple[str, Callable[[Column], Column]]] = LAYERS) -> DataFrame:
+    """(id, url, refusal, context, name, ..., layer, refusals) of pages (id, url, text), in one scan.
+
+    Each reader sees the pages that all before it refused, and a null for the others; the first that reads
+    one is its ``layer``. ``refusals`` holds (layer, code, context) of those before it. A page that every
+    reader refused has the first one's code as its ``refusal``. A null text is a page without content.
+    """
+    fields = [f.name for f in pages.SCHEMA.fields]
+    none = F.array().cast("array<struct<layer:string,code:string,context:array<string>>>")
+    rows = source.select("id", "url", "text", F.lit(None).cast(pages.SCHEMA).alias("_r"), F.lit(None).cast("string").alias("layer"), none.alias("refusals"))
+    for name, reader in layers:
+        rows = rows.withColumn("_x", reader(F.when(F.col("layer").isNull(), F.coalesce("text", F.lit("")))))
+        refused = F.struct(F.lit(name).alias("layer"), F.col("_x.refusal").alias("code"), F.col("_x.context").alias("context"))
+        open_ = F.col("layer").isNull()
+        good = open_ & F.col("_x.refusal").isNull()
+        rows = rows.select("id", "url", "text", F.when(good, F.col("_x")).otherwise(F.col("_r")).alias("_r"), F.when(good, F.lit(name)).otherwise(F.col("layer")).alias("layer"), F.when(open_ & ~good, F.concat("refusals", F.array(refused))).otherwise(F.col("refusals")).alias("refusals"))
+    first = lambda c: F.when(F.col("layer").isNull(), F.get("refusals", F.lit(0))[c])
+    told = {"refusal": first("code"), "context": first("context")}
+    return rows.select("id", "url", *(told.get(c, F.col(f"_r.{c}")).alias(c) for c in fields), "layer", "refusals")
 
 
 def classified(records: DataFrame) -> DataFrame:
@@ -70,7 +94,7 @@ def _reason(flag: Column, suggestion: Column) -> Column:
 def flag_rows(read_lines: DataFrame, records: DataFrame) -> DataFrame:
     """One row for each flag of a line, and one for each record that says how it was read."""
     own = read_lines.select("id", "position", F.explode("l.flags").alias("flag"), F.col("l.suggestion").alias("s")).select("id", "position", "flag", _reason(F.col("flag"), F.col("s")).alias("reason"))
-    how = records.where("refusal IS NULL").select("id", F.lit(None).cast("int").alias("position"), F.lit(READ_BY).alias("flag"), F.lit(LAYER).alias("reason"))
+    how = records.where("refusal IS NULL").select("id", F.lit(None).cast("int").alias("position"), F.lit(READ_BY).alias("flag"), F.col("layer").alias("reason"))
     return own.unionByName(how)
 
 

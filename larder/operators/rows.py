@@ -31,6 +31,11 @@ def newest(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataF
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
+def by_name(df: DataFrame, name: str, *ties: str, collation: str = "UTF8_BINARY") -> DataFrame:
+    """``df`` in the order of a name: binary as it is, ``UTF8_LCASE`` without regard to case, ``UNICODE`` as people sort."""
+    return df.orderBy(F.collate(F.col(name), collation), *ties)
+
+
 def symmetric(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Both directions of each undirected edge as (a, b), once."""
     rest = [c for c in edges.columns if c not in (a, b)]

@@ -46,6 +46,19 @@ def numbered(rows: DataFrame, keys: list[str], order: str, width: int = 10_000)
     return placed.join(counts, [*keys, "_range"]).withColumn("nth", F.col("_before") + F.col("_k")).drop("_range", "_before", "_k")
 
 
+def placed(rows: DataFrame, keys: list[str], names: list[str], last: str) -> DataFrame:
+    """``rows`` with ``place``, from 1 on, within ``keys`` by ``names`` and then by ``last`` (a long); none of them null.
+
+    Rows of equal names are numbered by ranges and start from the counts of those before, so one task sees
+    a key's different names with their counts and not its rows.
+    """
+    counts = rows.groupBy(*keys, *names).agg(F.count("*").alias("_c"))
+    ahead = F.sum("_c").over(Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*keys, *names, F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    inside = numbered(rows, [*keys, *names], last)
+    return inside.join(counts, [*keys, *names]).withColumn("place", F.col("_ahead") + F.col("nth")).drop("_ahead", "nth")
+
+
 def mint(batch: DataFrame, taken: DataFrame) -> DataFrame:
     """(entry, slug) for rows (entry long, base string), given the taken slugs (slug string).
 

@@ -1,23 +1,28 @@
 """Change tracking: canonical snapshots, content-matched differences, moves, heading layout.
 
-Snapshots are compared with rows, not documents: fields by an unpivot, linked lines by a join on
-their occurrence, moves by windows. Only the alignment of two sequences of texts has no expression; it
-runs for each recipe and kind on the keys alone, after equal snapshots are gone, many of them in one
-sorted stream.
+Both snapshots of a recipe stand in one row, so differences are found where the row is: the lines of
+either side are arrays, built by expressions, and nothing is shuffled. Only the alignment of two
+sequences of texts has no expression. A small kernel does it on the keys and answers with places in the
+arrays; it compares texts only inside stretches that were replaced, and only those that the counts of
+their signs allow to be alike.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import ArrayType, IntegerType
 
 from larder.functions.shipping import ship
 from larder.functions.amounts import canonical_units
+from larder.functions.text import let
 
 ship(__name__)
 
@@ -36,67 +41,156 @@ def snapshot(recipe: Column, ingredients: Column, steps: Column) -> Column:
     return F.to_json(whole, {"ignoreNullFields": "false"})
 
 
-def _rows(pairs: DataFrame, side: str) -> DataFrame:
-    """Lines and steps of one side: recipe_id, kind, pos without headings, section, key, name, qty, note, item."""
-    parsed = pairs.select("recipe_id", F.from_json(side, SNAPSHOT).alias("s"))
+#: Parts of a snapshot in the order of their entries.
+INGREDIENT, INGREDIENT_HEADING, STEP, STEP_HEADING = range(4)
+
+
+def _rows(parsed: Column) -> Column:
+    """The lines and steps of a parsed snapshot: (part, raw, key, move, name, qty, note, item, text).
+
+    ``key`` is what rows are matched on, ``move`` what a moved row keeps, ``text`` how a row alone is shown.
+    """
     none = F.lit(None).cast("string")
-    line = F.col("r.label")
-    name = F.coalesce(F.nullif(line, F.lit("")), F.nullif(F.col("r.raw_text"), F.lit("")), F.lit(""))
-    lines = parsed.select("recipe_id", F.posexplode("s.ingredients").alias("at", "r")).select(
-        "recipe_id", "at", F.lit("ingredient").alias("kind"), F.coalesce("r.is_heading", F.lit(0)).alias("h"), F.coalesce("r.raw_text", F.lit("")).alias("raw"),
-        F.trim(F.concat_ws(" ", canonical_units(F.col("r.qty")), name)).alias("key"), name.alias("name"), F.col("r.qty").alias("qty"), F.col("r.note").alias("note"), F.nullif(F.col("r.ingredient_id"), F.lit("")).alias("item"),
-    )
-    text = F.coalesce("r.text", F.lit(""))
-    steps = parsed.select("recipe_id", F.posexplode("s.steps").alias("at", "r")).select("recipe_id", "at", F.lit("step").alias("kind"), F.coalesce("r.is_heading", F.lit(0)).alias("h"), text.alias("raw"), text.alias("key"), text.alias("name"), none.alias("qty"), none.alias("note"), none.alias("item"))
-    rows = lines.unionByName(steps)
-    order = Window.partitionBy("recipe_id", "kind").orderBy("at")
-    rows = rows.withColumns({
-        "section": F.last(F.when(F.col("h") == 1, F.col("raw")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
-        "pos": F.row_number().over(Window.partitionBy("recipe_id", "kind", "h").orderBy("at")) - 1,
-    })
-    heading = F.col("h") == 1
-    return rows.withColumns({"part": F.when(heading, F.concat("kind", F.lit(" heading"))).otherwise(F.col("kind")), "key": F.when(heading, F.col("raw")).otherwise(F.col("key")), "name": F.when(heading, F.col("raw")).otherwise(F.col("name"))}).drop("raw", "at", "h", "kind")
+    heading = lambda r: F.coalesce(r["is_heading"], F.lit(0)) == 1
+
+    def row(part: Column, raw: Column, key: Column, move: Column, name: Column, qty: Column, note: Column, item: Column, text: Column) -> Column:
+        return F.struct(*(c.alias(n) for c, n in zip((part, raw, key, move, name, qty, note, item, text), ("part", "raw", "key", "move", "name", "qty", "note", "item", "text"), strict=True)))
+
+    def line(r: Column) -> Column:
+        raw = F.coalesce(r["raw_text"], F.lit(""))
+        name = F.when(heading(r), raw).otherwise(F.coalesce(F.nullif(r["label"], F.lit("")), raw))
+        text = F.trim(F.concat_ws(" ", F.coalesce(r["qty"], F.lit("")), name))
+        return let(
+            F.struct(raw.alias("raw"), name.alias("name"), text.alias("text"), heading(r).alias("h")),
+            lambda x: row(
+                F.when(x["h"], INGREDIENT_HEADING).otherwise(INGREDIENT), x["raw"], F.when(x["h"], x["raw"]).otherwise(F.trim(F.concat_ws(" ", canonical_units(r["qty"]), x["name"]))),
+                F.when(x["h"], x["text"]).otherwise(canonical_units(x["text"])), x["name"], r["qty"], r["note"], F.nullif(r["ingredient_id"], F.lit("")), x["text"],
+            ),
+        )
+
+    def step(r: Column) -> Column:
+        return let(F.coalesce(r["text"], F.lit("")), lambda t: row(F.when(heading(r), STEP_HEADING).otherwise(STEP), t, t, F.trim(t), t, none, none, none, F.trim(t)))
+
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    lines, steps = empty(parsed["ingredients"], f"array<{_LINE}>"), empty(parsed["steps"], "array<struct<is_heading:int,position:int,text:string>>")
+    return F.concat(F.transform(lines, line), F.transform(steps, step))
+
+
+def _free_end(a: list[str], b: list[str]) -> int:
+    """How many first texts both sides share, if none of them stands anywhere else; else 0.
+
+    An alignment by longest blocks always keeps such a beginning whole, so it may be left out of it.
+    """
+    n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    own = set(a[:n])
+    return n if own.isdisjoint(a[n:]) and own.isdisjoint(b[n:]) else 0
+
+
+def _signs(texts: list[str]) -> np.ndarray:
+    """How often each of 64 classes of signs stands in each text."""
+    out = np.zeros((len(texts), 64), np.int32)
+    for i, t in enumerate(texts):
+        codes = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        out[i] = np.bincount(codes & 63, minlength=64)
+    return out
+
+
+def _paired(old: list[str], new: list[str]) -> Iterator[tuple[int | None, int | None]]:
+    """Each old text with the likest new one that is still free and alike enough, in order; then the new ones left over."""
+    free = np.ones(len(new), bool)
+    signs, sizes = _signs(new), np.array([len(t) for t in new], np.int64)
+    matchers: dict[int, SequenceMatcher] = {}
+    for k, (text, own) in enumerate(zip(old, _signs(old), strict=True)):
+        # no more signs can match than both texts have
+        most = 2.0 * np.minimum(own, signs).sum(1) / np.maximum(sizes + len(text), 1)
+        most[sizes + len(text) == 0] = 1.0
+        best, at = 0.0, None
+        for m in np.flatnonzero(free & (most >= LIKE)).tolist():
+            if most[m] > best:
+                matcher = matchers.get(m) or matchers.setdefault(m, SequenceMatcher(None, "", new[m]))
+                matcher.set_seq1(text)
+                ratio = matcher.ratio()
+                if ratio > best:
+                    best, at = ratio, m
+        if at is not None and best >= LIKE:
+            free[at] = False
+            yield k, at
+        else:
+            yield k, None
+    yield from ((None, m) for m in np.flatnonzero(free).tolist())
 
 
 def _align(a: list[str], b: list[str]) -> Iterator[tuple[int | None, int | None]]:
     """Places (in a, in b) of what isn't equal: changed pairs, and entries of one side alone."""
-    for tag, i, i_end, j, j_end in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if tag == "equal":
-            continue
-        free = list(range(j, j_end))
-        for k in range(i, i_end):
-            like = [(SequenceMatcher(None, a[k], b[m]).ratio(), -m) for m in free]
-            best = max(like, default=(0.0, 0))
-            if best[0] >= LIKE:
-                free.remove(-best[1])
-                yield k, -best[1]
-            else:
-                yield k, None
-        yield from ((None, m) for m in free)
-
-
-def _aligned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(recipe_id, part, old_pos, new_pos) of rows sorted by recipe, part, side and place; many groups come in one frame."""
-    columns = ["recipe_id", "part", "old_pos", "new_pos"]
-
-    def differences(key: tuple, group: dict[str, list[tuple]]) -> Iterator[tuple]:
-        old, new = group.get("old", []), group.get("new", [])
-        for i, j in _align([k for _, k in old], [k for _, k in new]):
-            yield (*key, None if i is None else old[i][0], None if j is None else new[j][0])
-
-    at: tuple | None = None
-    group: dict[str, list[tuple]] = {}
-    for frame in frames:
-        out: list[tuple] = []
-        for recipe, part, side, pos, key in zip(*(frame[c] for c in ("recipe_id", "part", "side", "pos", "key")), strict=True):
-            if (recipe, part) != at:
-                if at is not None:
-                    out += differences(at, group)
-                at, group = (recipe, part), {}
-            group.setdefault(side, []).append((pos, key))
-        yield pd.DataFrame(out, columns=columns).astype({"old_pos": "Int64", "new_pos": "Int64"})
-    if at is not None:
-        yield pd.DataFrame(list(differences(at, group)), columns=columns).astype({"old_pos": "Int64", "new_pos": "Int64"})
+    head = _free_end(a, b)
+    tail = _free_end(a[head:][::-1], b[head:][::-1])
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    if a and b:
+        blocks = [x[1:] for x in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if x[0] != "equal"]
+    else:
+        blocks = [(0, len(a), 0, len(b))]
+    for i, i_end, j, j_end in blocks:
+        for k, m in _paired(a[i:i_end], b[j:j_end]):
+            yield None if k is None else head + i + k, None if m is None else head + j + m
+
+
+def differences(old: dict[str, list], new: dict[str, list]) -> list[list[int]]:
+    """(part, old place, new place, old number, new number, heading's old place) of each difference; -1 for none.
+
+    Both sides have equally long lists of parts, keys, items and moves. Numbers count rows of one part.
+    Linked lines meet by their item's occurrence, the others by alignment. A removed and an added row of
+    one kind that a move would explain go, one to one.
+    """
+    entries: list[list[int]] = []
+    sections, section, kind = [], -1, None
+    for i, part in enumerate(old["part"]):
+        kind, section = part // 2, -1 if part // 2 != kind else section
+        sections.append(section)
+        section = i if part % 2 else section
+    for part in (INGREDIENT, INGREDIENT_HEADING, STEP, STEP_HEADING):
+        a, b = ([i for i, p in enumerate(side["part"]) if p == part] for side in (old, new))
+        number_a, number_b = ({i: n for n, i in enumerate(x)} for x in (a, b))
+        if part == INGREDIENT:
+            places: dict[tuple, int] = {}
+            count: Counter = Counter()
+            for j in b:
+                if new["item"][j] is not None:
+                    places[new["item"][j], count[new["item"][j]]] = j
+                    count[new["item"][j]] += 1
+            count.clear()
+            linked = []
+            for i in a:
+                if old["item"][i] is not None:
+                    j = places.get((old["item"][i], count[old["item"][i]]))
+                    count[old["item"][i]] += 1
+                    if j is not None:
+                        linked.append((i, j))
+            entries += [[part, i, j, number_a[i], number_b[j], -1] for i, j in linked]
+            a, b = [i for i in a if i not in {x for x, _ in linked}], [j for j in b if j not in {x for _, x in linked}]
+        for k, m in _align([old["key"][i] for i in a], [new["key"][j] for j in b]):
+            i, j = -1 if k is None else a[k], -1 if m is None else b[m]
+            entries.append([part, i, j, number_a.get(i, -1), number_b.get(j, -1), sections[i] if j < 0 and not part % 2 else -1])
+    kinds = (0, 2, 1, 2)
+    gone = Counter((kinds[e[0]], old["move"][e[1]]) for e in entries if e[2] < 0)
+    come = Counter((kinds[e[0]], new["move"][e[2]]) for e in entries if e[1] < 0)
+    moved = gone & come
+    left = [moved.copy(), moved.copy()]
+    out = []
+    for e in entries:
+        if min(e[1], e[2]) < 0:
+            own, key = (left[0], (kinds[e[0]], old["move"][e[1]])) if e[2] < 0 else (left[1], (kinds[e[0]], new["move"][e[2]]))
+            if own[key] > 0:
+                own[key] -= 1
+                continue
+        out.append(e)
+    return out
+
+
+@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+def _differences(old_part: pd.Series, old_key: pd.Series, old_item: pd.Series, old_move: pd.Series, new_part: pd.Series, new_key: pd.Series, new_item: pd.Series, new_move: pd.Series) -> pd.Series:
+    names = ("part", "key", "item", "move")
+    sides = zip(zip(old_part, old_key, old_item, old_move, strict=True), zip(new_part, new_key, new_item, new_move, strict=True), strict=True)
+    return pd.Series([differences(*({n: list(c) for n, c in zip(names, side, strict=True)} for side in both)) for both in sides], dtype=object)
 
 
 def field_changes(pairs: DataFrame) -> DataFrame:
@@ -110,52 +204,35 @@ def changes(pairs: DataFrame) -> DataFrame:
     """Differences of (recipe_id, old, new) snapshots: recipe_id, kind, type, field, label, from, to, text, new_pos, old_pos, section.
 
     Positions leave headings out. A pure move is no change: a removed and an added row of one kind and
-    text pair off one to one. Equal snapshots, and null ones, give no rows.
+    text pair off one to one. Equal snapshots, and null ones, give no rows. Nothing is shuffled.
     """
     pairs = pairs.where("old IS NOT NULL AND new IS NOT NULL AND old <> new")
-    old, new = _rows(pairs, "old"), _rows(pairs, "new")
-    nth = F.row_number().over(Window.partitionBy("recipe_id", "part", "item").orderBy("pos"))
-    linked_old = old.where("item IS NOT NULL AND part = 'ingredient'").withColumn("nth", nth)
-    linked_new = new.where("item IS NOT NULL AND part = 'ingredient'").withColumn("nth", nth)
-    on = ["recipe_id", "part", "item", "nth"]
-    linked = linked_old.select(*on, F.col("pos").alias("old_pos")).join(linked_new.select(*on, F.col("pos").alias("new_pos")), on).select("recipe_id", "part", "old_pos", "new_pos")
-    rest = lambda df, side, pos: df.join(linked.select("recipe_id", "part", F.col(pos).alias("pos")), ["recipe_id", "part", "pos"], "left_anti").select("recipe_id", "part", F.lit(side).alias("side"), "pos", "key")
-    loose = rest(old, "old", "old_pos").unionByName(rest(new, "new", "new_pos"))
-    kind = pairs.schema["recipe_id"].dataType.simpleString()
-    dealt = loose.repartition("recipe_id", "part").sortWithinPartitions("recipe_id", "part", "side", "pos")
-    aligned = dealt.mapInPandas(_aligned, f"recipe_id {kind}, part string, old_pos long, new_pos long")
-    both = linked.unionByName(aligned.select("recipe_id", "part", F.col("old_pos").cast("int").alias("old_pos"), F.col("new_pos").cast("int").alias("new_pos")))
-    side = lambda df, s: df.select("recipe_id", "part", *(F.col(c).alias(f"{s}_{c}") for c in ("pos", "name", "qty", "note", "section")))
-    full = both.join(side(old, "old"), ["recipe_id", "part", "old_pos"], "left").join(side(new, "new"), ["recipe_id", "part", "new_pos"], "left")
-    kinds = F.when(F.col("part").endswith("heading"), "heading").otherwise(F.col("part"))
-    text = lambda s: F.trim(F.concat_ws(" ", F.coalesce(F.col(f"{s}_qty"), F.lit("")), F.col(f"{s}_name")))
-    paired = F.col("old_pos").isNotNull() & F.col("new_pos").isNotNull()
+    both = pairs.select("recipe_id", *(_rows(F.from_json(side, SNAPSHOT)).alias(side) for side in ("old", "new")))
+    # found once: not merged into what reads it
+    both = both.withColumn("found", _differences.asNondeterministic()(*(F.col(side)[n] for side in ("old", "new") for n in ("part", "key", "item", "move"))))
+    at = lambda side, i: F.get(F.col(side), F.get("e", F.lit(i)))
+    number = lambda i: F.nullif(F.get("e", F.lit(i)), F.lit(-1))
+    each = both.select("recipe_id", "old", "new", F.explode("found").alias("e"))
+    full = each.select("recipe_id", F.get("e", F.lit(0)).alias("part"), at("old", 1).alias("o"), at("new", 2).alias("n"), number(3).alias("old_pos"), number(4).alias("new_pos"), at("old", 5)["raw"].alias("section"))
+    kinds = F.when(F.col("part") == INGREDIENT, "ingredient").when(F.col("part") == STEP, "step").otherwise("heading")
     null = lambda c: F.coalesce(F.col(c), F.lit(""))
-    entry = lambda i, field, a, b: F.struct(F.lit(i).alias("i"), F.lit(field).cast("string").alias("field"), a.alias("from"), b.alias("to"))
-    line = F.col("part") == "ingredient"
+    none = F.lit(None).cast("string")
+    entry = lambda type_, field, label, a, b, text, section: F.struct(*(c.alias(n) for c, n in zip((F.lit(type_), F.lit(field).cast("string"), label, a, b, text, section), ("type", "field", "label", "from", "to", "text", "section"), strict=True)))
+    line = F.col("part") == INGREDIENT
+    label = F.when(line, F.coalesce(F.nullif("n.name", F.lit("")), "o.name"))
+    changed = lambda field, a, b: entry("modified", field, label, a, b, none, none)
+    alone = lambda type_, side, section: F.array(entry(type_, None, F.when(line, F.col(f"{side}.name")), none, none, F.col(f"{side}.text"), section))
     aspects = F.array_compact(F.array(
-        F.when(line & (canonical_units(F.col("old_qty")) != canonical_units(F.col("new_qty"))), entry(0, "amount", null("old_qty"), null("new_qty"))),
-        F.when(line & (F.col("old_name") != F.col("new_name")), entry(1, "name", F.col("old_name"), F.col("new_name"))),
-        F.when(line & (null("old_note") != null("new_note")), entry(2, "note", null("old_note"), null("new_note"))),
-        F.when(~line & (F.col("old_name") != F.col("new_name")), entry(0, None, F.col("old_name"), F.col("new_name"))),
+        F.when(line & (canonical_units(F.col("o.qty")) != canonical_units(F.col("n.qty"))), changed("amount", null("o.qty"), null("n.qty"))),
+        F.when(line & (F.col("o.name") != F.col("n.name")), changed("name", F.col("o.name"), F.col("n.name"))),
+        F.when(line & (null("o.note") != null("n.note")), changed("note", null("o.note"), null("n.note"))),
+        F.when(~line & (F.col("o.name") != F.col("n.name")), changed(None, F.col("o.name"), F.col("n.name"))),
     ))
-    label = F.when(line, F.coalesce(F.nullif("new_name", F.lit("")), "old_name"))
-    modified = full.where(paired).select("recipe_id", kinds.alias("kind"), F.lit("modified").alias("type"), label.alias("label"), F.explode(aspects).alias("a"), "new_pos", "old_pos")
-    modified = modified.select("recipe_id", "kind", "type", "a.field", "label", "a.from", "a.to", F.lit(None).cast("string").alias("text"), "new_pos", "old_pos", F.lit(None).cast("string").alias("section"))
-    alone = full.where(~paired).withColumn("gone", F.col("new_pos").isNull())
-    alone = alone.withColumn("text", F.when(F.col("gone"), text("old")).otherwise(text("new"))).withColumn("kind", kinds)
-    key = F.when(F.col("kind") == "ingredient", canonical_units(F.col("text"))).otherwise(F.col("text"))
-    alone = alone.withColumn("move", key)
-    n = Window.partitionBy("recipe_id", "kind", "move", "gone").orderBy("part", F.coalesce("old_pos", "new_pos"))
-    group = Window.partitionBy("recipe_id", "kind", "move")
-    moved = F.least(F.sum(F.col("gone").cast("int")).over(group), F.sum((~F.col("gone")).cast("int")).over(group))
-    alone = alone.withColumns({"n": F.row_number().over(n), "moved": moved}).where("n > moved")
-    name = F.when(F.col("kind") == "ingredient", F.when(F.col("gone"), F.col("old_name")).otherwise(F.col("new_name")))
-    section = F.when(F.col("gone") & (F.col("kind") != "heading"), F.col("old_section"))
-    single = alone.select("recipe_id", "kind", F.when(F.col("gone"), "removed").otherwise("added").alias("type"), F.lit(None).cast("string").alias("field"), name.alias("label"), F.lit(None).cast("string").alias("from"), F.lit(None).cast("string").alias("to"), "text", "new_pos", "old_pos", section.alias("section"))
+    told = F.when(F.col("n").isNull(), alone("removed", "o", F.col("section"))).when(F.col("o").isNull(), alone("added", "n", none)).otherwise(aspects)
+    lines = full.select("recipe_id", kinds.alias("kind"), "new_pos", "old_pos", F.explode(told).alias("t")).select("recipe_id", "kind", "t.type", "t.field", "t.label", "t.from", "t.to", "t.text", "new_pos", "old_pos", "t.section")
     whole = F.lit(None)
     fields = field_changes(pairs).select("recipe_id", F.lit("field").alias("kind"), F.lit("modified").alias("type"), "field", whole.cast("string").alias("label"), "from", "to", whole.cast("string").alias("text"), whole.cast("int").alias("new_pos"), whole.cast("int").alias("old_pos"), whole.cast("string").alias("section"))
-    return fields.unionByName(modified).unionByName(single)
+    return fields.unionByName(lines)
 
 
 def with_current_headings(baseline: DataFrame, current: DataFrame) -> DataFrame:
@@ -173,9 +250,39 @@ def with_current_headings(baseline: DataFrame, current: DataFrame) -> DataFrame:
     return content.unionByName(heads).withColumn("position", (F.row_number().over(order) - 1).cast("int")).select("recipe_id", "position", "is_heading", "text")
 
 
+def _digests(rows: DataFrame) -> DataFrame:
+    """(recipe_id, content, layout, dense): hashes of the content rows in order and of all rows with their places, and whether places run 0, 1, 2, ...
+
+    Texts are hashed before anything is ordered; a hash of a set is the exclusive or of its rows' hashes.
+    """
+    hashed = rows.select("recipe_id", "position", "is_heading", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(5), "text").alias("b"))
+    order = Window.partitionBy("recipe_id").orderBy("position")
+    placed = hashed.withColumns({"n": F.row_number().over(order) - 1, "nth": F.sum(1 - F.col("is_heading")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    both = lambda rows, *c: F.struct(*(F.coalesce(F.bit_xor(F.when(rows, F.xxhash64(*c, h))), F.lit(0)) for h in ("a", "b")), F.count_if(rows))
+    kept = F.col("is_heading") == 0
+    return placed.groupBy("recipe_id").agg(both(kept, "nth").alias("content"), both(F.lit(True), "position", "is_heading").alias("layout"), F.every(F.col("n") == F.col("position")).alias("dense"))
+
+
 def content_violations(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Recipes whose content rows differ between two layouts, or whose positions aren't 0, 1, 2, ...: empty if a sync was safe."""
-    rows = lambda df: df.where("is_heading = 0").select("recipe_id", (F.row_number().over(Window.partitionBy("recipe_id").orderBy("position"))).alias("n"), "text")
-    differ = rows(before).exceptAll(rows(after)).unionByName(rows(after).exceptAll(rows(before))).select("recipe_id")
-    gaps = after.withColumn("n", F.row_number().over(Window.partitionBy("recipe_id").orderBy("position")) - 1).where("n <> position").select("recipe_id")
-    return differ.unionByName(gaps).distinct()
+    """Recipes whose content rows differ between two layouts, or whose positions aren't 0, 1, 2, ...: empty if a sync was safe.
+
+    A recipe that only one side has differs if it has content there.
+    """
+    old, new = _digests(before).select("recipe_id", F.col("content").alias("old")), _digests(after).select("recipe_id", F.col("content").alias("new"), "dense")
+    nothing = F.struct(F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"))
+    joined = old.join(new, "recipe_id", "full")
+    return joined.where((F.coalesce("old", nothing) != F.coalesce("new", nothing)) | ~F.coalesce("dense", F.lit(True))).select("recipe_id")
+
+
+def guarded(before: DataFrame, after: DataFrame) -> DataFrame:
+    """C14: the rows of ``after`` of recipes whose layout differs from ``before``; what stays the same isn't written again.
+
+    A recipe without a layout before is left alone. If one's content rows would change, or its positions
+    aren't 0, 1, 2, ..., the plan fails and names it, so nothing of the batch is written.
+    """
+    old = _digests(before).select("recipe_id", F.col("content").alias("old_content"), F.col("layout").alias("old_layout"))
+    both = _digests(after).join(old, "recipe_id")
+    bad = (F.col("content") != F.col("old_content")) | ~F.col("dense")
+    stop = F.raise_error(F.concat(F.lit("heading sync would change the content of recipe "), F.col("recipe_id").cast("string"))).cast("boolean")
+    changed = both.where(F.when(bad, stop).otherwise(F.col("layout") != F.col("old_layout"))).select("recipe_id")
+    return after.join(changed, "recipe_id", "left_semi")

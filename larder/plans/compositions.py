@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import steps, text, urls, weights
 from larder.functions.lines import classify_step
+from larder.functions.pages import SCHEMA
 from larder.operators import imports, kitchen, slugs, tracking
 from larder.plans.reads import queue, ratings
 from larder.plans.registry import query
@@ -144,6 +145,25 @@ def n6_read_recipe_pages(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("id", "refusal", "name", "source", parse_servings(F.col("servings_raw")).cast("string").alias("servings"), F.nullif("prep_time", F.lit("")).alias("prep_time"), text.joined_tags(F.col("categories")).alias("category"), zero("n_lines"), zero("n_flagged"), zero("n_steps"), zero("n_headings"))
 
 
+@query(
+    with_views("recipe_pages")
+    + """SELECT id, CASE WHEN shape < 2 THEN 'json-ld' WHEN shape = 3 THEN 'named' END AS layer, CASE shape WHEN 0 THEN 'Pie & Co ' || id % 97 WHEN 1 THEN 'Cake ' || id % 89 WHEN 3 THEN 'Half' END AS name,
+  CASE WHEN shape = 2 THEN 'NOT_A_RECIPE' WHEN shape > 3 THEN 'NO_STRUCTURED_DATA' END AS refusal,
+  CASE shape WHEN 2 THEN 'json-ld:NOT_A_RECIPE|named:NO_NAME' WHEN 3 THEN 'json-ld:INCOMPLETE' WHEN 4 THEN 'json-ld:NO_STRUCTURED_DATA|named:NO_NAME' WHEN 5 THEN 'json-ld:NO_STRUCTURED_DATA|named:NO_NAME' ELSE '' END AS refusals FROM recipe_pages"""
+)
+def n6_layered_readers(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that the first reader refused go to a second, which takes any named thing; all refusals are kept."""
+
+    def named(page: Column) -> Column:
+        name = F.nullif(F.regexp_extract(page, r'"name"\s*:\s*"([^"]+)"', 1), F.lit(""))
+        known = {"name": name, "refusal": F.when(name.isNull(), "NO_NAME")}
+        return F.struct(*(known.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in SCHEMA.fields))
+
+    found = imports.read(view(spark, d, "recipe_pages").select("id", "url", "text"), (*imports.LAYERS, ("named", named)))
+    told = F.array_join(F.transform("refusals", lambda r: F.concat_ws(":", r["layer"], r["code"])), "|")
+    return found.select("id", "layer", "name", "refusal", told.alias("refusals"))
+
+
 _PLANNED = f"""based AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM told WHERE refusal IS NULL),
 slugged AS (SELECT id, CASE WHEN base = 'pie-co-1' THEN base || '-' || (n + 1) WHEN n = 1 THEN base ELSE base || '-' || n END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM based)),
 known AS (SELECT {_SITE} AS key, min(id) AS duplicate_of FROM recipe_pages WHERE {_KNOWN} GROUP BY 1)"""
@@ -330,14 +350,11 @@ def a18_varied_sample(spark: SparkSession, d: str) -> DataFrame:
     return kitchen.varied_sample(view(spark, d, "recipes"), predicates)
 
 
-@query(with_views("recipes") + "SELECT id, nullif(regexp_extract(servings, '[0-9]+'), '')::INT AS base, row_number() OVER (ORDER BY source = 'test', name, id)::BIGINT AS place FROM recipes WHERE owner = 7")
+@query(with_views("recipes") + "SELECT id, owner, nullif(regexp_extract(servings, '[0-9]+'), '')::INT AS base, row_number() OVER (PARTITION BY owner ORDER BY source = 'test', name, id)::BIGINT AS place FROM recipes WHERE owner IS NOT NULL")
 def f43_servings_base(spark: SparkSession, d: str) -> DataFrame:
-    """What the servings scale from, in a list with test recipes last and the order of names kept."""
-    rows = view(spark, d, "recipes").where("owner = 7").select("id", "source", "name", kitchen.servings_base(F.col("servings")).alias("base"))
-    # numbered within the two tiers and by name: few rows of one owner
-    from pyspark.sql import Window
-
-    return rows.select("id", "base", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source") == "test", "name", "id")).cast("bigint").alias("place"))
+    """What the servings scale from, in each owner's list with test recipes last and the order of names kept."""
+    rows = view(spark, d, "recipes").where("owner IS NOT NULL").select("id", "owner", "name", (F.col("source") == "test").alias("last"), kitchen.servings_base(F.col("servings")).alias("base"))
+    return slugs.placed(rows, ["owner"], ["last", "name"], "id").select("id", "owner", "base", F.col("place").cast("bigint").alias("place"))
 
 
 @query(with_views("recipe_pages") + f", told AS ({_READ}), {_PLANNED} SELECT id, slug FROM slugged")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from larder.operators.rows import keep_first, keep_last, newest, symmetric
+from larder.operators.rows import by_name, keep_first, keep_last, newest, symmetric
 from larder.plans.registry import query
 from larder.plans.views import ME, NOW, view, with_views
 
@@ -123,7 +123,23 @@ def q7_queue(spark: SparkSession, d: str) -> DataFrame:
 @query(with_views("ingredients") + "SELECT id, name FROM ingredients")
 def q3_ingredients(spark: SparkSession, d: str) -> DataFrame:
     """The library by name, in binary order."""
-    return view(spark, d, "ingredients").select("id", "name").orderBy("name", "id")
+    return by_name(view(spark, d, "ingredients").select("id", "name"), "name", "id")
+
+
+_MIXED = "CASE id % 4 WHEN 0 THEN upper(name) WHEN 1 THEN concat('é', name) WHEN 2 THEN concat(upper(substring(name, 1, 1)), substring(name, 2)) ELSE name END"
+
+
+@query(
+    with_views("ingredients")
+    + f""", mixed AS (SELECT id, kind, {_MIXED} AS name FROM ingredients)
+SELECT id, name, row_number() OVER (PARTITION BY kind ORDER BY name, id) AS in_bytes, row_number() OVER (PARTITION BY kind ORDER BY name COLLATE NOCASE, id) AS without_case,
+  row_number() OVER (PARTITION BY kind ORDER BY name COLLATE en, id) AS as_read FROM mixed"""
+)
+def o1_collations(spark: SparkSession, d: str) -> DataFrame:
+    """O1: places of an ingredient among its kind in binary order, without regard to case, and in the order of languages."""
+    mixed = view(spark, d, "ingredients").selectExpr("id", "kind", f"{_MIXED} AS name")
+    place = lambda collation: F.row_number().over(Window.partitionBy("kind").orderBy(F.collate(F.col("name"), collation), "id")).cast("bigint")
+    return mixed.select("id", "name", place("UTF8_BINARY").alias("in_bytes"), place("UTF8_LCASE").alias("without_case"), place("UNICODE").alias("as_read"))
 
 
 @query(
@@ -265,17 +281,6 @@ def w6_feeds_of_all(spark: SparkSession, d: str) -> DataFrame:
     return seen.groupBy(F.col("a").alias("viewer")).agg(F.count("*").alias("posts"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"))
 
 
-@query(
-    with_views("posts", "comments")
-    + """, numbered AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS ordinal FROM posts)
-SELECT n.id AS post_id, count(*) AS comments, string_agg(c.turn::VARCHAR || ':' || c.body, '|' ORDER BY c.turn, c.body) AS thread
-FROM numbered n JOIN comments c ON c.conv_id = n.ordinal GROUP BY n.id"""
-)
-def a16_threads(spark: SparkSession, d: str) -> DataFrame:
-    """Each post's comments nested, oldest first; of each its first 40 characters, as its SQL asks."""
-    return threads(view(spark, d, "posts"), view(spark, d, "comments"))
-
-
 @query(
     with_views("posts", "turns")
     + """, numbered AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS ordinal FROM posts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -89,12 +89,16 @@ def a13_agreement(spark: SparkSession, d: str) -> DataFrame:
 STEPS_SQL = "steps AS (SELECT doc_id AS recipe_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS position FROM documents)"
 
 
+def is_heading(line: Column) -> Column:
+    """1 for a line that ends with a colon or has no small letters, else 0."""
+    return F.coalesce(line.endswith(":") | (line.rlike("[A-Z]") & ~line.rlike("[^ -Z\\[-`{-~]")), F.lit(False)).cast("int")
+
+
 def steps(spark: SparkSession, d: str) -> DataFrame:
     """Steps of a recipe: a document's lines with their places; a heading ends with a colon or has no small letters."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("recipe_id"), "text")
     split = docs.select("recipe_id", F.posexplode(F.split("text", "\n", -1)).alias("position", "text"))
-    heading = F.col("text").endswith(":") | (F.col("text").rlike("[A-Z]") & ~F.col("text").rlike("[^ -Z\\[-`{-~]"))
-    return split.withColumn("is_heading", F.coalesce(heading, F.lit(False)).cast("int"))
+    return split.withColumn("is_heading", is_heading(F.col("text")))
 
 
 @query(

@@ -5,10 +5,13 @@ Parquet tables have no MERGE, so every change is a new state computed from the o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from larder.operators import closure
 from larder.operators.rows import cascade, orphans
 from larder.plans.reads import queue, ratings
 from larder.plans.registry import query
@@ -46,16 +49,31 @@ def j17_delete_cascade(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+#: Tables that go with a recipe, by the view that stands for each, with what makes a row of it go.
+_CLOSED = {
+    "ratings": ("rating_log", "recipe_id IN (FROM gone)"), "cook_log": ("cook_log", "recipe_id IN (FROM gone)"), "flags": ("flags", "recipe_id IN (FROM gone)"),
+    "lines": ("lines", "recipe_id IN (FROM gone)"), "method": ("method", "recipe_id IN (FROM gone)"), "recipe_queue": ("queue_log", "recipe_id IN (FROM gone)"),
+    "posts": ("posts", "coalesce(recipe_id IN (FROM gone), false) OR coalesce(cook_log_id IN (FROM gone_cooks), false)"),
+    "photos": ("photos", "recipe_id IN (FROM gone) OR coalesce(cook_log_id IN (FROM gone_cooks), false)"),
+    "snapshots": ("snapshot_log", "recipe_id IN (FROM gone) OR coalesce(cook_log_id IN (FROM gone_cooks), false)"),
+    "comments": ("replies", "post_id IN (FROM gone_posts)"), "recipes": ("recipes", "id IN (FROM gone)"),
+}
+
+
 @query(
-    with_views("recipes", "photos")
-    + """SELECT DISTINCT path FROM photos p JOIN recipes r ON r.id = p.recipe_id WHERE r.source = 'test'
-  AND path NOT IN (SELECT path FROM photos p2 JOIN recipes r2 ON r2.id = p2.recipe_id WHERE r2.source <> 'test')
-  AND path NOT IN (SELECT image FROM recipes WHERE source <> 'test' AND image IS NOT NULL AND id > 14900)"""
+    with_views(*sorted({v for v, _ in _CLOSED.values()}))
+    + """, gone AS (SELECT id FROM recipes WHERE source = 'test' AND id % 2 = 0 OR id % 7 = 0), gone_cooks AS (SELECT id FROM cook_log WHERE recipe_id IN (FROM gone)),
+gone_posts AS (SELECT id FROM posts WHERE coalesce(recipe_id IN (FROM gone), false) OR coalesce(cook_log_id IN (FROM gone_cooks), false)) """
+    + " UNION ALL ".join(f"SELECT '{name}' AS tbl, count(*) AS n_all, count(*) FILTER (NOT ({goes})) AS n_left FROM {source}" for name, (source, goes) in _CLOSED.items())
 )
-def u5_unreferenced_files(spark: SparkSession, d: str) -> DataFrame:
-    """Files of deleted recipes that no survivor names, from two places; heroes of ids above 14,900 only, as its SQL asks."""
-    recipes = view(spark, d, "recipes")
-    return unreferenced(view(spark, d, "photos"), recipes, recipes.where("id > 14900"))
+def j17_closure(spark: SparkSession, d: str) -> DataFrame:
+    """Recipes go with all that hangs on them, on their cooks and on their posts; rows of each table before and after."""
+    tables = {name: view(spark, d, source) for name, (source, _) in _CLOSED.items()}
+    gone = tables["recipes"].where("source = 'test' AND id % 2 = 0 OR id % 7 = 0").select("id")
+    left = closure.delete(tables, "recipes", gone)
+    counted = [rows.agg(F.lit(name).alias("tbl"), F.lit(kind).alias("kind"), F.count("*").alias("n")) for name in tables for kind, rows in (("all", tables[name]), ("left", left[name]))]
+    sizes = reduce(DataFrame.unionByName, counted).groupBy("tbl")
+    return sizes.agg(F.max(F.when(F.col("kind") == "all", F.col("n"))).alias("n_all"), F.max(F.when(F.col("kind") == "left", F.col("n"))).alias("n_left"))
 
 
 @query(
@@ -197,13 +215,14 @@ def d19_heading_backfill(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     with_views("recipes", "lines")
-    + """SELECT r.id + 1000000 AS id, r.name || ' (copy 1)' AS name, 3::BIGINT AS owner, count(l.recipe_id) AS lines FROM recipes r LEFT JOIN lines l ON l.recipe_id = r.id WHERE r.owner = 7 GROUP BY r.id, r.name"""
+    + """SELECT r.id + (SELECT max(id) FROM recipes) AS id, r.name || ' (copy 1)' AS name, r.owner % 149 + 1 AS owner, count(l.recipe_id) AS lines FROM recipes r LEFT JOIN lines l ON l.recipe_id = r.id WHERE r.owner IS NOT NULL GROUP BY r.id, r.name, r.owner"""
 )
 def d6_copy_recipes(spark: SparkSession, d: str) -> DataFrame:
-    """Copies of a user's recipes with their lines, under new ids, names and owner."""
-    source = view(spark, d, "recipes").where("owner = 7").select("id", "name")
+    """Copies of all owned recipes with their lines, for the next user, under new ids and names."""
+    recipes = view(spark, d, "recipes").select("id", "name", "owner")
     lines = view(spark, d, "lines").groupBy(F.col("recipe_id").alias("id")).agg(F.count("*").alias("n"))
-    return source.join(lines, "id", "left").select((F.col("id") + 1_000_000).alias("id"), F.concat("name", F.lit(" (copy 1)")).alias("name"), F.lit(3).cast("bigint").alias("owner"), F.coalesce("n", F.lit(0)).alias("lines"))
+    source = recipes.where("owner IS NOT NULL").join(lines, "id", "left").withColumn("highest", recipes.agg(F.max("id")).scalar())
+    return source.select((F.col("id") + F.col("highest")).alias("id"), F.concat("name", F.lit(" (copy 1)")).alias("name"), (F.col("owner") % 149 + 1).alias("owner"), F.coalesce("n", F.lit(0)).alias("lines"))
 
 
 @query(
@@ -218,16 +237,6 @@ def d3_seed_upsert(spark: SparkSession, d: str) -> DataFrame:
     return base.join(seed, "id", "full").select("id", F.coalesce("new", "old").alias("name"), F.coalesce("stamp", F.lit("2024-01-31")).alias("created_at"))
 
 
-@query(
-    with_views("recipes", "cook_log")
-    + """SELECT id, source, EXISTS (SELECT 1 FROM cook_log c WHERE c.recipe_id = r.id AND c.source = 'import') AS seeded FROM recipes r WHERE id < 500
-  AND NOT EXISTS (SELECT 1 FROM cook_log c WHERE c.recipe_id = r.id AND c.source = 'app')"""
-)
-def d22_guarded_insert(spark: SparkSession, d: str) -> DataFrame:
-    """Recipes that may get a seeded row: they exist, and none of that source is there; ids below 500 only, as its SQL asks."""
-    return insertable(view(spark, d, "recipes").where("id < 500"), view(spark, d, "cook_log"))
-
-
 @query(
     with_views("recipes", "cook_log")
     + """SELECT id, source, EXISTS (SELECT 1 FROM cook_log c WHERE c.recipe_id = r.id AND c.source = 'import') AS seeded FROM recipes r
@@ -274,15 +283,6 @@ def w8_batch_dedup(spark: SparkSession, d: str) -> DataFrame:
     return recipes.join(first, "uid", "left").select("id", "uid", decision.alias("decision"))
 
 
-@query(
-    with_views("posts", "comments", "users")
-    + """SELECT p.id, CASE WHEN length(trim(p.caption)) = 0 THEN NULL ELSE trim(p.caption) END AS caption, p.user_id = 7 OR (SELECT is_admin FROM users u WHERE u.id = p.user_id) AS may_delete FROM posts p WHERE length(trim(p.caption)) <= 10"""
-)
-def d13_share_rules(spark: SparkSession, d: str) -> DataFrame:
-    """Trimmed captions within a cap of 10, as its SQL asks, and who may delete."""
-    return shared(view(spark, d, "posts"), view(spark, d, "users"), 10)
-
-
 @query(
     with_views("posts", "users")
     + f"""SELECT p.id, CASE WHEN length(trim(p.caption)) = 0 THEN NULL ELSE trim(p.caption) END AS caption, p.user_id = 7 OR (SELECT is_admin FROM users u WHERE u.id = p.user_id) AS may_delete FROM posts p WHERE p.caption IS NULL OR length(trim(p.caption)) <= {CAPTION_MAX}"""
@@ -299,16 +299,6 @@ def shared(posts: DataFrame, users: DataFrame, cap: int) -> DataFrame:
     return posts.where(F.col("caption").isNull() | (F.length(caption) <= cap)).join(users, "user_id", "left").select("id", F.nullif(caption, F.lit("")).alias("caption"), ((F.col("user_id") == 7) | F.col("is_admin")).alias("may_delete"))
 
 
-@query(with_views("recipes") + "SELECT (SELECT count(DISTINCT owner) FROM recipes WHERE id < 3) > 1 AS ambiguous, (SELECT count(*) FROM (SELECT id FROM recipes WHERE id < 50 EXCEPT SELECT id FROM recipes WHERE id < 40)) AS difference, (SELECT count(*) FROM (SELECT owner FROM recipes UNION SELECT id FROM recipes WHERE id < 10)) AS together")
-def u_set_operations(spark: SparkSession, d: str) -> DataFrame:
-    """Unions, differences, equality of sets and a guard on a single owner, over the few ids that its SQL names."""
-    r = view(spark, d, "recipes").select("id", "owner")
-    a = r.where("id < 3").agg((F.count_distinct("owner") > 1).alias("ambiguous"))
-    b = r.where("id < 50").select("id").exceptAll(r.where("id < 40").select("id")).agg(F.count("*").alias("difference"))
-    c = r.select("owner").union(r.where("id < 10").select("id")).distinct().agg(F.count("*").alias("together"))
-    return a.crossJoin(b).crossJoin(c)
-
-
 @query(
     with_views("recipes", "users")
     + """SELECT (SELECT count(DISTINCT owner) FROM recipes) > 1 AS ambiguous, (SELECT count(*) FROM (SELECT name FROM recipes WHERE source = 'app' EXCEPT SELECT name FROM recipes WHERE source = 'test')) AS difference,

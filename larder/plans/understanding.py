@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions import amounts, lines, names, pages, steps, text, times, urls, weights
 from larder.operators import slugs, tracking
 from larder.plans.registry import query
-from larder.plans.reports import STEPS_SQL
+from larder.plans.reports import STEPS_SQL, is_heading
 from larder.plans.reports import steps as steps_of
 from larder.plans.shapes import LINE_FIELDS, METHOD, QUANTITIES, QUANTITY_FIELDS, WRITTEN, answers, chosen
 from larder.plans.views import NOW, view, with_views
@@ -179,8 +179,9 @@ def q14_method_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """(recipe_id, old, new): each document's lines, and those with one left out, one reworded and two swapped."""
-    rows = steps_of(spark, d).groupBy("recipe_id").agg(F.array_sort(F.collect_list(F.struct("position", "is_heading", "text"))).alias("steps"))
+    """(recipe_id, old, new): each document's lines, and those with one left out and one reworded; a document is split where it is."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("recipe_id"), F.split("text", "\n", -1).alias("lines"))
+    rows = docs.select("recipe_id", F.transform("lines", lambda t, i: F.struct(i.alias("position"), is_heading(t).alias("is_heading"), t.alias("text"))).alias("steps"))
     named = rows.withColumn("recipe", F.struct(*(F.when(F.lit(f) == "servings", F.col("recipe_id").cast("string")).alias(f) for f in tracking.FIELDS)))
     fresh = F.struct(*(F.when(F.lit(f) == "servings", F.when(F.col("recipe_id") % 2 == 0, "4").otherwise(F.col("recipe_id").cast("string"))).alias(f) for f in tracking.FIELDS))
     edited = F.filter(F.transform("steps", lambda s: F.struct(s["position"].alias("position"), s["is_heading"].alias("is_heading"), F.when(s["position"] == 2, F.concat(s["text"], F.lit(" more"))).otherwise(s["text"]).alias("text"))), lambda s: s["position"] != F.col("recipe_id") % 5)
@@ -211,6 +212,52 @@ def c9_heading_sync(spark: SparkSession, d: str) -> DataFrame:
     return sizes.join(bad, "recipe_id", "left").withColumn("unsafe", F.coalesce("unsafe", F.lit(False)))
 
 
+@query(
+    with_views("lines")
+    + """, numbered AS (SELECT recipe_id, row_number() OVER (PARTITION BY recipe_id ORDER BY position, tiebreak) AS r, amount % 19 AS k FROM lines),
+told AS (SELECT recipe_id, r, k, (2 * r - 1)::INT AS pos, repeat('a', k::INT) || repeat('b', 18 - k::INT) || lpad(r::VARCHAR, 2, '0') AS old, repeat('a', k::INT) || repeat('c', 18 - k::INT) || lpad(r::VARCHAR, 2, '0') AS new FROM numbered WHERE k < 18)
+SELECT recipe_id, 'modified' AS type, pos AS old_pos, pos AS new_pos, old AS "from", new AS "to", NULL AS text FROM told WHERE k >= 10
+UNION ALL SELECT recipe_id, 'removed', pos, NULL, NULL, NULL, old FROM told WHERE k < 10 UNION ALL SELECT recipe_id, 'added', NULL, pos, NULL, NULL, new FROM told WHERE k < 10"""
+)
+def c4_near_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Steps reworded by more and more of their signs; those that keep 0.6 of them or more are one step that changed.
+
+    A line of 20 signs keeps k of 18 and its number, so its likeness is (k + 2) / 20; lines between them stay.
+    """
+    rows = view(spark, d, "lines").select("recipe_id", F.struct("position", "tiebreak", (F.col("amount") % 19).cast("int").alias("k")).alias("s"))
+    listed = rows.groupBy("recipe_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+
+    def steps_with(sign: str) -> Column:
+        number = lambda i: F.lpad((i + 1).cast("string"), 2, "0")
+        text_of = lambda x, i: F.concat(F.repeat(F.lit("a"), x["k"]), F.repeat(F.lit(sign), 18 - x["k"]), number(i))
+        row = lambda p, t: F.struct(p.cast("int").alias("position"), F.lit(0).alias("is_heading"), t.alias("text"))
+        return F.flatten(F.transform("s", lambda x, i: F.array(row(2 * i, F.concat(F.lit("Step "), number(i), F.lit(" of this recipe."))), row(2 * i + 1, text_of(x, i)))))
+
+    recipe = F.struct(*(F.lit(None).cast("string").alias(f) for f in tracking.FIELDS))
+    none = F.array().cast(f"array<{tracking._LINE}>")
+    pairs = listed.select("recipe_id", *(tracking.snapshot(recipe, none, steps_with(sign)).alias(side) for side, sign in (("old", "b"), ("new", "c"))))
+    return tracking.changes(pairs).select("recipe_id", "type", "old_pos", "new_pos", "from", "to", "text")
+
+
+_MOVED = "CASE WHEN is_heading = 1 THEN 2 * position - 5 ELSE 2 * position END"
+
+
+@query(
+    f"""WITH {STEPS_SQL}, marked AS (SELECT recipe_id, position, text, coalesce(text LIKE '%:' OR (regexp_matches(text, '[A-Z]') AND NOT regexp_matches(text, '[^ -Z\\[-`{{-~]')), false)::INT AS is_heading FROM steps),
+ranked AS (SELECT *, sum(1 - is_heading) OVER (PARTITION BY recipe_id ORDER BY {_MOVED} ROWS UNBOUNDED PRECEDING) AS upto FROM marked),
+sizes AS (SELECT recipe_id, sum(1 - is_heading) AS n FROM marked GROUP BY recipe_id),
+slotted AS (SELECT recipe_id, is_heading, position, CASE WHEN is_heading = 1 THEN least(upto, n) ELSE upto - 1 END AS slot FROM ranked JOIN sizes USING (recipe_id)),
+layouts AS (SELECT recipe_id, string_agg(is_heading::VARCHAR, '' ORDER BY position) AS before, string_agg(is_heading::VARCHAR, '' ORDER BY slot, 1 - is_heading, position) AS layout FROM slotted GROUP BY recipe_id)
+SELECT recipe_id, layout FROM layouts WHERE before <> layout"""
+)
+def c14_guarded_sync(spark: SparkSession, d: str) -> DataFrame:
+    """Layouts to write after headings moved two lines up: of changed recipes alone, and none if content would change."""
+    rows = steps_of(spark, d).select("recipe_id", "position", "is_heading", "text")
+    moved = rows.withColumn("position", F.expr(_MOVED))
+    written = tracking.guarded(rows, tracking.with_current_headings(rows, moved))
+    return written.groupBy("recipe_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("is_heading").cast("string").alias("h")))).alias("l")).select("recipe_id", F.array_join("l.h", "").alias("layout"))
+
+
 @query(
     with_views("lines")
     + """, spelled AS (SELECT CASE position % 4 WHEN 0 THEN 'large cloves of ' WHEN 1 THEN 'Medium ' WHEN 2 THEN 'medium-grain ' ELSE '' END || raw_text AS name, amount FROM lines)

@@ -71,6 +71,8 @@ VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
     ),
     "flags": ("lineitem", {"recipe_id": "l_orderkey", "position": "l_linenumber", "flag": "CASE l_suppkey % 3 WHEN 0 THEN 'ambiguous_section' WHEN 1 THEN 'multiplier' ELSE 'each_multi' END", "reason": "CASE WHEN l_partkey % 2 = 0 THEN 'suggest section' ELSE 'review' END"}, "l_partkey % 10 = 0"),
     "sources": ("pages", {"id": "page_id", "url": "url"}, "true"),
+    "replies": ("events", {"id": "event_id", "post_id": "event_id - event_id % 3", "author_id": "user_id"}, "event_type <> 'error'"),
+    "snapshot_log": ("events", {"id": "event_id", "recipe_id": "event_id * 3 % 1500", "cook_log_id": "CASE WHEN event_id % 2 = 0 THEN event_id - event_id % 4 END"}, "event_type IN ('click', 'signup')"),
 }
 
 

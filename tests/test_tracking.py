@@ -91,6 +91,52 @@ def test_changes_explain_the_difference(spark, seed):
                 assert b[r.new_pos] == r.text
 
 
+def plainly(old, new):
+    """Entries of two step lists by difflib alone, as (type, old place, new place)."""
+    out = []
+    for tag, i, i_end, j, j_end in SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
+        if tag == "equal":
+            continue
+        used = set()
+        for k in range(i, i_end):
+            best, at = 0.0, None
+            for m in range(j, j_end):
+                ratio = SequenceMatcher(None, old[k], new[m]).ratio() if m not in used else 0.0
+                if ratio > best:
+                    best, at = ratio, m
+            if at is not None and best >= tracking.LIKE:
+                used.add(at)
+                out.append((k, at))
+            else:
+                out.append((k, None))
+        out += [(None, m) for m in range(j, j_end) if m not in used]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_alignment_equals_difflib(seed):
+    """Repeated lines, near texts around the likeness, equal beginnings and ends, and long texts with common signs."""
+    rng = random.Random(seed)
+    words = ["stir", "the", "pot", "and", "salt", "wait", "x"]
+    for _ in range(150):
+        old = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 6))) for _ in range(rng.randrange(0, 14))]
+        if rng.random() < 0.2:
+            old = [o * 60 for o in old]
+        new = [w for w in old if rng.random() < 0.8]
+        for _ in range(rng.randrange(4)):
+            new[rng.randrange(len(new) + 1) : 0] = [rng.choice([*old, "fresh " + rng.choice(words), "ünïcode ☃"])]
+        new = [n.replace("salt", "pepper") if rng.random() < 0.2 else n for n in new]
+        assert list(tracking._align(old, new)) == plainly(old, new), (old, new)
+
+
+def test_nothing_is_shuffled(spark):
+    flat = texts(spark, whole(steps=[("a", 0)]), whole(steps=[("b", 0)]))
+    df = spark.createDataFrame([(1, *flat), (2, None, flat[0]), (3, flat[0], flat[0])], "recipe_id int, old string, new string")
+    found = tracking.changes(df)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.recipe_id, r.type, r.text) for r in found.collect()) == [(1, "added", "b"), (1, "removed", "a")]
+
+
 def test_heading_sync(spark):
     schema = "recipe_id int, position int, is_heading int, text string"
     old = spark.createDataFrame([(1, 0, 1, "OLD"), (1, 1, 0, "a"), (1, 2, 0, "b"), (2, 0, 0, "x")], schema)
@@ -101,6 +147,18 @@ def test_heading_sync(spark):
     assert [r.recipe_id for r in tracking.content_violations(old, now).orderBy("recipe_id").collect()] == [1, 2]
 
 
+def test_guard_stops_a_batch_that_changes_content(spark):
+    schema = "recipe_id int, position int, is_heading int, text string"
+    before = spark.createDataFrame([(1, 0, 1, "OLD"), (1, 1, 0, "a"), (1, 2, 0, None), (2, 0, 0, "x"), (3, 0, 0, "alone")], schema)
+    after = spark.createDataFrame([(1, 0, 0, "a"), (1, 1, 1, "NEW"), (1, 2, 0, None), (2, 0, 0, "x"), (4, 0, 0, "no baseline")], schema)
+    assert sorted((r.recipe_id, r.position) for r in tracking.guarded(before, after).collect()) == [(1, 0), (1, 1), (1, 2)]
+    assert tracking.guarded(before, before).count() == 0 and tracking.guarded(before.where("false"), after).count() == 0
+    for bad in ([(2, 0, 0, "y")], [(2, 0, 0, "x"), (2, 1, 0, "z")], [(2, 1, 0, "x")], [(2, 0, 1, "x")], [(1, 0, 0, None), (1, 1, 0, "a")]):
+        with pytest.raises(Exception, match="heading sync would change the content of recipe"):
+            tracking.guarded(before, spark.createDataFrame(bad, schema)).collect()
+    assert [r.recipe_id for r in tracking.content_violations(before, after).orderBy("recipe_id").collect()] == [3, 4]
+
+
 def test_slugs_follow_the_batch(spark):
     rng = random.Random(4)
     bases = [rng.choice(["x", "x-2", "x-2-3", "y", "pie", "pie-10"]) for _ in range(60)] + ["alone"]
