@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import gzip
-import io
-import json
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from larder.functions.shipping import ship
-
-ship(__name__)
-
 CHART = "category string, ingredient string, grams double, reference_volume string"
 
 
@@ -26,27 +15,16 @@ def weight_chart(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("ordinal", F.row_number().over(Window.orderBy("_at"))).drop("_at")
 
 
-def archive(spark: SparkSession, path: str) -> DataFrame:
-    """(entry, record, error) of each member of zipped archives: its JSON text, or why it can't be read."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                rows = []
-                try:
-                    members = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile as e:
-                    yield pd.DataFrame([(None, None, str(e))], columns=["entry", "record", "error"])
-                    continue
-                for name in members.namelist():
-                    if name.endswith(".paprikarecipe"):
-                        try:
-                            rows.append((name, json.dumps(json.loads(gzip.decompress(members.read(name)))), None))
-                        except (OSError, ValueError, EOFError, zipfile.BadZipFile) as e:
-                            rows.append((name, None, f"{type(e).__name__}: {e}"))
-                yield pd.DataFrame(rows, columns=["entry", "record", "error"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "entry string, record string, error string")
+def archive(spark: SparkSession, path: str, members: int = 256) -> DataFrame:
+    """(archive, entry, record, error) of each member of zipped archives: its JSON text, or why it can't be read.
+
+    ``path`` may have wildcards. Archives are read in ranges of ``members`` of their lists of contents, each by a
+    task of its own, so a large one is never held whole. What can't be opened is one row with its error.
+    """
+    from larder.sources.archives import RecipeArchive
+
+    spark.dataSource.register(RecipeArchive)
+    return spark.read.format(RecipeArchive.name()).option("members", members).load(path)
 
 
 def image_kind(encoded: Column) -> Column:
