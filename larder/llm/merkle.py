@@ -154,12 +154,13 @@ def _with_bucket(docs: DataFrame, rows: int) -> DataFrame:
 def with_next(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, text, next_text): ``next_text`` is the text of the document with the next greater doc_id, after the last that of the first.
 
-    Rows that share a doc_id follow each other by text. Ranges of ids are dealt out, each is ordered in
-    its own task, and only each range's first text travels to the range before it. One task sees
-    the numbers of the ranges, at most MOST_BUCKETS, and no texts.
+    Rows that share a doc_id follow each other by text; rows without one have no place in that order and
+    are followed by themselves. Ranges of ids are dealt out, each is ordered in its own task, and only each
+    range's first text travels to the range before it. One task sees the numbers of the ranges, at most
+    MOST_BUCKETS, and no texts.
     """
-    docs = docs.select("doc_id", text_or_empty().alias("text")).where("doc_id is not null")
-    docs = _with_bucket(docs, rows)
+    every = docs.select("doc_id", text_or_empty().alias("text"))
+    docs = _with_bucket(every.where("doc_id is not null"), rows)
     ring = Window.orderBy("bucket")
     firsts = docs.groupBy("bucket").agg(F.min("doc_id").alias("doc_id"))
     before = F.coalesce(F.lag("bucket").over(ring), F.last("bucket").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
@@ -168,7 +169,8 @@ def with_next(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
     order = Window.partitionBy("bucket").orderBy("doc_id", "text")
     docs = docs.withColumns({"next_text": F.lead("text").over(order), "last": F.lead("doc_id").over(order).isNull()})
     joined = docs.join(heads, (F.col("bucket") == F.col("before")) & F.col("last"), "left")
-    return joined.select("doc_id", "text", F.coalesce("next_text", "head").alias("next_text"))
+    alone = every.where("doc_id is null").select("doc_id", "text", F.col("text").alias("next_text"))
+    return joined.select("doc_id", "text", F.coalesce("next_text", "head").alias("next_text")).unionByName(alone)
 
 
 def edited_pairs(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
@@ -183,7 +185,7 @@ def edited_pairs(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
 def compare_with_edits(docs: DataFrame, rows: int = BUCKET_ROWS) -> DataFrame:
     """The digest of op3: each document against its edited text and its successor.
 
-    Null texts are empty; a table of one row is its own successor; rows without doc_id are left out;
+    Null texts are empty; a table of one row is its own successor, and so is every row without a doc_id;
     repeated rows follow each other. An empty table gives an empty result.
     """
     df = edited_pairs(docs, rows).withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2(F.encode("edited", "UTF-8"), 256)})

@@ -8,7 +8,12 @@ from tests.llm.data import docs, table
 
 def check(df, rows=merkle.BUCKET_ROWS):
     texts = sorted((r.doc_id, r.text or "") for r in df.collect() if r.doc_id is not None)
-    got = sorted(merkle.compare_with_edits(df, rows).collect(), key=lambda r: (r.doc_id, r.n_chars, r.edited_sha256))
+    every = merkle.compare_with_edits(df, rows).collect()
+    bare = sorted(r.text or "" for r in df.collect() if r.doc_id is None)  # followed by themselves
+    own = [t[: len(t) - len(t) // 2] + t[: len(t) // 2] for t in bare]
+    assert sorted((len(t), hashlib.sha256(e.encode()).hexdigest(), 1.0) for t, e in zip(bare, own, strict=True)) == sorted((r.n_chars, r.edited_sha256, r.near_next) for r in every if r.doc_id is None)
+    got = sorted((r for r in every if r.doc_id is not None), key=lambda r: (r.doc_id, r.n_chars, r.edited_sha256))
+    assert len(every) == df.count()
     want, prints = [], {}
     for k, (i, t) in enumerate(texts):
         nxt = texts[(k + 1) % len(texts)][1]
