@@ -23,13 +23,14 @@ from larder.llm.labelled import fold, training_rows
 
 ship(__name__)
 
-#: Most labelled rows that the network is fitted on, and chunks drawn from each.
-TRAIN_ROWS, TRAIN_CHUNKS = 3000, 6
+#: Most labelled rows that the network is fitted on, and most bytes of their texts together. Rows are drawn whole.
+TRAIN_ROWS, TRAIN_BYTES = 3000, 24 << 20
 FILTERS, WIDTH = 16, 6
 #: A chunk has CHUNK cells of CELL bytes and starts every STRIDE cells.
 CELL, CHUNK, STRIDE = 64, 8, 6
 THRESHOLD = 0.3
 _SLICE = 1 << 16
+_CHUNKS = 512
 _PAD = 32
 
 
@@ -78,10 +79,15 @@ def padded(data: np.ndarray) -> np.ndarray:
 
 
 def _sample(rows: DataFrame) -> pd.DataFrame:
-    """(row, label, chunk): seeded chunks from all over each training text; what the driver gets is bounded.
+    """(row, label, chunk): all chunks of each training text; what the driver gets is bounded by the rows' bytes.
 
-    Equal texts of one label are one training row.
+    Equal texts of one label are one training row. Rows are taken in the order of their texts' hashes as long
+    as they fit ``TRAIN_BYTES`` together; a text of more than a sixteenth of that isn't drawn.
     """
+    rows = rows.withColumn("hash", F.xxhash64("text")).where(F.octet_length("text") <= TRAIN_BYTES // 16)
+    sizes = rows.groupBy("hash").agg(F.max(F.octet_length("text")).alias("n")).orderBy("hash").limit(TRAIN_ROWS).collect()
+    fits = int(np.searchsorted(np.cumsum([r.n for r in sizes]), TRAIN_BYTES, "right"))
+    rows = rows.where(F.col("hash") <= sizes[fits - 1].hash if fits else F.lit(False)).select("text", "label").distinct()
     size = CELL * CHUNK + WIDTH - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,9 +97,8 @@ def _sample(rows: DataFrame) -> pd.DataFrame:
             for i, label in enumerate(batch.column(1).to_pylist()):
                 data = padded(raw[offsets[i] : offsets[i + 1]])
                 starts = np.arange(0, max(1, len(data) - size + CELL * STRIDE), CELL * STRIDE)
-                random = np.random.default_rng(len(data) + int(data[: 4096].sum()))
                 row = f"{hashlib.blake2b(data.tobytes(), digest_size=16).hexdigest()}:{label}"
-                for s in random.permutation(starts)[:TRAIN_CHUNKS]:
+                for s in starts:
                     for k, v in (("row", row), ("label", label), ("chunk", data[s : s + size].tobytes())):
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.string()), pa.array(out["label"], pa.int32()), pa.array(out["chunk"], pa.binary())], ["row", "label", "chunk"])
@@ -101,6 +106,21 @@ def _sample(rows: DataFrame) -> pd.DataFrame:
     return rows.mapInArrow(run, "row string, label int, chunk binary").toPandas()
 
 
+def winners(taps: np.ndarray, x: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place at which each filter is largest in each chunk, and its value there; many chunks are looked at in slices."""
+    n = x.shape[1] - WIDTH + 1
+    out = []
+    for at in range(0, len(x), _CHUNKS):
+        own = x[at : at + _CHUNKS]
+        total = taps[0][own[:, :n]]
+        for k in range(1, WIDTH):
+            total = total + taps[k][own[:, k : k + n]]
+        total[np.arange(n)[None, :] > (valid[at : at + _CHUNKS] - WIDTH)[:, None]] = -1e9
+        win = total.argmax(1)
+        out.append((win, np.take_along_axis(total, win[:, None, :], 1)[:, 0]))
+    return np.concatenate([w for w, _ in out]), np.concatenate([v for _, v in out])
+
+
 def fit(sample: pd.DataFrame, rounds: int = 14, seed: int = 7) -> Network:
     """Adam on the cross entropy of documents; only the places that win a pooling carry a gradient."""
     random = np.random.default_rng(seed)
@@ -127,13 +147,8 @@ def fit(sample: pd.DataFrame, rounds: int = 14, seed: int = 7) -> Network:
             index = np.concatenate([members[d] for d in docs])
             local = np.repeat(np.arange(len(docs)), [len(members[d]) for d in docs])
             x = data[index]
-            n = width - WIDTH + 1
-            total = w["taps"][0][x[:, :n]]
-            for k in range(1, WIDTH):
-                total = total + w["taps"][k][x[:, k : k + n]]
-            total[np.arange(n)[None, :] > (valid[index] - WIDTH)[:, None]] = -1e9
-            win = total.argmax(1)
-            raw = np.take_along_axis(total, win[:, None, :], 1)[:, 0] + w["bias"]
+            win, raw = winners(w["taps"], x, valid[index])
+            raw = raw + w["bias"]
             pool = np.maximum(raw, 0)
             count = np.bincount(local, minlength=len(docs))[:, None]
             mean = np.zeros((len(docs), FILTERS))

@@ -8,6 +8,7 @@ per word of the text. Exception phrases hide the entries inside them.
 from __future__ import annotations
 
 import math
+import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +28,9 @@ ship(__name__)
 #: Most labelled rows that the lexicon is learned from.
 TRAIN_ROWS = 8000
 #: Least toxic texts with an entry, as a number and as a share, and least share of toxic use.
-LEAST_TEXTS, LEAST_SHARE, PRECISION = 5, 0.01, 0.97
+LEAST_TEXTS, LEAST_SHARE, PRECISION = 3, 0.01, 0.97
+#: Parts of the training texts; how much an entry tells is judged on texts that it wasn't learned from.
+PARTS = 5
 PREFIXES = range(3, 8)
 #: Harmless phrases that contain words which can be insults.
 EXCEPTIONS = ("clown fish", "class clown", "trash can", "trash bin", "trash bag", "pond scum", "soap scum", "sore loser", "stupid question", "idiot proof")
@@ -121,19 +124,26 @@ def features(total: float, words: int) -> np.ndarray:
     return np.array([math.log1p(total), math.log1p(100 * total / max(20, words))])
 
 
-def _counts(rows: DataFrame, of: frozenset | None = None) -> DataFrame:
-    """(pattern, n): in how many texts each pattern stands; the empty pattern counts the texts."""
+def part_of(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace")) % PARTS
+
+
+def _counts(rows: DataFrame, least: int = 1, of: frozenset | None = None) -> dict[str, np.ndarray]:
+    """In how many texts of each part each pattern stands, of those that stand in ``least`` texts; the empty pattern counts the texts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             counted: Counter = Counter()
             for text in frame["text"]:
                 found = patterns(text)
-                counted.update(found if of is None else found & of)
-                counted[""] += 1
-            yield pd.DataFrame({"pattern": list(counted), "n": list(counted.values())})
+                part = part_of(text)
+                counted.update((p, part) for p in (found if of is None else found & of))
+                counted["", part] += 1
+            yield pd.DataFrame({"pattern": [p for p, _ in counted], "part": [k for _, k in counted], "n": list(counted.values())})
 
-    return rows.select("text").mapInPandas(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    own = [F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(PARTS)]
+    summed = rows.select("text").mapInPandas(run, "pattern string, part int, n long").groupBy("pattern").agg(F.sum("n").alias("n"), *own)
+    return {r[0]: np.array(r[2:]) for r in summed.where((F.col("n") >= least) | (F.col("pattern") == "")).toLocalIterator()}
 
 
 def choose_entries(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
@@ -172,31 +182,52 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Lexicon:
-    """A lexicon from at most ``most`` labelled rows that aren't held out; without toxic and clean rows an empty one."""
+    """A lexicon from at most ``most`` labelled rows that aren't held out; without toxic and clean rows an empty one.
+
+    What a found weight says is fitted on texts of each part with the entries that the other parts give, so
+    that a few entries learned from a few texts aren't trusted too far.
+    """
     rows = training_rows(docs, labels, "toxic", most)
     toxic_rows, clean_rows = rows.where("label = 1"), rows.where("label = 0")
-    n_toxic = toxic_rows.count()
-    least = max(LEAST_TEXTS, math.ceil(LEAST_SHARE * n_toxic))
-    toxic = dict(_counts(toxic_rows).where(F.col("n") >= least).where("pattern <> ''").toLocalIterator())
-    n_clean = clean_rows.count()
-    if not toxic or not n_clean:
+    toxic = _counts(toxic_rows, LEAST_TEXTS)
+    n_toxic = toxic.pop("", np.zeros(PARTS, int))
+    if not toxic:
+        return Lexicon({})
+    clean = _counts(clean_rows, of=frozenset(toxic))
+    n_clean = clean.pop("", np.zeros(PARTS, int))
+    if not n_clean.sum():
         return Lexicon({})
-    clean = dict(_counts(clean_rows, frozenset(toxic)).where("pattern <> ''").toLocalIterator())
-    lexicon = Lexicon(choose_entries(toxic, clean, n_toxic, n_clean))
-    known = _found(rows, lexicon, ["label"]).select("label", "total", "words").toPandas()
+
+    def lexicon(without: int | None = None) -> Lexicon:
+        kept = np.array([k != without for k in range(PARTS)])
+        sums = lambda counts: {p: int(n[kept].sum()) for p, n in counts.items()}
+        least = max(LEAST_TEXTS, math.ceil(LEAST_SHARE * n_toxic[kept].sum()))
+        own = {p: n for p, n in sums(toxic).items() if n >= least}
+        return Lexicon(choose_entries(own, sums(clean), int(n_toxic[kept].sum()), int(n_clean[kept].sum())))
+
+    apart = [lexicon(k) for k in range(PARTS)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [apart[part_of(t)].found(t) for t in frame["text"]]
+            yield pd.DataFrame({"label": frame["label"], "total": [float(t) for t, _ in out], "words": [n for _, n in out]})
+
+    known = rows.mapInPandas(run, "label int, total double, words long").toPandas().sort_values(["label", "total", "words"])
     x = np.stack([features(t, n) for t, n in zip(known["total"], known["words"], strict=True)])
     w = logistic_fit(x, known["label"].to_numpy(float))
-    return Lexicon(lexicon.weights, lexicon.exceptions, float(w[0]), (float(w[1]), float(w[2])))
+    whole = lexicon()
+    return Lexicon(whole.weights, whole.exceptions, float(w[0]), (float(w[1]), float(w[2])))
+
 
+def _found(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(doc_id, total, words): weight of the entries in each text, and its words."""
 
-def _found(rows: DataFrame, lexicon: Lexicon, keys: list[str]) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = [lexicon.found(t) for t in frame.pop("text")]
             yield frame.assign(total=[float(t) for t, _ in out], words=[n for _, n in out])
 
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.select(*keys, "text").mapInPandas(run, f"{kinds}, total double, words long")
+    return rows.select("doc_id", "text").mapInPandas(run, "doc_id long, total double, words long")
 
 
 def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -205,7 +236,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     Null texts are empty; texts without words get the score of no weight found. Repeated rows stay,
     an empty table gives an empty result, other columns are not read.
     """
-    found = _found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), lexicon, ["doc_id"])
+    found = _found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), lexicon)
     a, b = (float(s) for s in lexicon.slopes)
     logit = F.lit(lexicon.bias) + a * F.log1p("total") + b * F.log1p(100 * F.col("total") / F.greatest(F.lit(20), "words"))
     score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), logit))))

@@ -80,6 +80,33 @@ def test_aho_corasick_equals_looking_everywhere():
         assert lexicon.found(text) == (sum(best.values()), 12)
 
 
+def test_training_rows_are_drawn_whole(spark, monkeypatch):
+    """All chunks of each text, and whole texts as long as they fit."""
+    rows = spark.createDataFrame([(f"{i} " * (200 * i + 1), i % 2) for i in range(12)] + [("3 " * 601, 1)], "text string, label int")
+    sample = quality_cnn._sample(rows)
+    size = quality_cnn.CELL * quality_cnn.CHUNK + quality_cnn.WIDTH - 1
+    assert sample["row"].nunique() == 12
+    for text in ("11 " * 2201, "0 "):
+        data = quality_cnn.padded(np.frombuffer(text.encode(), np.uint8))
+        starts = range(0, max(1, len(data) - size + quality_cnn.CELL * quality_cnn.STRIDE), quality_cnn.CELL * quality_cnn.STRIDE)
+        chunks = [data[s : s + size].tobytes() for s in starts]
+        assert any(sorted(own["chunk"]) == sorted(chunks) for _, own in sample.groupby("row"))
+    monkeypatch.setattr(quality_cnn, "TRAIN_BYTES", 16_000)
+    few = quality_cnn._sample(rows)
+    assert 0 < few["row"].nunique() < 5 and set(few["row"]) <= set(sample["row"])
+
+
+def test_few_labels_still_teach(spark):
+    """A word in three toxic texts of ten is enough, and clean texts stay clean."""
+    words = "the of and to in for on with as by".split()
+    say = lambda i, *more: " ".join([*(words[(i * k) % 10] for k in range(3, 9)), *more])
+    texts = [(i, say(i, "nitwit"), 1) for i in range(60, 75)] + [(i, say(i), 0) for i in range(100, 220)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")
+    got = toxicity.score_documents(df, toxicity.learn(df, labels)).join(labels, "doc_id").collect()
+    assert all(r.predicted == r.toxic for r in got) and any(r.held_out and r.toxic for r in got)
+
+
 def test_network_covers_the_whole_text():
     network = quality_cnn.constant(0.5)
     network.taps[0, ord("#"), 0] = 5.0
