@@ -96,3 +96,32 @@ def plain_html(c: Column) -> Column:
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
         bare = F.replace(bare, F.lit(entity), F.lit(sign))
     return squeeze(bare)
+
+
+#: A link of a step: an id, and a label if it isn't the name itself.
+STEP_LINK = r"\[\[([^\]|]+)(?:\|([^\]]+))?\]\]"
+_PART = "struct<text:string,id:string,label:string>"
+
+
+def step_parts(step: Column) -> Column:
+    """the lines of a step, each an array of (text, id, label): stretches of text and links, in order and none of them empty.
+
+    Nothing is lost: :func:`from_step_parts` gives the step back sign by sign. What only looks like a link
+    (no id, an empty label) is text. A null step is null.
+    """
+
+    def parts(line: Column) -> Column:
+        link = lambda m: F.struct(F.lit(None).cast("string").alias("text"), F.regexp_extract(m, STEP_LINK, 1).alias("id"), F.nullif(F.regexp_extract(m, STEP_LINK, 2), F.lit("")).alias("label")).cast(_PART)
+        plain = lambda t: F.struct(t.alias("text"), F.lit(None).alias("id"), F.lit(None).alias("label")).cast(_PART)
+        between, links_ = F.split(line, STEP_LINK, -1), F.regexp_extract_all(line, F.lit(STEP_LINK), F.lit(0))
+        both = F.zip_with(between, links_, lambda t, m: F.array(plain(t), F.when(m.isNotNull(), link(m))))
+        return F.filter(F.flatten(both), lambda p: p["id"].isNotNull() | (p["text"] != ""))
+
+    return F.transform(F.split(step, "\n", -1), parts)
+
+
+def from_step_parts(lines: Column) -> Column:
+    """The step that :func:`step_parts` came from."""
+    link = lambda p: F.concat(F.lit("[["), p["id"], F.coalesce(F.concat(F.lit("|"), p["label"]), F.lit("")), F.lit("]]"))
+    line = lambda parts: F.array_join(F.transform(parts, lambda p: F.when(p["id"].isNotNull(), link(p)).otherwise(F.coalesce(p["text"], F.lit("")))), "")
+    return F.array_join(F.transform(lines, line), "\n")

@@ -36,6 +36,16 @@ def by_name(df: DataFrame, name: str, *ties: str, collation: str = "UTF8_BINARY"
     return df.orderBy(F.collate(F.col(name), collation), *ties)
 
 
+def rebuild_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The rows that a rebuild of a derived table takes away and brings, with ``change`` gone or new; none if it is run again.
+
+    Tables of one shape and without repeated rows; nulls are equal to nulls.
+    """
+    both = before.select("*", F.lit(-1).alias("_n")).unionByName(after.select("*", F.lit(1).alias("_n")))
+    summed = both.groupBy(*before.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    return summed.select(*before.columns, F.when(F.col("_n") < 0, "gone").otherwise("new").alias("change"))
+
+
 def symmetric(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Both directions of each undirected edge as (a, b), once."""
     rest = [c for c in edges.columns if c not in (a, b)]

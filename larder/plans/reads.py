@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from larder.operators.rows import by_name, keep_first, keep_last, newest, symmetric
+from larder.operators.rows import by_name, keep_first, keep_last, newest, rebuild_changes, symmetric
 from larder.plans.registry import query
 from larder.plans.views import ME, NOW, view, with_views
 
@@ -311,6 +311,18 @@ def threads(posts: DataFrame, comments: DataFrame) -> DataFrame:
     return numbered(posts).withColumnRenamed("ordinal", "conv_id").join(talk, "conv_id").select(F.col("id").alias("post_id"), "comments", "thread")
 
 
+@query(
+    with_views("lines")
+    + """, before AS (SELECT DISTINCT ingredient_id, month FROM lines WHERE ingredient_id IS NOT NULL AND supplier % 3 <> 0), later AS (SELECT DISTINCT ingredient_id, month FROM lines WHERE ingredient_id IS NOT NULL AND supplier % 3 <> 1)
+SELECT *, 'gone' AS change FROM (FROM before EXCEPT FROM later) UNION ALL SELECT *, 'new' FROM (FROM later EXCEPT FROM before)"""
+)
+def d4_rebuilt_seasons(spark: SparkSession, d: str) -> DataFrame:
+    """What a rebuild of the seasons from a changed library takes away and brings."""
+    lines = view(spark, d, "lines").where("ingredient_id IS NOT NULL")
+    seasons = lambda where: lines.where(where).select("ingredient_id", "month").distinct()
+    return rebuild_changes(seasons("supplier % 3 <> 0"), seasons("supplier % 3 <> 1"))
+
+
 @query(with_views("users") + "SELECT id, lower(trim(email)) AS email, is_admin FROM users WHERE lower(trim(email)) = lower(trim(' CUSTOMER#000000007@example.org'))")
 def j20_user_by_email(spark: SparkSession, d: str) -> DataFrame:
     """A user by normalized address."""

@@ -239,6 +239,23 @@ def c4_near_lines(spark: SparkSession, d: str) -> DataFrame:
     return tracking.changes(pairs).select("recipe_id", "type", "old_pos", "new_pos", "from", "to", "text")
 
 
+_LINKED = """CASE position % 5 WHEN 0 THEN raw_text WHEN 1 THEN concat('Add [[', cast(coalesce(ingredient_id, 0) AS string), '|', raw_text, ']] now') WHEN 2 THEN concat('[[i', cast(recipe_id AS string), ']]\n', raw_text)
+  WHEN 3 THEN '[[|x]] [[a|]] [[b]]' ELSE concat('[[a|b]][[c]]', raw_text, '\n') END"""
+
+
+@query(
+    with_views("lines")
+    + f"""SELECT recipe_id, position, tiebreak, {_LINKED} AS text, CASE position % 5 WHEN 0 THEN raw_text WHEN 1 THEN 'Add ;' || coalesce(ingredient_id, 0) || '>' || raw_text || '; now' WHEN 2 THEN 'i' || recipe_id || '>' || chr(10) || raw_text
+  WHEN 3 THEN '[[|x]] [[a|]] ;b>' ELSE 'a>b;c>;' || raw_text || chr(10) END AS parts FROM lines"""
+)
+def f44_step_links(spark: SparkSession, d: str) -> DataFrame:
+    """steps parted into text and links, and put together again."""
+    rows = view(spark, d, "lines").selectExpr("recipe_id", "position", "tiebreak", f"{_LINKED} AS text").withColumn("lines", text.step_parts(F.col("text")))
+    told = lambda p: F.coalesce(F.concat(p["id"], F.lit(">"), F.coalesce(p["label"], F.lit(""))), p["text"])
+    parts = F.array_join(F.transform("lines", lambda own: F.array_join(F.transform(own, told), ";")), "\n")
+    return rows.select("recipe_id", "position", "tiebreak", text.from_step_parts(F.col("lines")).alias("text"), parts.alias("parts"))
+
+
 _MOVED = "CASE WHEN is_heading = 1 THEN 2 * position - 5 ELSE 2 * position END"
 
 

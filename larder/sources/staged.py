@@ -114,10 +114,25 @@ def read_table(spark: SparkSession, folder: str, name: str, schema: str) -> Data
     Attempts are folders of the table, so only those that a manifest names are read: their names join as
     partitions, and nothing passes through the driver.
     """
+    return _rows_of(spark, folder, name, schema, manifests(spark, folder).select(F.col("batch").alias("_batch"), F.col("attempt").alias("_attempt")))
+
+
+def _rows_of(spark: SparkSession, folder: str, name: str, schema: str, attempts: DataFrame) -> DataFrame:
     columns = spark.createDataFrame([], schema).columns
     try:
         rows = spark.read.schema(f"{schema}, _batch string, _attempt string").parquet(f"{folder}/staged/{name}")
     except AnalysisException:
         return spark.createDataFrame([], schema)
-    known = manifests(spark, folder).select(F.col("batch").alias("_batch"), F.col("attempt").alias("_attempt"))
-    return rows.join(known, ["_batch", "_attempt"], "left_semi").select(*(f"`{c}`" for c in columns))
+    return rows.join(attempts, ["_batch", "_attempt"], "left_semi").select(*(f"`{c}`" for c in columns))
+
+
+def rebuild(spark: SparkSession, folder: str, version: str, tables: dict[str, DataFrame]) -> str:
+    """Replace derived tables as a whole: readers of :func:`read_latest` see the old ones until all new ones are there."""
+    return commit(spark, folder, version, tables)
+
+
+def read_latest(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """The rows of a table in the batch that was published last among those that have the table; rows that it lacks are gone."""
+    known = manifests(spark, folder).where(F.array_contains("tables", name))
+    last = known.agg(F.max(F.struct("at", "batch", "attempt")).alias("m")).select(F.col("m.batch").alias("_batch"), F.col("m.attempt").alias("_attempt"))
+    return _rows_of(spark, folder, name, schema, last)

@@ -122,3 +122,34 @@ def test_an_sqlite_table_equals_its_parquet(spark, tmp_path):
     odd = str(tmp_path / "odd.db")
     database.save_sqlite(spark.createDataFrame([(1, 'a"b')], 'id long, `odd "name" here` string'), odd, 'a "table"')
     assert database.sqlite_table(spark, odd, 'a "table"', 9, [('odd "name" here', "contains", '"')]).count() == 1
+
+
+def test_a_rebuild_replaces_what_it_lacks(spark, tmp_path):
+    from larder.operators.rows import rebuild_changes
+    from larder.sources.library import library
+
+    folder, schema = str(tmp_path / "store"), "ingredient_id string, month int"
+    first = library(spark, [{"id": "leek", "season": [1, 2, 12]}, {"id": "pea", "season": [5]}])
+    then = library(spark, [{"id": "leek", "season": [1, 2]}, {"id": "plum", "season": [8]}])
+    read = lambda: staged.read_latest(spark, folder, "ingredient_seasons", schema)
+    assert read().count() == 0
+    staged.rebuild(spark, folder, "v1", {"ingredient_seasons": first["ingredient_seasons"]})
+    assert sorted(map(tuple, read().collect())) == [("leek", 1), ("leek", 2), ("leek", 12), ("pea", 5)]
+    changes = rebuild_changes(read(), then["ingredient_seasons"]).collect()
+    assert sorted(map(tuple, changes)) == [("leek", 12, "gone"), ("pea", 5, "gone"), ("plum", 8, "new")]
+    staged.rebuild(spark, folder, "v2", {"ingredient_seasons": then["ingredient_seasons"]})
+    staged.rebuild(spark, folder, "v3", {"other": then["regions"]})
+    assert sorted(map(tuple, read().collect())) == [("leek", 1), ("leek", 2), ("plum", 8)]
+    assert rebuild_changes(read(), then["ingredient_seasons"]).count() == 0
+
+
+def test_step_links_come_back_sign_by_sign(spark):
+    from larder.functions.text import from_step_parts, step_parts
+
+    steps = ["", "plain", "[[a]]", "[[a|b]]", "x[[a|b]]y[[c]]z", "[[a]][[b|c]]", "[[]] [[|x]] [[a|]] [[a|b|c]] [[a]", "line\n\n[[a]]\n", "\n", "[[é ☃|𝔘]] [[ [[a]] ]]", "[[a\nb]] [[c]]", None]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(steps)], "i long, s string").withColumn("p", step_parts(F.col("s"))).withColumn("back", from_step_parts(F.col("p")))
+    rows = {r.i: r for r in df.collect()}
+    assert [rows[i].back for i in range(len(steps))] == steps
+    assert [tuple(p) for p in rows[4].p[0]] == [("x", None, None), (None, "a", "b"), ("y", None, None), (None, "c", None), ("z", None, None)]
+    assert rows[0].p == [[]] and [len(line) for line in rows[7].p] == [1, 0, 1, 0] and rows[11].p is None
+    assert [tuple(p)[1:] for p in rows[6].p[0] if p.id] == [("a", "b|c")]
