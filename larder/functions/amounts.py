@@ -201,3 +201,28 @@ def to_metric(qty: Column, density: Column) -> Column:
         return F.when(grams.isNotNull(), heavy).when((ml > TWO_SPOONS_ML + 1e-6) & density.isNotNull(), F.concat(F.lit("~"), F.floor(ml * density + 0.5).cast("string"), F.lit(" g")))
 
     return let(parse_amount(qty), told)
+
+
+def _applied(factor: Column) -> Column:
+    """A factor that isn't positive changes nothing."""
+    return F.when(factor > 0, factor).otherwise(1.0)
+
+
+def amount_text(qty: Column, factor: Column) -> Column:
+    """an amount as a ledger shows it: counts whole, measures scaled with short units, fractions as signs; blank without one."""
+    f, dual = _applied(factor), qty.contains(" / ")
+    scaled = let(scale(qty, f), lambda x: F.when(dual, x).otherwise(short_units(x)))
+    told = F.when(is_count(qty) & ~dual, F.when(f == 1, qty).otherwise(scale_count(qty, f))).otherwise(scaled)
+    return F.when(F.coalesce(strip(qty), F.lit("")) == "", "").otherwise(glyph_fractions(told))
+
+
+def weight_text(qty: Column, density: Column, factor: Column) -> Column:
+    """the estimated grams of a volume beyond two spoons whose density is known; else blank."""
+    ml = F.create_map(*(F.lit(x) for q in VOLUME_ML.items() for x in q))
+
+    def told(p: Column) -> Column:
+        volume = p["value"] * _applied(factor) * ml[p["unit"]]
+        grams = F.format_number(F.greatest(F.lit(1), F.floor(volume * density + 0.5)), 0)
+        return F.coalesce(F.when(volume > TWO_SPOONS_ML + 1e-9, F.concat(F.lit("~"), grams, F.lit(" g"))), F.lit(""))
+
+    return let(summed(plain_fractions(qty)), told)

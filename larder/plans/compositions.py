@@ -93,6 +93,21 @@ def _edited(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("recipe_id", _snapshot(F.col("steps")).alias("old"), _snapshot(F.when(F.col("recipe_id") % 3 == 1, fewer).when(F.col("recipe_id") % 3 == 2, more).otherwise(F.col("steps"))).alias("new"))
 
 
+@query(
+    with_views("recipes", "lines")
+    + """, own AS (SELECT recipe_id, list(struct_pack(place := r - 1, "text" := raw_text, qty := qty, heading := is_heading = 1) ORDER BY r) AS l FROM
+    (SELECT *, row_number() OVER (PARTITION BY recipe_id ORDER BY position, tiebreak) AS r FROM lines) GROUP BY recipe_id)
+SELECT id, to_json(struct_pack(id := id, name := name, owner := owner, image := image, servings := servings, lines := coalesce(l, [])))::VARCHAR AS page FROM recipes LEFT JOIN own ON own.recipe_id = id"""
+)
+def s9_recipe_json(spark: SparkSession, d: str) -> DataFrame:
+    """Each recipe with its lines in order as one JSON text, as a sink of pages writes it; nulls are kept."""
+    lines = view(spark, d, "lines").groupBy(F.col("recipe_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("position", "tiebreak", "raw_text", "qty", "is_heading"))).alias("l"))
+    row = lambda x, i: F.struct(i.alias("place"), x["raw_text"].alias("text"), x["qty"].alias("qty"), (x["is_heading"] == 1).alias("heading"))
+    none = F.array().cast("array<struct<place:int,text:string,qty:string,heading:boolean>>")
+    pages = view(spark, d, "recipes").join(lines, "id", "left").select("id", "name", "owner", "image", "servings", F.coalesce(F.transform("l", row), none).alias("lines"))
+    return pages.select("id", F.to_json(F.struct("id", "name", "owner", "image", "servings", "lines"), {"ignoreNullFields": "false"}).alias("page"))
+
+
 _CONTENT = "content AS (SELECT recipe_id, count(*) AS n, arg_max(text, (position, text)) AS last FROM method WHERE shape NOT IN (5, 7) GROUP BY recipe_id)"
 
 

@@ -44,6 +44,34 @@ WRITTEN: tuple[tuple[str, dict[str, str]], ...] = (
     ("'crust'", _line("section", "'crust'", flags="'section_suggested'")),
     ("concat(n, ' tablespoons butter each')", _line("flagged", "'butter each'", _N, "n", "'tablespoons'", flags="'each_multi'")),
     ("'**Other Ingredients:**'", _line("section", "'Other Ingredients:'")),
+    ("concat(n, ' tbsp extra virgin olive oil')", _line("ingredient", "'extra virgin olive oil'", _N, "n", "'tbsp'")),
+    ("concat(n, '.25 tsp salt')", _line("ingredient", "'salt'", "concat(n, '.25')", "n + 0.25", "'tsp'")),
+    ("concat(n, ' Garlic Cloves, peeled')", _line("ingredient", "'Garlic Cloves, peeled'", _N, "n")),
+    ("'FOR THE PASTRY'", _line("section", "'FOR THE PASTRY'")),
+    ("'For the dough'", _line("section", "'For the dough'", flags="'section_suggested'")),
+    ("'For serving'", _line("flagged", "'For serving'", flags="'ambiguous_section'")),
+    ("'Extra-virgin olive oil'", _line("flagged", "'Extra-virgin olive oil'", flags="'ambiguous_section'")),
+    ("concat(n, ' cup flour: sifted')", _line("ingredient", "'flour: sifted'", _N, "n", "'cup'")),
+    ("concat(n, ' EGGS')", _line("ingredient", "'EGGS'", _N, "n")),
+    ("concat('**Day ', n, '**')", _line("section", "concat('Day ', n)")),
+    ("concat('Day ', n)", _line("section", "concat('Day ', n)")),
+    ("'Italian Beef Ingredients'", _line("section", "'Italian Beef Ingredients'")),
+    ("'Metric'", _line("section", "'Metric'")),
+    ("'US Customary'", _line("section", "'US Customary'")),
+    ("concat(n, ' pint (about ', n * 320, ' grams) blueberries')", _line("ingredient", "'pint blueberries'", _N, "n", grams="n * 320")),
+    ("concat(n, ' teaspoons / 6 g active dry yeast')", _line("ingredient", "'active dry yeast'", _N, "n", "'teaspoons'", secondary="'/ 6 g'")),
+    ("concat(n, ' 1/2 cups / ', n * 10, ' g bread flour or high gluten flour')", _line("ingredient", "'bread flour or high gluten flour'", "concat(n, ' 1/2')", "n + 0.5", "'cups'", secondary="concat('/ ', n * 10, ' g')")),
+    ("concat(n, ' tbsp Thai tea mix (')", _line("ingredient", "'Thai tea mix'", _N, "n", "'tbsp'")),
+    ("concat(n, ' tbsp soy sauce (low sodium)')", _line("ingredient", "'soy sauce (low sodium)'", _N, "n", "'tbsp'")),
+    ("concat(n, ' cup plus 2 tablespoons (', n * 100, 'g) tahini (light roast)')", _line("ingredient", "'plus 2 tablespoons tahini (light roast)'", _N, "n", "'cup'", grams="n * 100", secondary="concat(n, ' cup')")),
+    ("'1 x 397 grams can of condensed milk'", _line("ingredient", "'condensed milk'", "'1'", "1", "'can'", grams="397")),
+    ("concat(n, ' x 6 oz halibut fillets')", _line("flagged", "concat(n, ' x 6 oz halibut fillets')", flags="'multiplier'")),
+    ("'Nonstick spray'", _line("flagged", "'Nonstick spray'", flags="'ambiguous_section'")),
+    ("'maple syrup for drizzling on top'", _line("flagged", "'maple syrup for drizzling on top'", flags="'ambiguous_section'")),
+    ("concat(n, ' egg for egg wash')", _line("ingredient", "'egg for egg wash'", _N, "n")),
+    ("'salt*'", _line("flagged", "'salt*'", flags="'ambiguous_section'")),
+    ("'use metric measurements'", _line("flagged", "'use metric measurements'", flags="'ambiguous_section'")),
+    ("concat(n, ' cup canned pumpkin (not pumpkin pie filling)')", _line("ingredient", "'canned pumpkin (not pumpkin pie filling)'", _N, "n", "'cup'")),
 )
 
 #: Quantities: the text, then doubled, in metric units at a density of 0.51, whether it is a volume, and the sum of its parts.

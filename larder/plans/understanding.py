@@ -42,6 +42,24 @@ def f30_scaled_quantities(spark: SparkSession, d: str) -> DataFrame:
     return q.select("qty", amounts.scale(c, F.lit(2.0)).alias("doubled"), F.when(amounts.is_count(c), amounts.scale_count(c, F.lit(0.25))).alias("quarter"), amounts.to_metric(c, F.lit(0.51)).alias("metric"), amounts.has_volume_unit(c).alias("is_volume"), amounts.summed(c)["value"].alias("total"))
 
 
+@query(
+    with_views("lines")
+    + """, n AS (SELECT recipe_id, position, tiebreak, position % 4 AS kind, amount AS q, 2 * amount + 1 AS e, recipe_id % 2 = 0 AS twice, CASE WHEN recipe_id % 2 = 0 THEN 2.0 ELSE 0.25 END::DOUBLE AS f FROM lines),
+m AS (SELECT *, CASE kind WHEN 1 THEN q * f * 236.588::DOUBLE WHEN 2 THEN (q + 0.5)::DOUBLE * f * 4.92892::DOUBLE END AS ml FROM n)
+SELECT recipe_id, position, tiebreak, CASE
+    WHEN kind IN (0, 3) THEN CASE WHEN q * f < 1 THEN '~' ELSE '' END || greatest(1, floor(q * f + 0.5)::BIGINT) || CASE kind WHEN 3 THEN ' cloves' ELSE '' END
+    WHEN kind = 1 THEN CASE WHEN twice THEN (2 * q)::VARCHAR ELSE CASE WHEN q < 4 THEN '' ELSE (q // 4)::VARCHAR END || ['', '¼', '½', '¾'][q % 4 + 1] END || ' cups'
+    ELSE CASE WHEN twice THEN e::VARCHAR ELSE CASE WHEN e < 8 THEN '' ELSE (e // 8)::VARCHAR END || ['⅛', '⅜', '⅝', '⅞'][e % 8 // 2 + 1] END || ' tsp' END AS amount,
+  CASE WHEN ml > 29.5736 + 1e-9 THEN '~' || format('{:,}', floor(ml * 0.51::DOUBLE + 0.5)::BIGINT) || ' g' ELSE '' END AS weight FROM m"""
+)
+def f35_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Each line's amount, doubled or quartered, and its estimated weight as a ledger shows them."""
+    rows = view(spark, d, "lines").select("recipe_id", "position", "tiebreak", "qty", F.when(F.col("recipe_id") % 2 == 0, 2.0).otherwise(0.25).alias("f"))
+    # a quantity is read once for each factor, however many lines have it
+    read = rows.select("qty", "f").distinct().withColumns({"amount": amounts.amount_text(F.col("qty"), F.col("f")), "weight": amounts.weight_text(F.col("qty"), F.lit(0.51), F.col("f"))})
+    return rows.join(read, ["qty", "f"]).select("recipe_id", "position", "tiebreak", "amount", "weight")
+
+
 def chart(spark: SparkSession, d: str) -> DataFrame:
     kinds = view(spark, d, "ingredients").groupBy(F.col("name").alias("display_name")).agg(F.min("id").alias("ordinal"))
     return kinds.select("ordinal", weights.name_key(F.col("display_name")).alias("lookup_key"), "display_name", (F.length("display_name") / 10.0).alias("grams_per_ml"), (F.col("ordinal") % 2 == 0).alias("convert"))
@@ -125,6 +143,23 @@ def f21_written_lines(spark: SparkSession, d: str) -> DataFrame:
     return read.select("text", *(F.col(f"l.{f}") for f in LINE_FIELDS[:-1]), F.array_join("l.flags", ",").alias("flags"))
 
 
+_KINDS = chosen("shape", WRITTEN, "kind")
+
+
+@query(
+    with_views("written")
+    + f"""SELECT recipe_id, count(*) FILTER ({_KINDS} = 'ingredient') AS ingredients, count(*) FILTER ({_KINDS} = 'section') AS sections, count(*) FILTER ({_KINDS} = 'flagged') AS flagged,
+  sum({chosen("shape", WRITTEN, "grams", "NULL")})::DOUBLE AS grams, count(*) FILTER ({chosen("shape", WRITTEN, "flags", "''")} <> '') AS to_review FROM written GROUP BY recipe_id"""
+)
+def f22_recipes_read(spark: SparkSession, d: str) -> DataFrame:
+    """all ingredient lines read, each different text once, and told for every recipe: kinds, grams, and lines to review."""
+    rows = view(spark, d, "written").select("recipe_id", "text")
+    read = rows.select("text").distinct().select("text", lines.classify_line(F.col("text")).alias("l")).select("text", "l.kind", "l.grams", F.size("l.flags").alias("flags"))
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    joined = rows.join(read, "text").groupBy("recipe_id")
+    return joined.agg(of("ingredient").alias("ingredients"), of("section").alias("sections"), of("flagged").alias("flagged"), F.sum("grams").cast("double").alias("grams"), F.count_if(F.col("flags") > 0).alias("to_review"))
+
+
 @query(with_views("quantities") + f"SELECT DISTINCT * FROM ({answers('quantities', 'text', QUANTITIES, QUANTITY_FIELDS, {'is_volume': 'BOOLEAN', 'total': 'DOUBLE'})})")
 def f30_written_quantities(spark: SparkSession, d: str) -> DataFrame:
     """Quantities of known shapes doubled, in metric units and summed."""
