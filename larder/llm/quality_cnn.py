@@ -24,7 +24,7 @@ from larder.llm.labelled import fold, training_rows
 ship(__name__)
 
 #: Most labelled rows that the network is fitted on, and most bytes of their texts together. Rows are drawn whole.
-TRAIN_ROWS, TRAIN_BYTES = 3000, 24 << 20
+TRAIN_ROWS, TRAIN_BYTES = 3000, 6 << 20
 FILTERS, WIDTH = 16, 6
 #: A chunk has CHUNK cells of CELL bytes and starts every STRIDE cells.
 CELL, CHUNK, STRIDE = 64, 8, 6
