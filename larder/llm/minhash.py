@@ -213,7 +213,8 @@ def _classes(docs: DataFrame, percent: int, words: int, bands: int, rows: int, s
     shared = checkpoint(keyed.join(heads, "key").select("key", "rid", "n", F.col("head.rid").alias("u"), F.col("head.n").alias("nu"), "members"))
     wanted = classes.join(shared.select("rid").distinct(), "rid", "left_semi").select("rid", F.col("least").alias("doc_id"), "fp1", "fp2")
     own = shingle_sets(docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), words)
-    sets = checkpoint(own.join(wanted, ["doc_id", "fp1", "fp2"]).select("rid", "items").dropDuplicates(["rid"]))
+    # an id's equal texts meet by the keys of the join, so sets are shuffled once
+    sets = checkpoint(own.dropDuplicates(["doc_id", "fp1", "fp2"]).join(wanted, ["doc_id", "fp1", "fp2"]).select("rid", "items"))
 
     first = shared.withColumn("nv", F.col("n")).where("u <> rid").where(_may_link(percent)).select("u", F.col("rid").alias("v")).distinct()
     links = checkpoint(_verified(first, sets, percent))
