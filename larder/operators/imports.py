@@ -1,7 +1,8 @@
 """Imports: from pages to a write plan, its preview and the rows to stage, as DataFrames throughout.
 
-A page's record is read once; its lines and steps become rows of their own, so that each line is
-classified by expressions and a recipe is put together by aggregates on its id.
+A page's record is read once, and what is read of a batch is kept by checkpoints, since the tables that
+come from it name it many times. Its lines and steps become rows of their own; each different line is
+classified once, by expressions, and a recipe is put together by aggregates on its id.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from larder.functions import lines, pages, text
 from larder.functions.amounts import quantity_text
+from larder.operators.lineage import checkpoint
 from larder.operators.slugs import mint
 
 # Reasons of review flags, and the flag and layer that say how a page was read.
@@ -60,10 +62,14 @@ def read(source: DataFrame, layers: Sequence[tuple[str, Callable[[Column], Colum
 
 
 def classified(records: DataFrame) -> DataFrame:
-    """(id, position, l): each ingredient line of the records, read with its recipe's section names as hints."""
+    """(id, position, l): each ingredient line of the records, read with its recipe's section names as hints.
+
+    Lines that are the same under the same hints are read once, however many recipes have them.
+    """
     good = records.where("refusal IS NULL").select("id", lines.step_hints(F.col("directions")).alias("hints"), "ingredient_lines")
     rows = good.select("id", "hints", F.posexplode("ingredient_lines").alias("position", "line"))
-    return rows.select("id", "position", lines.classify_line(F.col("line"), F.col("hints")).alias("l"))
+    known = rows.select("line", "hints").distinct().select("line", "hints", lines.classify_line(F.col("line"), F.col("hints")).alias("l"))
+    return rows.join(known, ["line", "hints"]).select("id", "position", "l")
 
 
 def line_rows(read_lines: DataFrame) -> DataFrame:
@@ -117,8 +123,8 @@ def preview(source: DataFrame, taken: DataFrame, known: DataFrame) -> DataFrame:
     """
     from larder.functions.urls import source_key
 
-    records = read(source)
-    found = classified(records)
+    records = checkpoint(read(source))
+    found = checkpoint(classified(records))
     nest = lambda rows, *columns: rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("r"))
     ingredients = nest(line_rows(found), *PREVIEW_LINE).withColumnRenamed("r", "ingredients")
     steps = nest(step_rows(records), "position", "is_heading", "text").withColumnRenamed("r", "steps")
@@ -132,9 +138,9 @@ def preview(source: DataFrame, taken: DataFrame, known: DataFrame) -> DataFrame:
 
 def staged(source: DataFrame, taken: DataFrame, owner: int) -> dict[str, DataFrame]:
     """Q17: the rows that a commit of the batch writes, by table. No baseline is among them: the first save takes it."""
-    records = read(source)
-    found = classified(records)
-    recipes = recipe_rows(records, taken)
+    records = checkpoint(read(source))
+    found = checkpoint(classified(records))
+    recipes = checkpoint(recipe_rows(records, taken))
     slugs = recipes.select("id", F.col("slug").alias("recipe_id"))
     under = lambda rows: rows.join(slugs, "id").drop("id")
     return {

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from larder.functions.shipping import ship
+from larder.operators.lineage import checkpoint
 
 ship(__name__)
 
@@ -65,7 +66,8 @@ def mint(batch: DataFrame, taken: DataFrame) -> DataFrame:
     A base that is taken, or may meet a slug of another row or a taken one by its number, is settled
     within its family in entry order; all others are numbered by windows.
     """
-    rows = batch.select(F.col("entry").cast("long").alias("entry"), "base")
+    # named seven times below
+    rows = checkpoint(batch.select(F.col("entry").cast("long").alias("entry"), "base"))
     stem = lambda c: F.regexp_replace(c, r"-[0-9]+$", "")
     bases = rows.select("base").distinct()
     claims = bases.select(F.col("base").alias("slug")).unionByName(taken.select("slug").distinct())
