@@ -30,6 +30,8 @@ ship(__name__)
 FIELDS = ("name", "author", "source_url", "category", "servings", "prep_time", "cook_time", "total_time", "descr", "notes", "image")
 LINE_FIELDS = ("position", "is_heading", "qty", "ingredient_id", "label", "note", "raw_text", "grams", "secondary_measure", "quantity", "unit")
 LIKE = 0.6
+#: Likenesses of short texts that one batch of rows remembers.
+REMEMBERED = 50_000
 _LINE = "struct<grams:double,ingredient_id:string,is_heading:int,label:string,note:string,position:int,qty:string,quantity:string,raw_text:string,secondary_measure:string,unit:string>"
 SNAPSHOT = f"ingredients array<{_LINE}>, recipe struct<{','.join(f'{f}:string' for f in sorted(FIELDS))}>, steps array<struct<is_heading:int,position:int,text:string>>"
 
@@ -43,6 +45,8 @@ def snapshot(recipe: Column, ingredients: Column, steps: Column) -> Column:
 
 #: Parts of a snapshot in the order of their entries.
 INGREDIENT, INGREDIENT_HEADING, STEP, STEP_HEADING = range(4)
+#: Stands in a part's place for a field of the recipe.
+FIELD = 4
 
 
 def _rows(parsed: Column) -> Column:
@@ -95,8 +99,12 @@ def _signs(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _paired(old: list[str], new: list[str]) -> Iterator[tuple[int | None, int | None]]:
+def _paired(old: list[str], new: list[str], known: dict[tuple[str, str], float]) -> Iterator[tuple[int | None, int | None]]:
     """Each old text with the likest new one that is still free and alike enough, in order; then the new ones left over."""
+    if not old or not new:
+        yield from ((k, None) for k in range(len(old)))
+        yield from ((None, m) for m in range(len(new)))
+        return
     free = np.ones(len(new), bool)
     signs, sizes = _signs(new), np.array([len(t) for t in new], np.int64)
     matchers: dict[int, SequenceMatcher] = {}
@@ -107,9 +115,13 @@ def _paired(old: list[str], new: list[str]) -> Iterator[tuple[int | None, int |
         best, at = 0.0, None
         for m in np.flatnonzero(free & (most >= LIKE)).tolist():
             if most[m] > best:
-                matcher = matchers.get(m) or matchers.setdefault(m, SequenceMatcher(None, "", new[m]))
-                matcher.set_seq1(text)
-                ratio = matcher.ratio()
+                ratio = known.get((text, new[m]))
+                if ratio is None:
+                    matcher = matchers.get(m) or matchers.setdefault(m, SequenceMatcher(None, "", new[m]))
+                    matcher.set_seq1(text)
+                    ratio = matcher.ratio()
+                    if len(known) < REMEMBERED and len(text) + len(new[m]) <= 400:
+                        known[text, new[m]] = ratio
                 if ratio > best:
                     best, at = ratio, m
         if at is not None and best >= LIKE:
@@ -120,7 +132,7 @@ def _paired(old: list[str], new: list[str]) -> Iterator[tuple[int | None, int |
     yield from ((None, m) for m in np.flatnonzero(free).tolist())
 
 
-def _align(a: list[str], b: list[str]) -> Iterator[tuple[int | None, int | None]]:
+def _align(a: list[str], b: list[str], known: dict[tuple[str, str], float] | None = None) -> Iterator[tuple[int | None, int | None]]:
     """Places (in a, in b) of what isn't equal: changed pairs, and entries of one side alone."""
     head = _free_end(a, b)
     tail = _free_end(a[head:][::-1], b[head:][::-1])
@@ -130,11 +142,11 @@ def _align(a: list[str], b: list[str]) -> Iterator[tuple[int | None, int | None]
     else:
         blocks = [(0, len(a), 0, len(b))]
     for i, i_end, j, j_end in blocks:
-        for k, m in _paired(a[i:i_end], b[j:j_end]):
+        for k, m in _paired(a[i:i_end], b[j:j_end], {} if known is None else known):
             yield None if k is None else head + i + k, None if m is None else head + j + m
 
 
-def differences(old: dict[str, list], new: dict[str, list]) -> list[list[int]]:
+def differences(old: dict[str, list], new: dict[str, list], known: dict[tuple[str, str], float] | None = None) -> list[list[int]]:
     """(part, old place, new place, old number, new number, heading's old place) of each difference; -1 for none.
 
     Both sides have equally long lists of parts, keys, items and moves. Numbers count rows of one part.
@@ -167,7 +179,7 @@ def differences(old: dict[str, list], new: dict[str, list]) -> list[list[int]]:
                         linked.append((i, j))
             entries += [[part, i, j, number_a[i], number_b[j], -1] for i, j in linked]
             a, b = [i for i in a if i not in {x for x, _ in linked}], [j for j in b if j not in {x for _, x in linked}]
-        for k, m in _align([old["key"][i] for i in a], [new["key"][j] for j in b]):
+        for k, m in _align([old["key"][i] for i in a], [new["key"][j] for j in b], known):
             i, j = -1 if k is None else a[k], -1 if m is None else b[m]
             entries.append([part, i, j, number_a.get(i, -1), number_b.get(j, -1), sections[i] if j < 0 and not part % 2 else -1])
     kinds = (0, 2, 1, 2)
@@ -190,7 +202,8 @@ def differences(old: dict[str, list], new: dict[str, list]) -> list[list[int]]:
 def _differences(old_part: pd.Series, old_key: pd.Series, old_item: pd.Series, old_move: pd.Series, new_part: pd.Series, new_key: pd.Series, new_item: pd.Series, new_move: pd.Series) -> pd.Series:
     names = ("part", "key", "item", "move")
     sides = zip(zip(old_part, old_key, old_item, old_move, strict=True), zip(new_part, new_key, new_item, new_move, strict=True), strict=True)
-    return pd.Series([differences(*({n: list(c) for n, c in zip(names, side, strict=True)} for side in both)) for both in sides], dtype=object)
+    known: dict[tuple[str, str], float] = {}
+    return pd.Series([differences(*({n: list(c) for n, c in zip(names, side, strict=True)} for side in both), known) for both in sides], dtype=object)
 
 
 def field_changes(pairs: DataFrame) -> DataFrame:
@@ -206,15 +219,21 @@ def changes(pairs: DataFrame) -> DataFrame:
     Positions leave headings out. A pure move is no change: a removed and an added row of one kind and
     text pair off one to one. Equal snapshots, and null ones, give no rows. Nothing is shuffled.
     """
-    pairs = pairs.where("old IS NOT NULL AND new IS NOT NULL AND old <> new")
-    both = pairs.select("recipe_id", *(_rows(F.from_json(side, SNAPSHOT)).alias(side) for side in ("old", "new")))
-    # found once: not merged into what reads it
+    # texts written, parsed and told apart once each: a generator's outputs aren't merged into what reads them
+    once = lambda c: F.explode(F.array(c)).alias("x")
+    whole = pairs.select("recipe_id", once(F.struct("old", "new"))).where("x.old IS NOT NULL AND x.new IS NOT NULL AND x.old <> x.new")
+    parsed = whole.select("recipe_id", once(F.struct(F.from_json("x.old", SNAPSHOT).alias("o"), F.from_json("x.new", SNAPSHOT).alias("n")))).select("recipe_id", "x.*")
+    both = parsed.select("recipe_id", F.col("o.recipe").alias("o"), F.col("n.recipe").alias("n"), once(F.struct(_rows(F.col("o")).alias("old"), _rows(F.col("n")).alias("new")))).select("recipe_id", "o", "n", "x.*")
     both = both.withColumn("found", _differences.asNondeterministic()(*(F.col(side)[n] for side in ("old", "new") for n in ("part", "key", "item", "move"))))
-    at = lambda side, i: F.get(F.col(side), F.get("e", F.lit(i)))
-    number = lambda i: F.nullif(F.get("e", F.lit(i)), F.lit(-1))
-    each = both.select("recipe_id", "old", "new", F.explode("found").alias("e"))
-    full = each.select("recipe_id", F.get("e", F.lit(0)).alias("part"), at("old", 1).alias("o"), at("new", 2).alias("n"), number(3).alias("old_pos"), number(4).alias("new_pos"), at("old", 5)["raw"].alias("section"))
-    kinds = F.when(F.col("part") == INGREDIENT, "ingredient").when(F.col("part") == STEP, "step").otherwise("heading")
+    at = lambda side, e, i: F.get(F.col(side), F.get(e, F.lit(i)))
+    number = lambda e, i: F.nullif(F.get(e, F.lit(i)), F.lit(-1))
+    nothing = F.lit(None)
+    own = ("part", "o", "n", "old_pos", "new_pos", "section", "name", "was", "now")
+    lines = F.transform("found", lambda e: F.struct(*(c.alias(f) for f, c in zip(own, (F.get(e, F.lit(0)), at("old", e, 1), at("new", e, 2), number(e, 3), number(e, 4), at("old", e, 5)["raw"], *[nothing.cast("string")] * 3), strict=True))))
+    side = both.schema["old"].dataType.elementType
+    field = lambda f: F.when(F.coalesce(f"o.{f}", F.lit("")) != F.coalesce(f"n.{f}", F.lit("")), F.struct(*(c.alias(x) for x, c in zip(own, (F.lit(FIELD), *[nothing.cast(side)] * 2, *[nothing.cast("int")] * 2, nothing.cast("string"), F.lit(f), F.col(f"o.{f}"), F.col(f"n.{f}")), strict=True))))
+    full = both.select("recipe_id", F.explode(F.concat(F.array_compact(F.array(*map(field, FIELDS))), lines)).alias("e")).select("recipe_id", "e.*")
+    kinds = F.when(F.col("part") == FIELD, "field").when(F.col("part") == INGREDIENT, "ingredient").when(F.col("part") == STEP, "step").otherwise("heading")
     null = lambda c: F.coalesce(F.col(c), F.lit(""))
     none = F.lit(None).cast("string")
     entry = lambda type_, field, label, a, b, text, section: F.struct(*(c.alias(n) for c, n in zip((F.lit(type_), F.lit(field).cast("string"), label, a, b, text, section), ("type", "field", "label", "from", "to", "text", "section"), strict=True)))
@@ -228,11 +247,9 @@ def changes(pairs: DataFrame) -> DataFrame:
         F.when(line & (null("o.note") != null("n.note")), changed("note", null("o.note"), null("n.note"))),
         F.when(~line & (F.col("o.name") != F.col("n.name")), changed(None, F.col("o.name"), F.col("n.name"))),
     ))
-    told = F.when(F.col("n").isNull(), alone("removed", "o", F.col("section"))).when(F.col("o").isNull(), alone("added", "n", none)).otherwise(aspects)
-    lines = full.select("recipe_id", kinds.alias("kind"), "new_pos", "old_pos", F.explode(told).alias("t")).select("recipe_id", "kind", "t.type", "t.field", "t.label", "t.from", "t.to", "t.text", "new_pos", "old_pos", "t.section")
-    whole = F.lit(None)
-    fields = field_changes(pairs).select("recipe_id", F.lit("field").alias("kind"), F.lit("modified").alias("type"), "field", whole.cast("string").alias("label"), "from", "to", whole.cast("string").alias("text"), whole.cast("int").alias("new_pos"), whole.cast("int").alias("old_pos"), whole.cast("string").alias("section"))
-    return fields.unionByName(lines)
+    fields = F.array(entry("modified", None, none, F.col("was"), F.col("now"), none, none).withField("field", F.col("name")))
+    told = F.when(F.col("part") == FIELD, fields).when(F.col("n").isNull(), alone("removed", "o", F.col("section"))).when(F.col("o").isNull(), alone("added", "n", none)).otherwise(aspects)
+    return full.select("recipe_id", kinds.alias("kind"), "new_pos", "old_pos", F.explode(told).alias("t")).select("recipe_id", "kind", "t.type", "t.field", "t.label", "t.from", "t.to", "t.text", "new_pos", "old_pos", "t.section")
 
 
 def with_current_headings(baseline: DataFrame, current: DataFrame) -> DataFrame:
