@@ -9,9 +9,11 @@ Links are then found on full sets, in two steps that lose none of the texts that
 1. Within each bucket every text is compared with the bucket's smallest document. Verified links
    give first components.
 2. Only buckets that still hold several components matter. Small ones compare their texts of
-   different components with each other. Texts of large ones are joined on the rarest shingles of
-   each set (prefix filter): two sets of the wanted similarity always share one of those, so that
-   no pair is lost and no bucket is expanded into all its pairs.
+   different components with each other. Texts of large ones are first compared with the text that
+   stands in the most and largest of them: variants lie around it, while the smallest document may be
+   a far one. What is left in different components is joined on the rarest shingles of each set (prefix
+   filter): two sets of the wanted similarity always share one of those, so that no pair is lost and no
+   bucket is expanded into all its pairs.
 
 Equal sets are one class from the start, so thousands of exact copies count as one text.
 """
@@ -200,6 +202,22 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return u.join(v, "item").where("u < v and cu <> cv").where(_may_link(percent)).where(enough).select("u", "v").distinct()
 
 
+def _around_cores(open_: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, members) of open buckets (key, rid, n, members, component): links (u, v) to each bucket's core, and (rid, n, component) with the components that they make.
+
+    The core is the text with the most companions over all the buckets.
+    """
+    heavy = open_.join(open_.groupBy("rid").agg(F.sum("members").alias("weight")), "rid")
+    cores = heavy.groupBy("key").agg(F.max(F.struct("weight", "rid", "n", "component")).alias("core"))
+    pairs = open_.join(cores, "key").where("component <> core.component").withColumn("nu", F.col("core.n")).withColumn("nv", F.col("n")).where(_may_link(percent))
+    links = checkpoint(_verified(pairs.select(F.least("core.rid", "rid").alias("u"), F.greatest("core.rid", "rid").alias("v")).distinct(), sets, percent))
+    members = checkpoint(open_.select("rid", "n", "component").distinct())
+    place = members.select("rid", "component")
+    between = links.join(place.toDF("u", "cu"), "u").join(place.toDF("v", "cv"), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    part = connected_components(between).toDF("component", "joined")
+    return links, members.join(part, "component", "left").select("rid", "n", F.coalesce("joined", "component").alias("component"))
+
+
 def _classes(docs: DataFrame, percent: int, words: int, bands: int, rows: int, small_bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, links): rows (doc_id, k1, k2, n, fp1, fp2), a class (n, fp1, fp2, rid, least doc_id) for each different set, and links (u, v) between rids.
 
@@ -226,9 +244,11 @@ def _classes(docs: DataFrame, percent: int, words: int, bands: int, rows: int, s
     u = small.select("key", F.col("rid").alias("u"), F.col("n").alias("nu"), F.col("component").alias("cu"))
     v = small.select("key", F.col("rid").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
     second = u.join(v, "key").where("u < v and cu <> cv").where(_may_link(percent)).select("u", "v")
-    large = checkpoint(open_.where(F.col("members") > small_bucket).select("rid", "n", "component").distinct())
+    large = checkpoint(open_.where(F.col("members") > small_bucket))
     if large.first() is not None:
-        second = second.unionByName(_prefix_pairs(large, sets, percent))
+        around, members = _around_cores(large, sets, percent)
+        links = links.unionByName(around)
+        second = second.unionByName(_prefix_pairs(members, sets, percent))
     more = _verified(second.distinct(), sets, percent)
     return signed.drop("bands", "rid"), classes, links.unionByName(more)
 

@@ -66,6 +66,31 @@ def test_large_buckets_take_the_exact_way(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_variants_around_a_text_are_not_paired(spark, monkeypatch):
+    """The smallest document is a far variant: it links with few, but the pairs that are left to try don't grow with the square of the family."""
+    tried, plain = [], minhash._prefix_pairs
+
+    def counted(*given):
+        pairs = plain(*given)
+        tried.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(minhash, "_prefix_pairs", counted)
+    random = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for i in range(120):
+        own = list(base)
+        for at in random.choice(150, 2, replace=False):
+            own[at] = f"n{i}x{at}"
+        texts.insert(len(texts) // 2, " ".join(own))
+    texts.insert(0, " ".join(f"f{at}" if at in (20, 70) else w for at, w in enumerate(base)))
+    rows = [(i, t, "en", "s", 1, 1, "k", 1) for i, t in enumerate(texts)]
+    got = minhash.near_duplicates(docs(spark, rows), 85, small_bucket=48).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(list(enumerate(texts)), 85)
+    assert len(tried) == 1 and tried[0] < len(texts)
+
+
 def test_odd_cases(spark):
     df = docs(spark)
     got = minhash.near_duplicates(df, 85).collect()
