@@ -40,6 +40,8 @@ BANDS, ROWS = 24, 4
 #: Buckets with more texts than this go through the prefix filter.
 SMALL_BUCKET = 48
 SHINGLE = 5
+#: Bytes of text that are hashed at once; a kernel holds some fifty bytes for each.
+SLICE = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -150,7 +152,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int
     """(doc_id, k1, k2, n, fp1, fp2, bands): the text's identity, size of its set, the set's identity, and its band keys (none for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 3):
+        for batch in small_batches(batches, 3, size=SLICE):
             sets = shingle_hashes(*text_bytes(batch.column(3)), words)
             keys = [band_keys(signature(s, bands * rows), rows) if len(s) else np.zeros(0, np.int64) for s in sets]
             arrays = [*batch.columns[:3], pa.array([len(s) for s in sets], pa.int64()), *_identities(sets), _lists(keys)]
@@ -164,7 +166,7 @@ def shingle_sets(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """(doc_id, fp1, fp2, items): each text's sorted distinct shingle hashes, with the identity of that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 1):
+        for batch in small_batches(batches, 1, size=SLICE):
             sets = shingle_hashes(*text_bytes(batch.column(1)), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), *_identities(sets), _lists(sets)], ["doc_id", "fp1", "fp2", "items"])
 
