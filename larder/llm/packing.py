@@ -284,11 +284,13 @@ def pack_examples(examples: DataFrame, limits: tuple[int, int, int], pool: int =
 def conversation_sizes(conversations: DataFrame, tokenizer: str, answers: str = "assistant") -> DataFrame:
     """(example_id, tokens, segments, loss_tokens) of each conversation: all turns, and the answering role's tokens bear loss."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
-        for frame in frames:
-            yield pd.DataFrame({"conv_id": frame["conv_id"], "n": [len(x) + 1 for x in encoder.encode(list(frame["text"]))], "own": frame["own"]})
+        # by bytes of text too: words of a batch are held beside those remembered, however long turns are
+        for batch in small_batches(batches, 1):
+            n = [len(ids) + 1 for ids in encoder.encode(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), batch.column(2)], ["conv_id", "n", "own"])
 
     own = F.coalesce(F.col("role") == answers, F.lit(False)).alias("own")
-    turns = conversations.where("conv_id is not null").select("conv_id", text_or_empty().alias("text"), own).mapInPandas(run, "conv_id long, n long, own boolean")
+    turns = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), text_or_empty().alias("text"), own).mapInArrow(run, "conv_id long, n long, own boolean")
     return turns.groupBy(F.col("conv_id").alias("example_id")).agg(F.sum("n").alias("tokens"), F.count("*").alias("segments"), F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("loss_tokens"))

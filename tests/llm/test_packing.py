@@ -109,3 +109,16 @@ def test_conversations(spark):
     assert least <= len(own) <= 1.2 * least + 4
     odd = spark.createDataFrame([(1, None, None, None), (2, 5000, 1, 1), (None, 1, 1, 1)], "example_id long, tokens long, segments long, loss_tokens long")
     assert packing.pack_examples(odd, limits).count() == 3
+
+
+def test_long_turns_are_encoded_few_at_a_time(spark, monkeypatch):
+    class Counting:
+        def encode(self, texts):
+            assert sum(map(len, texts)) <= 4 << 20 or len(texts) == 1
+            return [t.split(" ") for t in texts]
+
+    monkeypatch.setattr(packing, "encoder_of", lambda path: Counting())
+    turns = spark.range(12, numPartitions=1).selectExpr("id % 3 AS conv_id", "'assistant' AS role", "repeat('ab ', 349525) || id AS text")
+    turns = turns.unionAll(spark.createDataFrame([(7, None, None)], "conv_id long, role string, text string")).coalesce(1)
+    got = sorted(tuple(r) for r in packing.conversation_sizes(turns, "").collect())
+    assert got == [(i, 4 * 349527, 4, 4 * 349527) for i in range(3)] + [(7, 2, 1, 0)]
