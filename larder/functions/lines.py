@@ -27,6 +27,8 @@ MEASURE_LIST = rf"(?iU)^\s*{HEDGE}?\s*{MEASURE}(?:(?:\s*[;/,]\s*|\s+or\s+){HEDGE
 PREPARED = r"(?iU)\b(minced|chopped|sliced|diced|crushed|peeled|grated|halved|quartered|divided|crumbled|melted|softened|beaten|cubed|julienned|trimmed|drained|rinsed|shredded|seeded|deboned|sifted|packed|room temperature|finely|roughly|thinly)\b"
 SERVINGS = r"(?iU)(?:servings|serving|serves|makes?|portions?)\s*:?\s*(\d+)|(\d+)\s*(?:servings?|portions?)\b"
 SECTION_WORDS = ("crust", "filling", "topping", "sauce", "dough", "batter", "base", "marinade", "glaze", "frosting", "icing", "streusel", "crumble", "coating", "assembly", "garnish", "dressing", "syrup")
+#: More words than a key of a section may have; told at the fourth one, without a key.
+OVER_THREE_WORDS = r"^[^a-z0-9]*+(?:[a-z0-9]++[^a-z0-9]++){3}[a-z0-9]"
 UNIT_SYSTEMS = ("metric", "imperial", "us", "us customary", "metric units", "imperial units", "us units")
 PREPARATIONS = ("egg wash", "dredge", "sponge", "brine")
 STEP_VERB = r"(?iU)^(?:to\s+)?(?:make|prepare|assemble|finish|build|cook|for)\s+(?:the\s+)?"
@@ -43,6 +45,7 @@ CANNED = (
 )
 REPAIRS = (("cleaned_paren_comma", r"(?U)\(\s*,\s*", "("), ("cleaned_double_paren", r"(?U)\(\s*\(([^()]*)\)\s*\)", "($1)"))
 TRAILING_DASH = r"(?U)\s*[-–—]\s*$"
+NUMBERED = rf"(?U)^\s*[\d{GLYPHS}]"
 SECOND_MEASURE = rf"(?iU)^/\s*{NUMBER}\s*{UNIT}\b\s*"
 
 
@@ -64,16 +67,21 @@ def is_section(text: Column) -> Column:
 
 def without_emphasis(text: Column) -> Column:
     """Without one pair of markers around the whole line."""
-    t, wrap = strip(F.coalesce(text, F.lit(""))), r"^(\*\*|__|\*|_)(.+?)\1$"
-    return F.when(t.rlike(wrap), strip(F.regexp_extract(t, wrap, 2))).otherwise(t)
+    wrap = r"^(\*\*|__|\*|_)(.+?)\1$"
+    return let(strip(F.coalesce(text, F.lit(""))), lambda t: F.when(t.rlike(wrap), strip(F.regexp_extract(t, wrap, 2))).otherwise(t))
 
 
 def section_signal(text: Column) -> Column:
     """Whether a line without an amount is surely a heading."""
-    t = strip(text)
-    bare = strip(F.regexp_replace(F.lower(t), ":+$", ""))
-    ends = reduce(lambda a, b: a | b, (bare.endswith(f" {w}") for w in PREPARATIONS))
-    return is_section(t) | ((t != "") & (t.rlike(r"(?iU)\bingredients?\b") | F.lower(t).isin(*UNIT_SYSTEMS) | t.rlike(r"(?iU)^\W*day\s+\d") | bare.isin(*PREPARATIONS) | ends))
+
+    def named(bare: Column) -> Column:
+        return reduce(lambda a, b: a | b, (bare.endswith(f" {w}") for w in PREPARATIONS), bare.isin(*PREPARATIONS))
+
+    def told(t: Column) -> Column:
+        prepared = let(strip(F.regexp_replace(F.lower(t), ":+$", "")), named)
+        return is_section(t) | ((t != "") & (t.rlike(r"(?iU)\bingredients?\b") | F.lower(t).isin(*UNIT_SYSTEMS) | t.rlike(r"(?iU)^\W*day\s+\d") | prepared))
+
+    return let(strip(text), told)
 
 
 def section_key(text: Column) -> Column:
@@ -82,9 +90,9 @@ def section_key(text: Column) -> Column:
 
 def section_candidate(line: Column, hints: Column) -> Column:
     """A short line that ends with a section word, or is named like a section of the method."""
-    key = section_key(line)
-    words = F.split(key, " ")
-    return (key != "") & (F.size(words) <= 3) & (F.element_at(words, -1).isin(*SECTION_WORDS) | F.array_contains(hints, key))
+    named = lambda key: (key != "") & (F.element_at(F.split(key, " "), -1).isin(*SECTION_WORDS) | F.array_contains(hints, key))
+    long = F.coalesce(F.lower(line).rlike(OVER_THREE_WORDS), F.lit(False))
+    return F.when(long, False).otherwise(let(section_key(line), named))
 
 
 def classify_step(text: Column) -> Column:
@@ -141,7 +149,9 @@ def harvest_grams(text: Column) -> Column:
         first = F.get(F.filter(F.transform(groups, read), lambda r: r.isNotNull()), 0)
         return let(first, lambda f: F.struct(f["grams"].alias("grams"), (f.isNull() & (F.size(groups) > 0)).alias("declined"), f["paren"].alias("paren")))
 
-    return let(F.filter(F.regexp_extract_all(text, F.lit(PAREN), F.lit(0)), lambda g: g.rlike(GRAMS)), told)
+    none = F.struct(F.lit(None).cast("double").alias("grams"), F.lit(False).alias("declined"), F.lit(None).cast("string").alias("paren"))
+    stated = let(F.filter(F.regexp_extract_all(text, F.lit(PAREN), F.lit(0)), lambda g: g.rlike(GRAMS)), told)
+    return F.when(~text.contains("("), none).otherwise(stated)
 
 
 def parse_servings(raw: Column) -> Column:
@@ -174,7 +184,6 @@ def _measured_name(parsed: Column, paren: Column) -> Column:
 def classify_line(raw: Column, hints: Column | None = None) -> Column:
     """One ingredient line as a structure: kind (ingredient, section or flagged), amount, weights and flags."""
     hints = F.array().cast("array<string>") if hints is None else hints
-    line, repairs = repaired(strip(raw))
     none = F.lit(None)
     other = lambda c: c.rlike(r"(?iU)\bor\b")
 
@@ -202,8 +211,14 @@ def classify_line(raw: Column, hints: Column | None = None) -> Column:
             .otherwise(result("flagged", line, alternative=other(line), more="ambiguous_section", suggestion=guess))
         )
         with_amount = lambda p: F.when(p["amount"] != "", let(_measured_name(p["name"], harvest["paren"]), lambda m: measured(p, m))).otherwise(let(without_emphasis(line), without_amount))
-        many = line.rlike(rf"(?iU)^\s*{NUMBER}\s*[x×]\s*{NUMBER}")
-        rest = F.when(many, result("flagged", line, alternative=other(line), more="multiplier")).otherwise(let(parse_amount(line), with_amount))
-        return let(parse_canned(line), lambda c: F.when(c.isNotNull(), canned(c)).otherwise(rest))
+        numbered = line.rlike(NUMBERED)  # as all three shapes of amounts are
+        many = numbered & line.rlike(rf"(?iU)^\s*{NUMBER}\s*[x×]\s*{NUMBER}")
+        rest = F.when(many, result("flagged", line, alternative=other(line), more="multiplier")).otherwise(let(F.when(numbered, parse_amount(line)), with_amount))
+        return let(F.when(numbered, parse_canned(line)), lambda c: F.when(c.isNotNull(), canned(c)).otherwise(rest))
+
+    def start(line: Column) -> Column:
+        # nothing is repaired without a parenthesis
+        pair = lambda x, repairs: F.struct(x.alias("line"), repairs.alias("repairs"))
+        return F.when(line.contains("("), pair(*repaired(line))).otherwise(pair(line, F.array().cast("array<string>")))
 
-    return let(F.struct(line.alias("line"), repairs.alias("repairs")), lambda t: let(t["line"], lambda x: let(harvest_grams(x), lambda h: ladder(t, x, h))))
+    return let(let(strip(raw), start), lambda t: let(t["line"], lambda x: let(harvest_grams(x), lambda h: ladder(t, x, h))))

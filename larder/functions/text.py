@@ -15,6 +15,8 @@ from larder.functions.shipping import ship
 ship(__name__)
 
 LINK = r"\[\[([^\]|]+)\|([^\]]+)\]\]"
+#: Unicode's white space: what ``(?U)\s`` matches.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -23,8 +25,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Without Unicode white space at either end; Spark's own trim removes spaces only."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+\z", "")
+    """Without Unicode white space at either end; only the ends are looked at."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def squeeze(c: Column) -> Column:
