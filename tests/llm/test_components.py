@@ -1,5 +1,6 @@
 import random
 
+from larder.llm import components
 from larder.llm.components import connected_components
 
 
@@ -24,3 +25,16 @@ def test_equals_union_find(spark):
 
 def test_empty(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_settled_stars_cost_no_round(spark, monkeypatch):
+    """Every checkpoint after the first is a round of shuffles; stars take none, and what a round has made stars takes no further one."""
+    kept, plain = [], components.checkpoint
+    monkeypatch.setattr(components, "checkpoint", lambda df: kept.append(1) or plain(df))
+    stars = [(1, 5), (6, 1), (1, 7), (2, 9), (9, 2)]
+    got = connected_components(spark.createDataFrame(stars, "u long, v long")).collect()
+    assert sorted((r.id, r.component) for r in got) == [(1, 1), (2, 2), (5, 1), (6, 1), (7, 1), (9, 2)] and len(kept) == 1
+    kept.clear()
+    hub_is_largest = [(9, 1), (9, 2), (9, 3), (4, 8)]
+    got = connected_components(spark.createDataFrame(hub_is_largest, "u long, v long")).collect()
+    assert sorted((r.id, r.component) for r in got) == [(1, 1), (2, 1), (3, 1), (4, 4), (8, 4), (9, 1)] and len(kept) == 2
